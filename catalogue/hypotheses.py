@@ -1 +1,198 @@
-"""Registered queries."""
+"""Registered queries: hypothesis tests."""
+
+from pyspark.sql import functions as F
+
+from catalogue.registry import query
+from quadrat.operators import hypotheses
+
+
+def groups_sql(source: str, y: str, group: str) -> str:
+    """CTEs g (per group) and s (sums of squares)."""
+    return f"""
+g AS (SELECT {group} AS g, CAST(count(*) AS BIGINT) AS n, avg({y}) AS m, var_samp({y}) AS v FROM {source} GROUP BY 1),
+gm AS (SELECT avg({y}) AS gm FROM {source}),
+s AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * (m - gm) * (m - gm)) AS ssb, sum((n - 1) * v) AS ssw FROM g, gm)"""
+
+
+ANOVA = f"""
+WITH {groups_sql("events", "value", "event_type")}
+SELECT 'event_type' AS source, k - 1 AS df, round(ssb, 4) + 0.0 AS sum_sq, round(ssb / (k - 1), 4) + 0.0 AS mean_sq,
+  round(ssb / (k - 1) / (ssw / (n - k)), 4) + 0.0 AS f FROM s
+UNION ALL SELECT 'Residual', n - k, round(ssw, 4) + 0.0, round(ssw / (n - k), 4) + 0.0, NULL FROM s"""
+
+
+@query(ANOVA, digits=4)
+def anova_oneway(t):
+    return hypotheses.anova_oneway(t("events"), "value", "event_type").drop("p")
+
+
+@query()
+def anova_oneway_p(t):
+    return hypotheses.anova_oneway(t("events"), "value", "event_type")
+
+
+@query("""
+SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 4) + 0.0 AS residual
+FROM orders""", digits=4)
+def residuals(t):
+    rows = hypotheses.residuals(t("orders"), "o_totalprice", "o_orderpriority")
+    return rows.select("o_orderkey", "residual")
+
+
+@query(f"""
+WITH {groups_sql("events", "value", "event_type")}
+SELECT 'event_type' AS source, k - 1 AS df, round(ssb, 4) + 0.0 AS sum_sq, round(ssb / (k - 1), 4) + 0.0 AS mean_sq,
+  round(ssb / (k - 1) / (ssw / (n - k)), 4) + 0.0 AS f, round(ssb / (ssb + ssw), 4) + 0.0 AS effect FROM s
+UNION ALL SELECT 'Residual', n - k, round(ssw, 4) + 0.0, round(ssw / (n - k), 4) + 0.0, NULL, NULL FROM s""", digits=4)
+def anova_unbalanced(t):
+    return hypotheses.anova_unbalanced(t("events"), "value", ["event_type"]).drop("p")
+
+
+@query()
+def anova_two_factors(t):
+    return hypotheses.anova_unbalanced(
+        t("lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], "np2"
+    )
+
+
+@query("""
+WITH c AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS a, avg(l_discount) AS b, covar_pop(l_quantity, l_quantity) AS aa,
+  covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_discount, l_discount) AS bb FROM lineitem GROUP BY 1),
+m AS (SELECT avg(l_quantity) AS ma, avg(l_discount) AS mb FROM lineitem),
+x AS (SELECT sum(n * aa) AS eaa, sum(n * ab) AS eab, sum(n * bb) AS ebb, sum(n * (a - ma) * (a - ma)) AS haa,
+  sum(n * (a - ma) * (b - mb)) AS hab, sum(n * (b - mb) * (b - mb)) AS hbb FROM c, m),
+d AS (SELECT *, eaa * ebb - eab * eab AS de, (eaa + haa) * (ebb + hbb) - (eab + hab) * (eab + hab) AS dt FROM x)
+SELECT 'Wilks'' lambda' AS statistic, round(de / dt, 8) + 0.0 AS value FROM d
+UNION ALL SELECT 'Pillai''s trace', round((haa * (ebb + hbb) - 2 * hab * (eab + hab) + hbb * (eaa + haa)) / dt, 8) + 0.0 FROM d
+UNION ALL SELECT 'Hotelling-Lawley trace', round((haa * ebb - 2 * hab * eab + hbb * eaa) / de, 8) + 0.0 FROM d
+UNION ALL SELECT 'Roy''s greatest root', round((tr + sqrt(tr * tr - 4 * dd)) / 2, 8) + 0.0 FROM (
+  SELECT (haa * ebb - 2 * hab * eab + hbb * eaa) / de AS tr, (haa * hbb - hab * hab) / de AS dd FROM d)""", digits=8)
+def manova(t):
+    rows = hypotheses.manova(t("lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
+    return rows.select("statistic", "value")
+
+
+@query()
+def manova_p(t):
+    return hypotheses.manova(t("lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
+
+
+@query(f"""
+WITH {groups_sql("orders", "o_totalprice", "o_orderpriority")}
+SELECT a.g AS a, b.g AS b, round(b.m - a.m, 4) + 0.0 AS diff,
+  round(sqrt(ssw / (s.n - k) / 2 * (1.0 / a.n + 1.0 / b.n)), 4) + 0.0 AS se FROM g a JOIN g b ON a.g < b.g, s""", digits=4)
+def tukey_hsd(t):
+    pairs = hypotheses.tukey_hsd(t("orders"), "o_totalprice", "o_orderpriority")
+    return pairs.select("a", "b", "diff", "se")
+
+
+@query(digits=4)
+def tukey_hsd_p(t):
+    return hypotheses.tukey_hsd(t("orders"), "o_totalprice", "o_orderpriority")
+
+
+@query(f"""
+WITH {groups_sql("orders", "o_totalprice", "o_orderpriority")}
+SELECT a.g AS a, b.g AS b, round(a.m, 4) + 0.0 AS mean_a, round(b.m, 4) + 0.0 AS mean_b, round(a.m - b.m, 4) + 0.0 AS diff,
+  round(sqrt(ssw / (s.n - k) * (1.0 / a.n + 1.0 / b.n)), 4) + 0.0 AS se,
+  round((a.m - b.m) / sqrt(ssw / (s.n - k) * (1.0 / a.n + 1.0 / b.n)), 4) + 0.0 AS t,
+  round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) * (1 - 3.0 / (4.0 * (a.n + b.n) - 9)), 4)
+  + 0.0 AS hedges FROM g a JOIN g b ON a.g < b.g, s""", digits=4)
+def pairwise_tukey(t):
+    return hypotheses.pairwise_tukey(t("orders"), "o_totalprice", "o_orderpriority").drop("p_tukey")
+
+
+@query(digits=4)
+def tukey_intervals(t):
+    return hypotheses.tukey_intervals(t("orders"), "o_totalprice", "o_orderpriority")
+
+
+def p_values(t):
+    """A family of p-values per status: a smooth function of the monthly order count."""
+    months = t("orders").groupBy(
+        F.col("o_orderstatus").alias("family"), F.month("o_orderdate").alias("month")
+    ).agg(F.count(F.lit(1)).alias("orders"))
+    return months.select(
+        "family", "month", ((F.col("orders") % 97 + F.col("month") / 100.0) / 1000.0).alias("p")
+    )
+
+
+P_VALUES = """
+p AS (SELECT o_orderstatus AS family, CAST(month(o_orderdate) AS INTEGER) AS month,
+  (count(*) % 97 + month(o_orderdate) / 100.0) / 1000.0 AS p FROM orders GROUP BY 1, 2),
+r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p) AS i FROM p)"""
+
+
+def adjusted(method: str, expression: str):
+    """Register one correction method."""
+    sql = f"""
+WITH {P_VALUES}, c AS (SELECT family, month, p, least(CAST({expression} AS DOUBLE), 1.0) AS c FROM r)
+SELECT family, month, round(p, 6) + 0.0 AS p, round(c, 6) + 0.0 AS corrected, c <= 0.05 AS reject FROM c"""
+
+    def run(t):
+        return hypotheses.adjust_pvalues(p_values(t), "p", method, family=["family"])
+
+    run.__name__ = f"adjust_pvalues_{method}"
+    query(sql)(run)
+
+
+WINDOW = "OVER (PARTITION BY family ORDER BY p ROWS BETWEEN"
+adjusted("bonferroni", "p * m")
+adjusted("sidak", "1 - (1 - p) ^ m")
+adjusted("holm", f"max(p * (m - i + 1)) {WINDOW} UNBOUNDED PRECEDING AND CURRENT ROW)")
+adjusted("fdr_bh", f"min(p * m / i) {WINDOW} CURRENT ROW AND UNBOUNDED FOLLOWING)")
+adjusted("fdr_by", f"min(p * m / i * list_sum([1.0 / k for k in range(1, m + 1)])) {WINDOW} CURRENT ROW AND UNBOUNDED FOLLOWING)")
+
+MOMENTS = """
+z AS (SELECT p_retailprice - (SELECT avg(p_retailprice) FROM part) AS d FROM part),
+c AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(d ^ 3) / avg(d ^ 2) ^ 1.5 AS g1, avg(d ^ 4) / avg(d ^ 2) ^ 2 - 3 AS g2 FROM z),
+jb AS (SELECT CAST(n AS BIGINT) AS n, n / 6 * (g1 * g1 + g2 * g2 / 4) AS statistic FROM c)"""
+
+DAGOSTINO = """
+k1 AS (SELECT n, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+  3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+  (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS s FROM c),
+k2 AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s))) AS a FROM k1),
+k3 AS (SELECT n, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1,
+  (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM k2),
+k AS (SELECT CAST(n AS BIGINT) AS n, z1 * z1 + z2 * z2 AS statistic FROM k3)"""
+
+
+@query(f"WITH {MOMENTS} SELECT n, round(statistic, 4) + 0.0 AS statistic, round(exp(-statistic / 2), 4) + 0.0 AS p FROM jb", digits=4)
+def jarque_bera(t):
+    return hypotheses.jarque_bera(t("part"), "p_retailprice")
+
+
+@query(f"WITH {MOMENTS}, {DAGOSTINO} SELECT n, round(statistic, 4) + 0.0 AS statistic, round(exp(-statistic / 2), 4) + 0.0 AS p FROM k", digits=4)
+def dagostino(t):
+    return hypotheses.dagostino(t("part"), "p_retailprice")
+
+
+@query()
+def shapiro_wilk(t):
+    return hypotheses.shapiro_wilk(t("supplier"), "s_acctbal")
+
+
+@query()
+def normality_tests(t):
+    return hypotheses.normality_tests(t("customer"), "c_acctbal")
+
+
+LEVENE_SOURCE = """(SELECT event_type, abs(value - median(value) OVER (PARTITION BY event_type)) AS spread FROM events)"""
+
+
+@query(f"""
+WITH g0 AS (SELECT count(*) AS n, var_samp(value) AS v FROM events GROUP BY event_type),
+b AS (SELECT count(*) AS k, sum(n) AS n, sum((n - 1) * v) AS w, sum((n - 1) * ln(v)) AS l, sum(1.0 / (n - 1)) AS i FROM g0),
+{groups_sql(LEVENE_SOURCE, "spread", "event_type")}
+SELECT 'Bartlett' AS test, round(((n - k) * ln(w / (n - k)) - l) / (1 + (i - 1.0 / (n - k)) / (3 * (k - 1))), 4) + 0.0 AS statistic FROM b
+UNION ALL SELECT 'Levene', round(ssb / (k - 1) / (ssw / (n - k)), 4) + 0.0 FROM s""", digits=4)
+def equal_variance_tests(t):
+    rows = hypotheses.equal_variance_tests(t("events"), "value", "event_type")
+    return rows.select("test", "statistic")
+
+
+@query()
+def equal_variance_tests_p(t):
+    return hypotheses.equal_variance_tests(t("events"), "value", "event_type")
