@@ -119,7 +119,7 @@ def p_values(t):
 
 P_VALUES = """
 p AS (SELECT o_orderstatus AS family, CAST(month(o_orderdate) AS INTEGER) AS month,
-  (count(*) % 97 + month(o_orderdate) / 100.0) / 1000.0 AS p FROM orders GROUP BY 1, 2),
+  (count(*) % 97 + CAST(month(o_orderdate) AS INTEGER) / 100.0) / 1000.0 AS p FROM orders GROUP BY o_orderstatus, CAST(month(o_orderdate) AS INTEGER)),
 r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p) AS i FROM p)"""
 
 

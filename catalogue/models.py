@@ -1 +1,298 @@
-"""Registered queries."""
+"""Registered queries: reports, balancing, learners, evaluation and search."""
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from catalogue.profiles import LINE
+from catalogue.registry import query
+from catalogue.samples import md5_of
+from quadrat.operators import balancing, charts, evaluation, learners, stages, tuning
+from quadrat.plans import reports
+
+JUDGED = "(SELECT doc_id, quality AS truth, toxic AS prediction FROM labels)"
+LEVELS = "(SELECT unnest([0, 1]) AS label)"
+REPORT = f"""
+c AS (SELECT label, count(*) FILTER (truth = label AND prediction = label) AS tp, count(*) FILTER (prediction = label) AS q,
+  count(*) FILTER (truth = label) AS s FROM {JUDGED}, {LEVELS} GROUP BY label),
+r AS (SELECT label, coalesce(tp / nullif(q, 0), 0) AS p, coalesce(tp / nullif(s, 0), 0) AS r,
+  coalesce(2 * tp / nullif(q + s, 0), 0) AS f, s, tp, q FROM c),
+a AS (SELECT sum(tp) / sum(s) AS acc, avg(r) AS bal, avg(p) AS mp, avg(r) AS mr, avg(f) AS mf, sum(p * s) / sum(s) AS wp,
+  sum(r * s) / sum(s) AS wr, sum(f * s) / sum(s) AS wf, CAST(sum(s) AS BIGINT) AS n, stddev_pop(p) AS sp, stddev_pop(r) AS sr,
+  stddev_pop(f) AS sf FROM r)"""
+
+
+@query(f"""
+SELECT a.label AS truth, b.label AS prediction, count(doc_id) AS n FROM {LEVELS} a CROSS JOIN {LEVELS} b
+LEFT JOIN {JUDGED} ON truth = a.label AND prediction = b.label GROUP BY 1, 2""")
+def confusion_matrix(t):
+    return evaluation.confusion_matrix(t("labels"), "quality", "toxic")
+
+
+@query(f"""
+WITH {REPORT}
+SELECT CAST(label AS VARCHAR) AS label, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall, round(f, 6) + 0.0 AS f1, s AS support FROM r
+UNION ALL SELECT 'accuracy', round(acc, 6) + 0.0, round(acc, 6) + 0.0, round(acc, 6) + 0.0, n FROM a
+UNION ALL SELECT 'macro avg', round(mp, 6) + 0.0, round(mr, 6) + 0.0, round(mf, 6) + 0.0, n FROM a
+UNION ALL SELECT 'weighted avg', round(wp, 6) + 0.0, round(wr, 6) + 0.0, round(wf, 6) + 0.0, n FROM a
+UNION ALL SELECT 'balanced accuracy', round(bal, 6) + 0.0, round(bal, 6) + 0.0, round(bal, 6) + 0.0, n FROM a""")
+def classification_report(t):
+    return evaluation.classification_report(t("labels"), "quality", "toxic")
+
+
+@query(f"""
+WITH {REPORT}
+SELECT 'precision' AS metric, round(mp, 6) + 0.0 AS mean, round(sp, 6) + 0.0 AS std FROM a
+UNION ALL SELECT 'recall', round(mr, 6) + 0.0, round(sr, 6) + 0.0 FROM a
+UNION ALL SELECT 'f1', round(mf, 6) + 0.0, round(sf, 6) + 0.0 FROM a""")
+def score_spread(t):
+    return evaluation.score_spread(evaluation.class_scores(t("labels"), "quality", "toxic"))
+
+
+@query("SELECT doc_id, quality AS truth, toxic AS prediction FROM labels")
+def predictions_vs_truth(t):
+    return evaluation.predictions_vs_truth(t("labels"), "quality", "toxic", ["doc_id"])
+
+
+SCORED = "(SELECT quality, n_chars FROM labels JOIN documents USING (doc_id))"
+STEPS = f"""
+s AS (SELECT CAST(n_chars AS DOUBLE) AS t, sum(quality) AS p, count(*) - sum(quality) AS n FROM {SCORED} GROUP BY 1),
+u AS (SELECT *, sum(p) OVER w AS up, sum(n) OVER w AS un, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM s WINDOW w AS (ORDER BY t DESC))"""
+
+
+@query(f"""
+WITH {STEPS}
+SELECT t AS threshold, round(un / tn, 6) + 0.0 AS fpr, round(up / tp, 6) + 0.0 AS tpr FROM u
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""")
+def roc_curve(t):
+    return evaluation.roc_curve(t("labels").join(t("documents"), "doc_id"), "quality", "n_chars")
+
+
+@query(f"""
+WITH {STEPS}
+SELECT CAST(max(tp) AS BIGINT) AS positives, CAST(max(tn) AS BIGINT) AS negatives,
+  round(sum(n * (up - p / 2.0)) / (max(tp) * max(tn)), 6) + 0.0 AS auc FROM u""")
+def roc_auc(t):
+    return evaluation.roc_auc(t("labels").join(t("documents"), "doc_id"), "quality", "n_chars")
+
+
+@query(f"""
+WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {md5_of('event_id')}) AS i FROM events),
+m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM events GROUP BY event_type))
+SELECT event_id, event_type FROM r, m WHERE i <= m""")
+def resample_under(t):
+    return balancing.resample_under(t("events").select("event_id", "event_type"), "event_type", ["event_id"])
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {md5_of('doc_id')}) AS i,
+  count(*) OVER (PARTITION BY quality) AS n FROM labels),
+m AS (SELECT max(n) AS m FROM r)
+SELECT doc_id, quality FROM (SELECT doc_id, quality, unnest(range(0, m // n + CASE WHEN i <= m % n THEN 1 ELSE 0 END)) FROM r, m)""")
+def resample_over(t):
+    return balancing.resample_over(t("labels").select("doc_id", "quality"), "quality", ["doc_id"])
+
+
+MEASURES = ["n_chars", "words", "lines", "letters"]
+
+
+def measured(t):
+    """Labelled documents with a few measures of their text."""
+    text = t("documents").select(
+        "doc_id", "n_chars", "lang",
+        F.size(F.split("text", " ")).cast("double").alias("words"),
+        F.size(F.split("text", "\n")).cast("double").alias("lines"),
+        (F.length(F.regexp_replace("text", "[^\\p{L}]", "")) / F.length("text")).alias("letters"),
+    )
+    return t("labels").join(text, "doc_id").withColumn("label", F.col("quality").cast("double"))
+
+
+def vectors(t):
+    """The measured documents with a ``features`` vector."""
+    return VectorAssembler(inputCols=MEASURES, outputCol="features").transform(measured(t))
+
+
+def register(name: str, run, sql=None, digits=6) -> None:
+    """Register a callable under a given name."""
+    run.__name__ = name
+    query(sql, digits)(run)
+
+
+for kind in ("regular", "borderline", "kmeans", "svm", "enn"):
+    def synthetic(t, kind=kind):
+        return balancing.smote(measured(t), "quality", "doc_id", MEASURES, kind=kind)
+
+    register(f"smote_{kind}", synthetic)
+
+for learner in learners.LEARNERS:
+    def fitted(t, learner=learner):
+        rows = vectors(t)
+        model = learners.base_learners()[learner].fit(rows)
+        return learners.predict(model, rows, ["low", "high"]).select(
+            "doc_id", "label", "prediction", "predicted_label"
+        )
+
+    register(f"learner_{learner}", fitted)
+
+
+def members():
+    """Three quick learners for the votes."""
+    every = learners.base_learners()
+    return [every[n] for n in ("decision_tree", "naive_bayes", "linear_svm")]
+
+
+for voting in ("hard", "soft"):
+    def voted(t, voting=voting):
+        rows = vectors(t)
+        model = stages.VotingClassifier(members(), voting).fit(rows)
+        return model.transform(rows).select("doc_id", "label", "prediction")
+
+    register(f"vote_{voting}", voted)
+
+
+def tree(t):
+    """A decision tree on the measured documents."""
+    return learners.base_learners()["decision_tree"].fit(vectors(t))
+
+
+@query()
+def tree_importances(t):
+    return learners.tree_importances(tree(t), MEASURES, t("labels"))
+
+
+@query()
+def tree_rules(t):
+    return learners.tree_rules(tree(t), MEASURES, t("labels"))
+
+
+@query()
+def importance_by_permutation(t):
+    rows = measured(t).select("doc_id", "label", *MEASURES)
+    prepared = stages.ColumnPreparer(keep=["doc_id", "label"]).fit(rows)
+    bayes = learners.base_learners()["naive_bayes"].fit(prepared.transform(rows))
+    model = stages.PipelineModel([prepared, bayes])
+    return learners.importance_by_permutation(model, rows, MEASURES, "label", "doc_id")
+
+
+@query()
+def accuracy_train_test(t):
+    rows = vectors(t)
+    model = learners.base_learners()["naive_bayes"].fit(rows.filter("doc_id % 2 = 0"))
+    train = learners.accuracy_of(model, rows.filter("doc_id % 2 = 0"), "label", "train")
+    return train.unionAll(learners.accuracy_of(model, rows.filter("doc_id % 2 = 1"), "label", "test"))
+
+
+def whole_run(t, resample=None, scaler="standard"):
+    """Cleaning, preparation and a classifier fitted on the measured documents."""
+    rows = measured(t).select("doc_id", "label", "lang", *MEASURES, F.lit(1.0).alias("always"))
+    build = stages.build_pipeline(
+        learners.base_learners()["decision_tree"], "label", "doc_id", ["lang", "always", *MEASURES],
+        resample=resample, scaler=scaler,
+    )
+    return rows, build.fit(rows)
+
+
+@query()
+def classification_run(t):
+    rows, model = whole_run(t, resample="over")
+    return model.transform(rows).select("doc_id", "label", "prediction")
+
+
+@query()
+def dropped_features(t):
+    rows, model = whole_run(t)
+    return stages.dropped_features(model, rows)
+
+
+@query()
+def transformed_features(t):
+    rows, model = whole_run(t, scaler="minmax")
+    return stages.transformed_features(model, rows)
+
+
+@query()
+def cross_validate(t):
+    estimator = learners.base_learners()["naive_bayes"]
+    return tuning.cross_validate(estimator, vectors(t), "label", "doc_id", 5)
+
+
+@query()
+def cross_val_predictions(t):
+    estimator = learners.base_learners()["naive_bayes"]
+    return tuning.cross_val_predictions(estimator, vectors(t), "label", "doc_id", 5)
+
+
+def tree_with(depth, leaf):
+    """A decision tree with the searched settings."""
+    base = learners.base_learners()["decision_tree"]
+    return base.copy({base.maxDepth: depth, base.minInstancesPerNode: leaf})
+
+
+@query()
+def random_search(t):
+    space = {"depth": [2, 3, 5, 7], "leaf": [2, 5, 10, 20]}
+    return tuning.random_search(tree_with, space, vectors(t), "label", "doc_id", k=3, n_iter=4)
+
+
+@query()
+def grid_search(t):
+    space = {"depth": [2, 4], "leaf": [5, 20]}
+    return tuning.best_models(
+        tuning.grid_search(tree_with, space, vectors(t), "label", "doc_id", k=3), 3
+    )
+
+
+@query()
+def decision_grid(t):
+    rows = measured(t)
+    pair = VectorAssembler(inputCols=["n_chars", "letters"], outputCol="features").transform(rows)
+    model = learners.base_learners()["decision_tree"].fit(pair)
+    return charts.decision_grid(rows, "n_chars", "letters", model)
+
+
+def report_sql(column: str, kind: str, position: int, numeric: bool) -> str:
+    """The report row of one column of events."""
+    def number(f):
+        return f"round({f}({column}), 4) + 0.0" if numeric else "CAST(NULL AS DOUBLE)"
+    top = f"SELECT CAST({column} AS VARCHAR) AS v, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, v LIMIT 1"
+    return f"""
+SELECT '{column}' AS feature, {position} AS "position", '{kind}' AS type, count(*) AS rows, count(*) - count({column}) AS missing,
+  count(DISTINCT {column}) AS "distinct", (SELECT n FROM ({top})) AS freq,
+  {number("avg")} AS mean, {number("stddev_samp")} AS std, {number("min")} AS min, {number("max")} AS max FROM events"""
+
+
+@query(" UNION ALL ".join(report_sql(*a) for a in [
+    ("event_id", "bigint", 0, True), ("user_id", "bigint", 1, True), ("event_type", "string", 2, False),
+    ("value", "double", 3, True)]), digits=4)
+def dataset_report(t):
+    rows = t("events").select("event_id", "user_id", "event_type", "value")
+    return reports.dataset_report(rows).drop("top")
+
+
+@query()
+def dataset_associations(t):
+    return reports.dataset_associations(t("lineitem"), LINE, ["l_returnflag", "l_linestatus"])
+
+
+@query(" UNION ALL ".join(f"""
+SELECT '{c}' AS feature, count({c}) FILTER (a) AS count_a, count({c}) FILTER (NOT a) AS count_b,
+  CAST(0 AS BIGINT) AS missing_a, CAST(0 AS BIGINT) AS missing_b,
+  round(avg({c}) FILTER (a), 4) + 0.0 AS mean_a, round(avg({c}) FILTER (NOT a), 4) + 0.0 AS mean_b,
+  round(stddev_samp({c}) FILTER (a), 4) + 0.0 AS std_a, round(stddev_samp({c}) FILTER (NOT a), 4) + 0.0 AS std_b,
+  round(avg({c}) FILTER (NOT a) - avg({c}) FILTER (a), 4) + 0.0 AS mean_delta
+FROM (SELECT *, l_returnflag = 'A' AS a FROM lineitem)""" for c in LINE), digits=4)
+def compare_datasets(t):
+    rows = t("lineitem")
+    return reports.compare_datasets(
+        rows.filter("l_returnflag = 'A'"), rows.filter("l_returnflag <> 'A'"), LINE
+    )
+
+
+@query()
+def anova_verdict(t):
+    return reports.assumptions_verdict(reports.anova_report(t("events"), "value", "event_type"))
+
+
+@query()
+def outlier_chart(t):
+    return reports.outlier_chart(t("events").withColumn("props_chars", F.length("props")),
+                                 ["value", "props_chars"], "event_type", ["event_id"])

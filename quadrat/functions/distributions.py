@@ -15,11 +15,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NORMAL = NormalDist()
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 _TINY = 1e-300
 
 
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
+
 def normal_sf(x):
     """P(Z > x)."""
     return 0.5 * _erfc(np.asarray(x, float) / math.sqrt(2.0))

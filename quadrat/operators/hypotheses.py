@@ -549,7 +549,9 @@ def tukey_intervals(df: DataFrame, y: str, group: str, alpha: float = 0.05) -> D
     k, whole = head[0], head[2]
     if not k:
         raise ValueError("at least two groups are needed")
-    sides = F.inline(F.array(F.struct(F.col("a").alias("group"), "gap"), F.struct("b", "gap")))
+    sides = F.inline(
+        F.array(*[F.struct(F.col(side).alias("group"), "gap") for side in ("a", "b")])
+    )
     own = pairs.select(sides).groupBy("group").agg(F.sum("gap").alias("own"))
     width = (
         F.col("own") / 2.0

@@ -187,13 +187,38 @@ def robust_mad(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     )
 
 
+def running_totals(
+    table: DataFrame, order: str, columns: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``upto_<c>``: running sums along unique ``order`` values, per ``by`` key.
+
+    The table is range-sorted into slots and written once, so that the slots
+    stay fixed. Sums run inside each slot and are shifted by the slots before
+    it; only one row per slot is ever put in a single ordering.
+    """
+    slots = durable(
+        table.repartitionByRange(*by, order).withColumn("slot", F.spark_partition_id())
+    )
+    keys = [*by, "slot"]
+    per_slot = slots.groupBy(*keys).agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    before = W.partitionBy(*by).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_slot.select(
+        *keys,
+        *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in columns],
+    )
+    inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    totals = {f"upto_{c}": F.col(f"__b_{c}") + F.sum(c).over(inside) for c in columns}
+    return slots.join(offsets, keys).withColumns(totals).select(
+        *table.columns, *[f"upto_{c}" for c in columns]
+    )
+
+
 def ranked_values(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Global ranks of the distinct values: ``(by…, value, n, first, last, rank)``.
 
     ``first``/``last`` are the 1-based positions of the value's rows in the
     whole ordering (per ``by`` key) and ``rank`` is their mean. Values are
-    counted before the range sort, so a hot value is one row; the running sum
-    is taken inside each sorted slot and shifted by the slots before it.
+    counted before the range sort, so a hot value is one row.
     """
     counted = (
         melt(df, [column], by)
@@ -201,26 +226,10 @@ def ranked_values(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFra
         .groupBy(*by, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    slots = durable(
-        counted.repartitionByRange(*by, "value").withColumn("slot", F.spark_partition_id())
-    )
-    per_slot = slots.groupBy(*by, "slot").agg(F.sum("n").alias("__rows"))
-    before = W.partitionBy(*by).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slot.select(
-        *by, "slot", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")
-    )
-    # one row per slot and key: as small as the number of range partitions
-    keys = [*by, "slot"]
-    inside = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = F.col("__before") + F.sum("n").over(inside)
-    return (
-        slots.join(offsets, keys)
-        .withColumn("last", last)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-        .select(
-            *by, "value", "n", "first", "last",
-            ((F.col("first") + F.col("last")) / 2.0).alias("rank"),
-        )
+    first = F.col("upto_n") - F.col("n") + 1
+    return running_totals(counted, "value", ["n"], by).select(
+        *by, "value", "n", first.alias("first"), F.col("upto_n").alias("last"),
+        ((first + F.col("upto_n")) / 2.0).alias("rank"),
     )
 
 
