@@ -21,7 +21,24 @@ from quadrat.functions.columns import (
 from quadrat.functions.distributions import t_ppf_column
 from quadrat.operators.kendall import kendall_tau
 from quadrat.operators.linalg import complete_rows
-from quadrat.operators.quantiles import quantile_table, ranked_values, robust_mad
+from quadrat.operators.quantiles import (
+    MAD_SCALE,
+    column_brackets,
+    column_deviations,
+    column_quantiles,
+    ranked_values,
+)
+
+
+MOMENTS = {
+    "missing": lambda x: F.count_if(x.isNull()),
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "min": F.min,
+    "max": F.max,
+    "g1": F.skewness,
+    "g2": F.kurtosis,
+}
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -30,13 +47,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(
             F.lit(name).alias("feature"),
             F.count(number(name)).alias("count"),
-            F.count_if(number(name).isNull()).alias("missing"),
-            F.avg(number(name)).alias("mean"),
-            F.stddev_samp(number(name)).alias("std"),
-            F.min(number(name)).alias("min"),
-            F.max(number(name)).alias("max"),
-            F.skewness(number(name)).alias("g1"),
-            F.kurtosis(number(name)).alias("g2"),
+            *[make(number(name)).alias(key) for key, make in MOMENTS.items()],
         )
         for name in columns
     ]
@@ -44,11 +55,30 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per numeric column: describe, variation, MAD, kurtosis, skewness."""
-    quartiles = quantile_table(df, columns, [0.25, 0.5, 0.75])
-    small = moments(df, columns).join(quartiles.drop("n"), "feature", "left")
-    small = small.join(robust_mad(df, columns), "feature", "left")
-    return small.select(
+    """One row per numeric column: describe, variation, MAD, kurtosis, skewness.
+
+    Four scans in all: moments with the quartile brackets, the exact quartiles,
+    and two for the deviations from the medians. Between them only a few numbers
+    per column reach the driver.
+    """
+    values = {c: number(c) for c in columns}
+    quarters = [0.25, 0.5, 0.75]
+    first = column_brackets(df, values, quarters, MOMENTS)
+    quartiles = {
+        r["feature"]: [r["q0"], r["q1"], r["q2"]]
+        for r in column_quantiles(df, values, quarters, first).collect()
+    }
+    rows = [
+        (r["feature"], r["n"], *[r[key] for key in MOMENTS],
+         *quartiles.get(r["feature"], [None] * 3))
+        for r in first
+    ]
+    schema = "feature string, count bigint, missing bigint, " + ", ".join(
+        f"{c} double" for c in ("mean", "std", "min", "max", "g1", "g2", "p25", "p50", "p75")
+    )
+    small = df.sparkSession.createDataFrame(rows, schema)
+    deviations = column_deviations(df, {c: q[1] for c, q in quartiles.items()})
+    return small.join(deviations, "feature", "left").select(
         "feature",
         pretty_label("feature").alias("label"),
         "count",
@@ -56,12 +86,12 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "mean",
         "std",
         "min",
-        F.col("q0").alias("p25"),
-        F.col("q1").alias("p50"),
-        F.col("q2").alias("p75"),
+        "p25",
+        "p50",
+        "p75",
         "max",
         percent_of(F.col("std"), F.col("mean")).alias("pct_var"),
-        "mad",
+        (F.col("deviation") / F.lit(MAD_SCALE)).alias("mad"),
         adjusted_kurtosis(F.col("count"), F.col("g2")).alias("kurt"),
         adjusted_skewness(F.col("count"), F.col("g1")).alias("skew"),
     )

@@ -3,15 +3,17 @@
 ``percentile`` keeps every distinct value of a group in one task. Here a
 bounded sketch brackets each wanted order statistic first; then a single
 aggregate counts rows, keeping individual values only inside the brackets.
-Only those few candidates are ordered per group.
+Only those few candidates are ordered per group. The counts prove the result:
+a bracket that missed its position raises.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -19,86 +21,57 @@ from quadrat.functions.columns import broadcast_up_to, melt, number
 from quadrat.operators.durable import durable
 
 MAD_SCALE = 0.6744897501960817  # fixed value: the 0.75 quantile of the normal
-
-
-BROADCAST_GROUPS = 100_000
+SKETCH_K = 32_768  # at most about a megabyte per group and a rank error of 1.4e-4
+MARGIN = 5e-4  # bracket half-width in rank, more than three times that error
 SMALL_GROUP = 50_000  # groups up to this size are ordered whole
+BROADCAST_GROUPS = 100_000
+WIDE_TABLE = 48  # more columns than this share one scan in long form
 
 
-def _edge_probs(probs: Sequence[float], accuracy: int) -> list[float]:
-    margin = 3.0 / accuracy
-    edges = [edge for p in probs for edge in (max(0.0, p - margin), min(1.0, p + margin))]
-    return [*edges, 0.0, 1.0]
-
-
-def _edge_columns(count: int) -> list[Column]:
-    small = F.col("n") <= SMALL_GROUP
-    edge = F.col("__edges")
-    return [
-        F.when(small, edge[2 * count + side]).otherwise(edge[2 * i + side]).alias(f"__{name}{i}")
-        for i in range(count)
-        for side, name in ((0, "lo"), (1, "hi"))
+def sketched_edges(x: Column, probs: Sequence[float]) -> Column:
+    """Aggregate: ``[lo0, hi0, lo1, hi1, …]`` around each quantile; NULL without rows."""
+    ranks = [
+        edge for p in probs for edge in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))
     ]
+    sketch = F.kll_sketch_agg_double(x, F.lit(SKETCH_K))
+    edges = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(r) for r in ranks]))
+    whole = F.array(*[F.lit(e) for _ in probs for e in (-math.inf, math.inf)])
+    return F.when(F.count(x) > SMALL_GROUP, edges).when(F.count(x) > 0, whole)
 
 
-def _column_brackets(df: DataFrame, columns, probs, accuracy: int) -> DataFrame:
-    """One bracket row per column, from one aggregate without grouping keys."""
-    edges = _edge_probs(probs, accuracy)
+def column_brackets(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    probs: Sequence[float],
+    extra: Mapping[str, object] | None = None,
+) -> list[Row]:
+    """``(feature, n, edges, extra…)`` of whole columns: one scan, one row per column."""
     cells = [
         F.struct(
-            F.lit(c).alias("feature"),
-            F.count(number(c)).alias("n"),
-            F.percentile_approx(number(c), edges, accuracy).alias("__edges"),
+            F.lit(name).alias("feature"),
+            F.count(x).alias("n"),
+            sketched_edges(x, probs).alias("edges"),
+            *[make(x).alias(key) for key, make in (extra or {}).items()],
         )
-        for c in columns
+        for name, x in columns.items()
     ]
-    table = df.agg(F.array(*cells).alias("__cells")).select(F.inline("__cells"))
-    return table.select("feature", "n", *_edge_columns(len(probs)))
+    return df.agg(F.array(*cells).alias("cells")).first()["cells"]
 
 
-def _group_brackets(long: DataFrame, keys: Sequence[str], probs, accuracy: int) -> DataFrame:
-    """One bracket row per group, materialised so that its size can be checked."""
-    table = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", _edge_probs(probs, accuracy), accuracy).alias("__edges"),
-    )
-    table = durable(table.select(*keys, "n", *_edge_columns(len(probs))))
-    return broadcast_up_to(table, table.count(), BROADCAST_GROUPS)
-
+def _folded(value: Column, edges: Sequence[Column]) -> list[Column]:
+    """``anchor`` and ``outside``: the value itself inside a bracket, else the bracket below."""
+    pairs = [(edges[i], edges[i + 1]) for i in range(0, len(edges), 2)]
+    inside = reduce(lambda a, b: a | b, [(value >= lo) & (value <= hi) for lo, hi in pairs])
+    passed = [F.when(value > hi, hi) for _, hi in pairs]
+    below = F.greatest(*passed) if len(passed) > 1 else passed[0]
+    return [
+        F.when(inside, value).otherwise(below).alias("__anchor"),
+        (~inside).alias("__outside"),
+    ]
 
-def select_quantiles(
-    long: DataFrame,
-    keys: Sequence[str],
-    probs: Sequence[float],
-    accuracy: int = 20_000,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles ``q0, q1, …`` per key of ``(keys…, value)``.
 
-    Keys must not be NULL; NULL values are skipped.
-    """
-    long = long.filter(F.col("value").isNotNull())
-    brackets = _group_brackets(long, keys, probs, accuracy)
-    return _select(long, brackets, keys, probs)
-
-
-def _select(long: DataFrame, brackets: DataFrame, keys, probs) -> DataFrame:
-    count = len(probs)
-    rows = long.join(brackets, list(keys))
-    value = F.col("value")
-    inside = reduce(
-        lambda a, b: a | b,
-        [(value >= F.col(f"__lo{i}")) & (value <= F.col(f"__hi{i}")) for i in range(count)],
-    )
-    passed = [F.when(value > F.col(f"__hi{i}"), F.col(f"__hi{i}")) for i in range(count)]
-    floor = F.greatest(*passed) if count > 1 else passed[0]
-    counts = (
-        rows.select(
-            *keys, "n", (~inside).alias("__outside"),
-            F.when(inside, value).otherwise(floor).alias("__anchor"),
-        )
-        .groupBy(*keys, "n", "__anchor", "__outside")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-    )
+def _interpolate(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles from ``(keys…, n, __anchor, __outside, __rows)``."""
     order = W.partitionBy(*keys).orderBy(F.col("__anchor").asc_nulls_first(), "__outside")
     upto = F.sum("__rows").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     placed = counts.withColumn("__upto", upto).withColumn(
@@ -122,11 +95,74 @@ def _select(long: DataFrame, brackets: DataFrame, keys, probs) -> DataFrame:
     for i, p in enumerate(probs):
         x, y = F.col(f"__x{i}"), F.col(f"__y{i}")
         share = position(p) - F.floor(position(p))
-        exact = F.when(x.isNull() | y.isNull(), F.raise_error(F.lit("quantile bracket missed")))
-        quantiles.append(exact.otherwise(x + share * (y - x)).cast("double").alias(f"q{i}"))
+        missed = F.when(x.isNull() | y.isNull(), F.raise_error(F.lit("quantile bracket missed")))
+        quantiles.append(missed.otherwise(x + share * (y - x)).cast("double").alias(f"q{i}"))
     return found.select(*keys, "n", *quantiles)
 
 
+def column_quantiles(
+    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], brackets: list[Row]
+) -> DataFrame:
+    """``(feature, n, q0, …)`` of whole columns whose brackets are known.
+
+    Each column is counted by its own one-column scan with the bracket as
+    literals, so nothing is exploded; very wide tables go through long form.
+    """
+    known = {row["feature"]: row for row in brackets if row["n"]}
+    if not known:
+        return df.sparkSession.createDataFrame(
+            [], ", ".join(["feature string", "n bigint", *[f"q{i} double" for i in range(len(probs))]])
+        )
+    if len(known) > WIDE_TABLE:
+        table = df.sparkSession.createDataFrame(
+            [(f, row["n"], row["edges"]) for f, row in known.items()],
+            "feature string, n bigint, __edges array<double>",
+        )
+        wide = df.select(*[columns[f].alias(f) for f in known])
+        return _counted(melt(wide, list(known)), F.broadcast(table), ["feature"], probs)
+    branches = []
+    for feature, row in known.items():
+        value = F.col("value")
+        rows = df.select(columns[feature].alias("value")).filter("value is not null")
+        counts = (
+            rows.select(*_folded(value, [F.lit(e) for e in row["edges"]]))
+            .groupBy("__anchor", "__outside")
+            .agg(F.count(F.lit(1)).alias("__rows"))
+        )
+        branches.append(
+            counts.select(F.lit(feature).alias("feature"), F.lit(row["n"]).alias("n"), "*")
+        )
+    return _interpolate(reduce(DataFrame.unionAll, branches), ["feature"], probs)
+
+
+def _counted(long: DataFrame, brackets: DataFrame, keys, probs) -> DataFrame:
+    rows = long.filter("value is not null").join(brackets, list(keys))
+    edges = [F.col("__edges")[i] for i in range(2 * len(probs))]
+    counts = (
+        rows.select(*keys, "n", *_folded(F.col("value"), edges))
+        .groupBy(*keys, "n", "__anchor", "__outside")
+        .agg(F.count(F.lit(1)).alias("__rows"))
+    )
+    return _interpolate(counts, keys, probs)
+
+
+def select_quantiles(
+    long: DataFrame, keys: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    """Exact linear-interpolated quantiles ``q0, q1, …`` per key of ``(keys…, value)``.
+
+    Keys must not be NULL; NULL values are skipped. The brackets are written
+    once, and broadcast only if they turn out to be few.
+    """
+    long = long.filter("value is not null")
+    table = durable(
+        long.groupBy(*keys).agg(
+            F.count("value").alias("n"), sketched_edges(F.col("value"), probs).alias("__edges")
+        )
+    )
+    return _counted(long, broadcast_up_to(table, table.count(), BROADCAST_GROUPS), keys, probs)
+
+
 def quantile_table(
     df: DataFrame,
     columns: Sequence[str],
@@ -136,15 +172,15 @@ def quantile_table(
 ) -> DataFrame:
     """``(by…, feature, n, q0, q1, …)``: quantiles of every column, per group.
 
-    ``exact=False`` returns actual elements from the bounded sketch instead.
+    ``exact=False`` returns actual elements from a bounded sketch instead.
     Rows with a NULL group key are left out.
     """
     keys = [*by, "feature"]
     df = df.dropna(subset=list(by)) if by else df
-    long = melt(df, columns, by).filter("value is not null")
     if exact and not by:
-        brackets = F.broadcast(_column_brackets(df, columns, probs, 20_000))
-        return _select(long, brackets, keys, probs)
+        values = {c: number(c) for c in columns}
+        return column_quantiles(df, values, probs, column_brackets(df, values, probs))
+    long = melt(df, columns, by).filter("value is not null")
     if exact:
         return select_quantiles(long, keys, probs)
     sketch = long.groupBy(*keys).agg(
@@ -156,6 +192,15 @@ def quantile_table(
     )
 
 
+def column_deviations(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
+    """``(feature, deviation)``: median distance from the known medians."""
+    values = {c: F.abs(number(c) - F.lit(m)) for c, m in medians.items()}
+    brackets = column_brackets(df, values, [0.5]) if values else []
+    return column_quantiles(df, values, [0.5], brackets).select(
+        "feature", F.col("q0").alias("deviation")
+    )
+
+
 def median_deviation_table(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -164,20 +209,16 @@ def median_deviation_table(
     keys = [*by, "feature"]
     centre = quantile_table(df, columns, [0.5], by).select(*keys, F.col("q0").alias("median"))
     if not by:
-        medians = centre.agg(
-            F.map_from_entries(F.collect_list(F.struct("feature", "median")))
-        ).scalar()
-        spread = df.select(*[F.abs(number(c) - medians[c]).alias(c) for c in columns])
-        deviation = quantile_table(spread, columns, [0.5])
-    else:
-        long = melt(df, columns, by).filter("value is not null").join(centre, keys)
-        deviation = select_quantiles(
-            long.select(*keys, F.abs(F.col("value") - F.col("median")).alias("value")),
-            keys,
-            [0.5],
+        medians = {r["feature"]: r["median"] for r in centre.collect()}  # one per column
+        found = df.sparkSession.createDataFrame(
+            list(medians.items()), "feature string, median double"
         )
-    deviation = deviation.select(*keys, F.col("q0").alias("deviation"))
-    return centre.join(deviation, keys)
+        return found.join(column_deviations(df, medians), "feature")
+    long = melt(df, columns, by).filter("value is not null").join(centre, keys)
+    deviation = select_quantiles(
+        long.select(*keys, F.abs(F.col("value") - F.col("median")).alias("value")), keys, [0.5]
+    )
+    return centre.join(deviation.select(*keys, F.col("q0").alias("deviation")), keys)
 
 
 def robust_mad(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -331,7 +331,7 @@ class VoteCombiner(Transformer, DefaultParamsReadable, DefaultParamsWritable):
                 shares.append(vector_to_array(f"probability_{i}"))
             else:
                 raw = vector_to_array(f"rawPrediction_{i}")
-                odds = F.transform(raw, lambda x: 1.0 / (1.0 + F.exp(-x)))
+                odds = F.transform(raw, lambda x, top=F.array_max(raw): F.exp(x - top))
                 whole = F.aggregate(odds, F.lit(0.0), lambda acc, x: acc + x)
                 shares.append(F.transform(odds, lambda x, w=whole: x / w))
         total = shares[0]
