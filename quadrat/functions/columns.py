@@ -103,7 +103,3 @@ def melt(
     )
     return wide.select(*keep, F.inline(cells))
 
-
-def broadcast_up_to(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
-    """Broadcast a table whose row count is known to be at most ``rows``."""
-    return F.broadcast(df) if rows <= limit else df

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.operators.durable import small_side
 from quadrat.operators.neighbours import as_points, nearest
 from quadrat.operators.sampling import hashed_rank
 
@@ -39,7 +40,7 @@ def resample_over(df: DataFrame, target: str, keys: Sequence[str], seed: int = 4
     extra = (F.col("__rank") <= largest % F.col("__size")).cast("bigint")
     copies = F.floor(largest / F.col("__size")) + extra
     return (
-        ranked.join(sizes, F.col(target) == F.col("__class"))
+        ranked.join(small_side(sizes), F.col(target) == F.col("__class"))
         .select(*df.columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("__copy"))
         .drop("__copy")
     )
@@ -65,7 +66,7 @@ def _synthesise(
     largest = sizes.agg(F.max("__size")).scalar()
     counts = seeds.groupBy("label").agg(F.count(F.lit(1)).alias("__seeds")).join(sizes, "label")
     counts = counts.select("label", "__seeds", (largest - F.col("__size")).alias("__need"))
-    ranked = hashed_rank(seeds, ["id"], seed, ["label"], "__rank").join(counts, "label")
+    ranked = hashed_rank(seeds, ["id"], seed, ["label"], "__rank").join(small_side(counts), "label")
     share = F.floor(F.col("__need") / F.col("__seeds")) + (
         F.col("__rank") <= F.col("__need") % F.col("__seeds")
     ).cast("bigint")
@@ -112,7 +113,7 @@ def _minority(points: DataFrame) -> DataFrame:
     """Points of the classes smaller than the largest."""
     sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
     small = sizes.filter(F.col("__n") < sizes.agg(F.max("__n")).scalar()).select("label")
-    return points.join(small, "label", "left_semi").select("id", "vector", "label")
+    return points.join(small_side(small), "label", "left_semi").select("id", "vector", "label")
 
 
 def smote(

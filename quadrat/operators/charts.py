@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.columns import adjusted_skewness, melt, number
 from quadrat.functions.distributions import normal_ppf, normal_ppf_column, t_ppf_column
+from quadrat.operators.durable import small_side
 from quadrat.operators.quantiles import quantile_table, ranked_values
 from quadrat.operators.sampling import hashed_rank
 
@@ -67,6 +68,7 @@ def kde(
         (F.col("s") * F.pow(F.col("n"), F.lit(-0.2))).alias("h"),
         adjusted_skewness(F.col("n"), F.col("g1")).alias("skew"),
     )
+    shape = small_side(shape)
     step = (F.col("hi") - F.col("lo")) / float(bins - 1)
     points = (
         rows.join(shape, "hue")
@@ -96,7 +98,7 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     )
     rows = melt(df.dropna(subset=list(by)) if by else df, [column], by).filter("value is not null")
     if by:
-        joined = rows.join(quartiles, list(by))
+        joined = rows.join(small_side(quartiles), list(by))
     else:
         fit = quartiles.agg(F.first(F.struct("q1", "median", "q3"))).scalar()
         joined = rows.select("value", fit.alias("__q")).select("value", "__q.*")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -23,3 +26,14 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A summary table to be joined to many rows.
+
+    It is written once and counted; up to ``limit`` rows it is broadcast, so the
+    large side is not shuffled on a possibly hot key. Beyond that the join is
+    left to the adaptive planner.
+    """
+    table = durable(table)
+    return F.broadcast(table) if table.count() <= limit else table

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrat.functions.columns import melt, number, require_columns
+from quadrat.operators.durable import small_side
 from quadrat.operators.profile import correlation_pairs, feature_value_counts, most_frequent
 from quadrat.operators.quantiles import quantile_table
 from quadrat.operators.table import label_map
@@ -185,7 +186,9 @@ def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None)
 def ordinal_encode(df: DataFrame, column: str, codes: DataFrame | None = None) -> DataFrame:
     """Replace a column by its sorted code; values not in ``codes`` become -1."""
     codes = label_map(df, column) if codes is None else codes
-    table = codes.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
+    table = small_side(
+        codes.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
+    )
     joined = df.join(table, F.col(column) == F.col("__label"), "left")
     return joined.select(
         *[F.coalesce("__code", F.lit(-1)).alias(c) if c == column else F.col(c) for c in df.columns]

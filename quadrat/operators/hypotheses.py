@@ -20,6 +20,7 @@ from quadrat.functions.distributions import (
     studentized_range_ppf,
     studentized_range_sf_column,
 )
+from quadrat.operators.durable import small_side
 from quadrat.operators.linalg import complete_rows
 from quadrat.operators.quantiles import quantile_table, ranked_values
 
@@ -80,7 +81,7 @@ def residuals(df: DataFrame, y: str, group: str, name: str = "residual") -> Data
     means = group_table(df, y, group).select(
         F.col("group").alias("__group"), F.col("mean").alias("__mean")
     )
-    joined = df.join(means, F.col(group) == F.col("__group"), "left")
+    joined = df.join(small_side(means), F.col(group) == F.col("__group"), "left")
     return joined.select(*df.columns, (number(y) - F.col("__mean")).alias(name))
 
 
@@ -520,7 +521,7 @@ def equal_variance_tests(
     bartlett = top / (1 + (b["inverse"] - 1 / dof) / (3 * (b["k"] - 1)))
     text = rows.withColumn("__g", F.col(group).cast("string"))
     medians = quantile_table(text, [y], [0.5], ["__g"]).select("__g", F.col("q0").alias("__m"))
-    spread = text.join(medians, "__g").select(
+    spread = text.join(small_side(medians), "__g").select(
         "__g", F.abs(number(y) - F.col("__m")).alias("__spread")
     )
     s = _sums_of_squares(group_table(spread, "__spread", "__g")).first()

@@ -23,31 +23,25 @@ from quadrat.operators.kendall import kendall_tau
 from quadrat.operators.linalg import complete_rows
 from quadrat.operators.quantiles import (
     MAD_SCALE,
-    column_brackets,
     column_deviations,
-    column_quantiles,
+    quantile_table,
     ranked_values,
 )
 
 
-MOMENTS = {
-    "missing": lambda x: F.count_if(x.isNull()),
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "min": F.min,
-    "max": F.max,
-    "g1": F.skewness,
-    "g2": F.kurtosis,
-}
-
-
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(feature, count, missing, mean, std, min, max, g1, g2)`` from one scan."""
     cells = [
         F.struct(
             F.lit(name).alias("feature"),
             F.count(number(name)).alias("count"),
-            *[make(number(name)).alias(key) for key, make in MOMENTS.items()],
+            F.count_if(number(name).isNull()).alias("missing"),
+            F.avg(number(name)).alias("mean"),
+            F.stddev_samp(number(name)).alias("std"),
+            F.min(number(name)).alias("min"),
+            F.max(number(name)).alias("max"),
+            F.skewness(number(name)).alias("g1"),
+            F.kurtosis(number(name)).alias("g2"),
         )
         for name in columns
     ]
@@ -57,27 +51,17 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per numeric column: describe, variation, MAD, kurtosis, skewness.
 
-    Four scans in all: moments with the quartile brackets, the exact quartiles,
-    and two for the deviations from the medians. Between them only a few numbers
-    per column reach the driver.
+    Moments stay in one generated-code aggregate of their own; a sketch in the
+    same aggregate would slow them down. The medians found for the quartiles
+    serve the deviations too.
     """
-    values = {c: number(c) for c in columns}
-    quarters = [0.25, 0.5, 0.75]
-    first = column_brackets(df, values, quarters, MOMENTS)
-    quartiles = {
-        r["feature"]: [r["q0"], r["q1"], r["q2"]]
-        for r in column_quantiles(df, values, quarters, first).collect()
-    }
-    rows = [
-        (r["feature"], r["n"], *[r[key] for key in MOMENTS],
-         *quartiles.get(r["feature"], [None] * 3))
-        for r in first
-    ]
-    schema = "feature string, count bigint, missing bigint, " + ", ".join(
-        f"{c} double" for c in ("mean", "std", "min", "max", "g1", "g2", "p25", "p50", "p75")
+    quartiles = quantile_table(df, columns, [0.25, 0.5, 0.75]).collect()  # one row per column
+    found = df.sparkSession.createDataFrame(
+        [(r["feature"], r["q0"], r["q1"], r["q2"]) for r in quartiles],
+        "feature string, p25 double, p50 double, p75 double",
     )
-    small = df.sparkSession.createDataFrame(rows, schema)
-    deviations = column_deviations(df, {c: q[1] for c, q in quartiles.items()})
+    deviations = column_deviations(df, {r["feature"]: r["q1"] for r in quartiles})
+    small = moments(df, columns).join(F.broadcast(found), "feature", "left")
     return small.join(deviations, "feature", "left").select(
         "feature",
         pretty_label("feature").alias("label"),

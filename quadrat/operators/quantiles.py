@@ -17,14 +17,13 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quadrat.functions.columns import broadcast_up_to, melt, number
-from quadrat.operators.durable import durable
+from quadrat.functions.columns import melt, number
+from quadrat.operators.durable import durable, small_side
 
 MAD_SCALE = 0.6744897501960817  # fixed value: the 0.75 quantile of the normal
 SKETCH_K = 32_768  # at most about a megabyte per group and a rank error of 1.4e-4
 MARGIN = 5e-4  # bracket half-width in rank, more than three times that error
 SMALL_GROUP = 50_000  # groups up to this size are ordered whole
-BROADCAST_GROUPS = 100_000
 WIDE_TABLE = 48  # more columns than this share one scan in long form
 
 
@@ -40,18 +39,14 @@ def sketched_edges(x: Column, probs: Sequence[float]) -> Column:
 
 
 def column_brackets(
-    df: DataFrame,
-    columns: Mapping[str, Column],
-    probs: Sequence[float],
-    extra: Mapping[str, object] | None = None,
+    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float]
 ) -> list[Row]:
-    """``(feature, n, edges, extra…)`` of whole columns: one scan, one row per column."""
+    """``(feature, n, edges)`` of whole columns: one scan, one row per column."""
     cells = [
         F.struct(
             F.lit(name).alias("feature"),
             F.count(x).alias("n"),
             sketched_edges(x, probs).alias("edges"),
-            *[make(x).alias(key) for key, make in (extra or {}).items()],
         )
         for name, x in columns.items()
     ]
@@ -155,12 +150,10 @@ def select_quantiles(
     once, and broadcast only if they turn out to be few.
     """
     long = long.filter("value is not null")
-    table = durable(
-        long.groupBy(*keys).agg(
-            F.count("value").alias("n"), sketched_edges(F.col("value"), probs).alias("__edges")
-        )
+    brackets = long.groupBy(*keys).agg(
+        F.count("value").alias("n"), sketched_edges(F.col("value"), probs).alias("__edges")
     )
-    return _counted(long, broadcast_up_to(table, table.count(), BROADCAST_GROUPS), keys, probs)
+    return _counted(long, small_side(brackets), keys, probs)
 
 
 def quantile_table(
@@ -214,6 +207,7 @@ def median_deviation_table(
             list(medians.items()), "feature string, median double"
         )
         return found.join(column_deviations(df, medians), "feature")
+    centre = small_side(centre)
     long = melt(df, columns, by).filter("value is not null").join(centre, keys)
     deviation = select_quantiles(
         long.select(*keys, F.abs(F.col("value") - F.col("median")).alias("value")), keys, [0.5]

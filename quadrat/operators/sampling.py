@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quadrat.functions.columns import order_hash, require_columns
+from quadrat.operators.durable import small_side
 
 PREFIX_DIGITS = 4  # 65,536 hash buckets per group
 
@@ -37,22 +38,23 @@ def hashed_rank(
     whole group however large it is. ``keys`` must identify a row.
     """
     require_columns(df, [*keys, *by])
-    groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
-    hashed = df.withColumns(
-        {"__h": order_hash(keys, seed), **{f"__g{i}": F.col(c) for i, c in enumerate(by)}}
-    ).withColumn("__b", F.substring("__h", 1, PREFIX_DIGITS))
-    group_names = [f"__g{i}" for i in range(len(groups))]
-    bucket = [*group_names, "__b"]
+    hashed = df.withColumn("__h", order_hash(keys, seed)).withColumn(
+        "__b", F.substring("__h", 1, PREFIX_DIGITS)
+    )
+    # a struct is never NULL and equal to itself, so NULL groups need no special
+    # join, and join and window share one partitioning
+    group = ["__g"] if by else []
+    if by:
+        hashed = hashed.withColumn("__g", F.struct(*by))
+    bucket = [*group, "__b"]
     counts = hashed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*group_names).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(c).alias(f"{c}r") for c in bucket],
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+        *bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
-    same = [F.col(c).eqNullSafe(F.col(f"{c}r")) for c in bucket]
     inside = W.partitionBy(*bucket).orderBy("__h", *keys)
     return (
-        hashed.join(offsets, same)
+        hashed.join(offsets, bucket)
         .withColumn(name, F.col("__before") + F.row_number().over(inside))
         .select(*df.columns, name)
     )
@@ -114,8 +116,8 @@ def split_stratified(
     seed: int = 42,
 ) -> DataFrame:
     """Add ``split`` train/test with ``round(train * n_class)`` train rows per class."""
-    sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("__size"))
-    sizes = sizes.withColumnRenamed(target, "__class")
+    sizes = df.groupBy(F.col(target).alias("__class")).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = small_side(sizes)
     ranked = hashed_rank(df, keys, seed, by=[target], name="__rank")
     label = F.when(F.col("__rank") <= F.round(F.col("__size") * train), "train")
     return (
@@ -146,22 +148,20 @@ def sample_per_value(
 ) -> DataFrame:
     """One random row for each value of each parameter; repeats are kept.
 
-    The row with the smallest hash is found by a map-side combined minimum.
+    The smallest hash per value is a map-side combined number; the few rows that
+    carry it are then picked by a join to that small table.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
+    place = F.conv(F.substring(order_hash(keys, seed), 1, 15), 16, 10).cast("bigint")
     cells = F.array(
         *[
             F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("value"))
             for p in parameters
         ]
     )
-    long = df.select(row.alias("__row"), order_hash(keys, seed).alias("__h"), F.inline(cells))
-    picked = (
-        long.filter(F.col("value").isNotNull())
-        .groupBy("parameter", "value")
-        .agg(F.min_by("__row", "__h").alias("__row"))
-    )
-    return picked.select("parameter", "value", "__row.*")
+    long = df.select("*", place.alias("__at"), F.inline(cells)).filter("value is not null")
+    first = long.groupBy("parameter", "value").agg(F.min("__at").alias("__at"))
+    picked = long.join(small_side(first), ["parameter", "value", "__at"])
+    return picked.dropDuplicates(["parameter", "value"]).select("parameter", "value", *df.columns)
 
 
 def cumulative_share(

@@ -297,6 +297,13 @@ class ResampledClassifier(Estimator):
         return self.classifier.fit(durable(ready.select(self.key, label, "features")))
 
 
+def _softmax(raw: Column) -> Column:
+    top = F.array_max(raw)
+    odds = F.transform(raw, lambda x: F.exp(x - top))
+    whole = F.aggregate(odds, F.lit(0.0), lambda acc, x: acc + x)
+    return F.transform(odds, lambda x: x / whole)
+
+
 class VoteCombiner(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Combines ``prediction_i`` (hard) or class probabilities (soft) of several models."""
 
@@ -331,9 +338,7 @@ class VoteCombiner(Transformer, DefaultParamsReadable, DefaultParamsWritable):
                 shares.append(vector_to_array(f"probability_{i}"))
             else:
                 raw = vector_to_array(f"rawPrediction_{i}")
-                odds = F.transform(raw, lambda x, top=F.array_max(raw): F.exp(x - top))
-                whole = F.aggregate(odds, F.lit(0.0), lambda acc, x: acc + x)
-                shares.append(F.transform(odds, lambda x, w=whole: x / w))
+                shares.append(_softmax(raw))
         total = shares[0]
         for other in shares[1:]:
             total = F.zip_with(total, other, lambda a, b: a + b)

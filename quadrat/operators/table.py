@@ -17,6 +17,7 @@ from quadrat.functions.columns import (
     numeric_names,
     require_columns,
 )
+from quadrat.operators.durable import small_side
 
 CASTS = {
     "datetime": "timestamp_ntz",
@@ -185,12 +186,13 @@ def label_map(df: DataFrame, column: str) -> DataFrame:
 def encode_labels(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """Add the integer code of a label column (sorted ascending); NULL has none."""
     codes = label_map(df, column).withColumnsRenamed({"label": "__label", "code": name})
+    codes = small_side(codes)
     return df.join(codes, F.col(column) == F.col("__label"), "left").drop("__label")
 
 
 def decode_labels(df: DataFrame, codes: DataFrame, code: str, name: str) -> DataFrame:
     """Look labels up from their codes (the inverse of :func:`encode_labels`)."""
-    table = codes.select(F.col("code").alias("__code"), F.col("label").alias(name))
+    table = small_side(codes.select(F.col("code").alias("__code"), F.col("label").alias(name)))
     return df.join(table, F.col(code) == F.col("__code"), "left").drop("__code")
 
 
@@ -277,7 +279,7 @@ def match_names(stems: DataFrame, stem: str, names: DataFrame, name: str) -> Dat
         return F.when(F.length("stem") >= size, cut).otherwise(F.array().cast("array<string>"))
 
     grams = F.array_distinct(F.flatten(F.transform("lengths", pieces)))
-    return text.select("stem", F.explode(grams).alias("name")).join(wanted, "name")
+    return text.select("stem", F.explode(grams).alias("name")).join(small_side(wanted), "name")
 
 
 def match_files(stems: DataFrame, stem: str, names: DataFrame, name: str) -> DataFrame:
