@@ -174,6 +174,11 @@ def shapiro_wilk(t):
     return hypotheses.shapiro_wilk(t("supplier"), "s_acctbal")
 
 
+@query()
+def feature_rank_shapiro(t):
+    return hypotheses.feature_rank_shapiro(t("events").withColumn("half", F.sqrt("value")), ["value", "half"])
+
+
 @query()
 def normality_tests(t):
     return hypotheses.normality_tests(t("customer"), "c_acctbal")

@@ -3,7 +3,7 @@
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from catalogue.profiles import LINE
+from catalogue.profiles import LINE, corr_sql
 from catalogue.registry import query
 from catalogue.samples import md5_of
 from quadrat.operators import balancing, charts, evaluation, learners, stages, tuning
@@ -123,6 +123,27 @@ for kind in ("regular", "borderline", "kmeans", "svm", "enn"):
 
     register(f"smote_{kind}", synthetic)
 
+MEASURED = """
+d AS (SELECT l.doc_id, CAST(quality AS DOUBLE) AS label, CAST(n_chars AS DOUBLE) AS n_chars,
+  CAST(len(string_split(text, ' ')) AS DOUBLE) AS words, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS lines,
+  length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / length(text) AS letters FROM labels l JOIN documents USING (doc_id))"""
+
+
+def bayes_sql(train: str) -> str:
+    """Gaussian naive Bayes: one row per document with the predicted label."""
+    spread = f"greatest({', '.join(f'(SELECT var_pop({c}) FROM d WHERE {train})' for c in MEASURES)}) * 1e-9"
+    stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) + e AS v_{c}" for c in MEASURES)
+    score = " ".join(f"- (d.{c} - m_{c}) ^ 2 / (2 * v_{c}) - 0.5 * ln(v_{c})" for c in MEASURES)
+    return f"""
+{MEASURED}, e AS (SELECT {spread} AS e),
+k AS (SELECT label AS c, count(*) AS n, {stats} FROM d, e WHERE {train} GROUP BY label, e),
+b AS (SELECT doc_id, d.label, arg_max(c, ln(n) {score}) AS prediction FROM d, k GROUP BY 1, 2)"""
+
+
+BAYES = f"""
+WITH {bayes_sql("true")}
+SELECT doc_id, label, prediction, CASE WHEN prediction = 1 THEN 'high' ELSE 'low' END AS predicted_label FROM b"""
+
 for learner in learners.LEARNERS:
     def fitted(t, learner=learner):
         rows = vectors(t)
@@ -131,7 +152,7 @@ for learner in learners.LEARNERS:
             "doc_id", "label", "prediction", "predicted_label"
         )
 
-    register(f"learner_{learner}", fitted)
+    register(f"learner_{learner}", fitted, BAYES if learner == "naive_bayes" else None)
 
 
 def members():
@@ -173,7 +194,10 @@ def importance_by_permutation(t):
     return learners.importance_by_permutation(model, rows, MEASURES, "label", "doc_id")
 
 
-@query()
+@query(f"""
+WITH {bayes_sql("doc_id % 2 = 0")}
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS "set", count(*) AS n,
+  round(count(*) FILTER (label = prediction) / count(*), 6) + 0.0 AS accuracy FROM b GROUP BY 1""")
 def accuracy_train_test(t):
     rows = vectors(t)
     model = learners.base_learners()["naive_bayes"].fit(rows.filter("doc_id % 2 = 0"))
@@ -268,7 +292,31 @@ def dataset_report(t):
     return reports.dataset_report(rows).drop("top")
 
 
-@query()
+def ratio_sql(category: str, column: str) -> str:
+    """Correlation ratio of a number between categories."""
+    return f"""
+SELECT '{category}' AS x, '{column}' AS y, 'correlation ratio' AS kind,
+  round(sqrt(sum(n * (a - g) * (a - g)) / (max(v) * sum(n))), 6) + 0.0 AS value
+FROM (SELECT count(*) AS n, avg({column}) AS a FROM lineitem GROUP BY {category}),
+  (SELECT avg({column}) AS g, var_pop({column}) AS v FROM lineitem)"""
+
+
+def theil_sql(x: str, y: str) -> str:
+    """Uncertainty coefficient of x given y."""
+    def entropy(by):
+        return f"(SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY {by}))"
+    return f"""
+SELECT '{x}' AS x, '{y}' AS y, 'uncertainty' AS kind,
+  round(({entropy(x)} - ({entropy(x + ', ' + y)} - {entropy(y)})) / {entropy(x)}, 6) + 0.0 AS value"""
+
+
+FLAGS = ["l_returnflag", "l_linestatus"]
+
+
+@query(" UNION ALL ".join([
+    f"SELECT x, y, 'correlation' AS kind, r AS value FROM ({corr_sql(LINE, 'lineitem')})",
+    *[ratio_sql(c, n) for c in FLAGS for n in LINE],
+    theil_sql(*FLAGS), theil_sql(*FLAGS[::-1])]))
 def dataset_associations(t):
     return reports.dataset_associations(t("lineitem"), LINE, ["l_returnflag", "l_linestatus"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quadrat.functions.columns import jarque_bera_value, number
+from quadrat.functions.columns import jarque_bera_value, melt, number
 from quadrat.functions.distributions import (
     chi2_sf,
     f_sf,
@@ -413,48 +413,76 @@ def _normal_scores(batches):
             m = quantile((np.arange(start, end + 1, dtype=float) - 0.375) / (n + 0.25))
             sums.append(m.sum())
             squares.append((m * m).sum())
-        yield pd.DataFrame({"value": batch["value"], "m": sums, "m2": squares})
+        yield pd.DataFrame(
+            {"feature": batch["feature"], "centred": batch["centred"], "m": sums, "m2": squares}
+        )
 
 
-def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
-    """Shapiro-Wilk ``(n, statistic, p)`` with Royston's weights.
+def shapiro_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Shapiro-Wilk ``(feature, n, statistic, p)`` of several columns with Royston's weights.
 
-    Ranks come from the distributed range sort. Weights need only the rank, so
+    Ranks come from one distributed range sort. Weights need only the rank, so
     W is a ratio of aggregates over the distinct values; the positions of a
     frequent value are cut into chunks that spread over the tasks. The p-value
     approximation is published for n up to 5000; W uses every row for any n.
     """
-    spark = df.sparkSession
-    schema = "n bigint, statistic double, p double"
-    ranks = ranked_values(df, column)
-    row = ranks.agg(F.sum("n"), F.sum(F.col("n") * F.col("value")) / F.sum("n")).first()
-    n, mean = row[0] or 0, row[1]
-    if n < 3:
-        return spark.createDataFrame([(n, None, None)], schema)
-    centred = F.col("value") - F.lit(float(mean))
-
-    def at(position: int) -> Column:
-        return F.max(F.when((F.col("first") <= position) & (F.col("last") >= position), centred))
+    long = melt(df, columns).filter("value is not null")
+    ranks = ranked_values(long, "value", ["feature"])
+    whole = ranks.groupBy("feature").agg(
+        F.sum("n").alias("total"),
+        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+    )
+    ranks = ranks.join(small_side(whole), "feature").withColumn(
+        "centred", F.col("value") - F.col("mean")
+    )
+
+    def at(position: Column) -> Column:
+        return F.max(
+            F.when((F.col("first") <= position) & (F.col("last") >= position), F.col("centred"))
+        )
 
     chunks = ranks.select(
-        "value", "last", F.explode(F.sequence("first", "last", F.lit(SCORE_CHUNK))).alias("start")
-    ).select(
-        "value", "start",
-        F.least(F.col("start") + SCORE_CHUNK - 1, F.col("last")).alias("end"),
-        F.lit(n).alias("total"),
-    )
-    scored = chunks.repartition("value", "start").mapInPandas(
-        _normal_scores, "value double, m double, m2 double"
-    )
-    sums = scored.agg(F.sum(F.col("m") * centred).alias("mx"), F.sum("m2").alias("mm")).first()
-    ends = ranks.agg(
-        F.sum(F.col("n") * centred * centred).alias("ss"),
-        *[at(k).alias(name) for k, name in ((1, "x1"), (2, "x2"), (n - 1, "y2"), (n, "y1"))],
-    ).first()
-    if not ends["ss"]:
-        return spark.createDataFrame([(n, 1.0, 1.0)], schema)
-    w = min(1.0, _royston_w(n, sums["mx"], sums["mm"], ends))
-    return spark.createDataFrame([(n, float(w), _royston_p(n, w))], schema)
+        "feature", "centred", "last", "total",
+        F.explode(F.sequence("first", "last", F.lit(SCORE_CHUNK))).alias("start"),
+    ).withColumn("end", F.least(F.col("start") + SCORE_CHUNK - 1, F.col("last")))
+    scored = (
+        chunks.select("feature", "centred", "total", "start", "end")
+        .repartition("feature", "start")
+        .mapInPandas(_normal_scores, "feature string, centred double, m double, m2 double")
+    )
+    sums = scored.groupBy("feature").agg(
+        F.sum(F.col("m") * F.col("centred")).alias("mx"), F.sum("m2").alias("mm")
+    )
+    n = F.col("total")
+    ends = ranks.groupBy("feature", "total").agg(
+        F.sum(F.col("n") * F.col("centred") * F.col("centred")).alias("ss"),
+        *[at(k).alias(c) for k, c in ((F.lit(1), "x1"), (F.lit(2), "x2"), (n - 1, "y2"), (n, "y1"))],
+    )
+    rows = []
+    for r in sums.join(ends, "feature").collect():  # one row per column
+        if r["total"] < 3:
+            rows.append((r["feature"], r["total"], None, None))
+        elif not r["ss"]:
+            rows.append((r["feature"], r["total"], 1.0, 1.0))
+        else:
+            w = min(1.0, _royston_w(r["total"], r["mx"], r["mm"], r))
+            rows.append((r["feature"], r["total"], float(w), _royston_p(r["total"], w)))
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, n bigint, statistic double, p double"
+    )
+
+
+def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
+    """``(n, statistic, p)`` of one column."""
+    return shapiro_table(df, [column]).drop("feature")
+
+
+def feature_rank_shapiro(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(rank, feature, statistic)``: columns by their Shapiro-Wilk W, largest first."""
+    order = W.orderBy(F.col("statistic").desc(), "feature")  # one row per column
+    return shapiro_table(df, columns).select(
+        F.row_number().over(order).alias("rank"), "feature", "statistic"
+    )
 
 
 def _royston_w(n: int, mx: float, mm: float, ends) -> float:

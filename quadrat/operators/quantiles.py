@@ -256,7 +256,7 @@ def ranked_values(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFra
     counted before the range sort, so a hot value is one row.
     """
     counted = (
-        melt(df, [column], by)
+        df.select(*by, number(column).alias("value"))
         .filter("value is not null")
         .groupBy(*by, "value")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -164,7 +164,8 @@ def test_whole_run(spark, run, tmp_path):
     assert ("sparse", "empty") in dropped and ("constant", "fixed") in dropped
     assert ("duplicate", "a_again") in dropped
     table = stages.transformed_features(model, rows)
-    assert set(table.columns) == {"key", "label", "a", "b", "colour_blue", "colour_red"}
+    assert ("correlated", "b") in dropped
+    assert set(table.columns) == {"key", "label", "a", "colour_blue", "colour_red"}
     files.save_model(model, str(tmp_path / "model"))
     again = files.load_model(str(tmp_path / "model")).transform(rows)
     assert again.select("prediction").collect() == out.select("prediction").collect()
