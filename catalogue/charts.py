@@ -135,7 +135,7 @@ def qq_points(t):
 
 @query()
 def qq_points_thinned(t):
-    return charts.qq_points(t("orders"), "o_totalprice", points=50)
+    return charts.qq_points(t("orders"), "o_totalprice", points=20)
 
 
 @query("""

@@ -197,9 +197,31 @@ def _column(function, *columns) -> Column:
     )
 
 
-def chi2_sf_column(x, df) -> Column:
-    """Column form of :func:`chi2_sf`."""
-    return _column(chi2_sf, x, df)
+def erfc_column(x: Column) -> Column:
+    """Complementary error function, the one piece Spark SQL does not have."""
+
+    def kernel(values: pd.Series) -> pd.Series:
+        return pd.Series([math.erfc(v) for v in values], dtype="float64")
+
+    return F.pandas_udf(kernel, "double")(x)
+
+
+def chi2_sf_column(x: Column, df: int) -> Column:
+    """chi-square survival for a whole number of degrees of freedom.
+
+    Both closed forms are plain expressions; odd degrees also need one erfc.
+    """
+    half = x / 2.0
+    if df % 2 == 0:
+        term = total = F.lit(1.0)
+        for i in range(1, df // 2):
+            term = term * half / float(i)
+            total = total + term
+        return F.exp(-half) * total
+    total = erfc_column(F.sqrt(half))
+    for j in range(1, (df - 1) // 2 + 1):
+        total = total + F.exp(-half) * F.pow(half, F.lit(j - 0.5)) / math.gamma(j + 0.5)
+    return total
 
 
 def f_sf_column(x, df1, df2) -> Column:
@@ -225,13 +247,3 @@ def normal_ppf_column(p) -> Column:
 def studentized_range_sf_column(q, k, df) -> Column:
     """Column form of :func:`studentized_range_sf`."""
     return _column(lambda a, b, c: studentized_range_sf(a, int(b), c), q, k, df)
-
-
-def chi2_sf_even(x: Column, df: int) -> Column:
-    """chi-square survival for even df as a plain expression (no Python)."""
-    half = x / 2.0
-    term = total = F.lit(1.0)
-    for i in range(1, df // 2):
-        term = term * half / float(i)
-        total = total + term
-    return F.exp(-half) * total

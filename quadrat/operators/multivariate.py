@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quadrat.functions.columns import number
-from quadrat.functions.distributions import chi2_sf_column, chi2_sf_even, t_ppf_column
+from quadrat.functions.distributions import chi2_sf_column, t_ppf_column
+from quadrat.operators.durable import durable
 from quadrat.operators.linalg import fit_moments, linear
+from quadrat.operators.quantiles import ranked_values
 from quadrat.operators.sampling import cumulative_share, cut_at
 
 
@@ -145,7 +147,7 @@ def hotelling_p(model: Components):
         # -2 ln p, guarded where the tail underflows
         p = F.greatest(chi2_sf_column(ratio, 1), F.lit(1e-300))
         statistic = statistic - 2.0 * F.log(p)
-    return chi2_sf_even(statistic, 2 * model.k)
+    return chi2_sf_column(statistic, 2 * model.k)
 
 
 def pca_outliers(
@@ -163,8 +165,6 @@ def pca_outliers(
     from counts of the p-values up to ``alpha`` only. ``spe`` holds outside the
     ``n_std`` ellipse of the first two components.
     """
-    from quadrat.operators.durable import durable
-
     model = pca_fit(df, columns, min_variance)
     scored = pca_scores(df, model)
     pcs = [f"pc{i + 1}" for i in range(model.k)]
@@ -188,8 +188,6 @@ def bh_threshold(df: DataFrame, p: str, alpha: float) -> float:
     Only p-values up to ``alpha`` can qualify; they are counted and ranked by
     the distributed range sort.
     """
-    from quadrat.operators.quantiles import ranked_values
-
     n = df.count()
     ranks = ranked_values(df.filter(F.col(p) <= alpha), p)
     row = ranks.filter(F.col("value") * n <= alpha * F.col("last")).agg(F.max("value")).first()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.columns import melt, number, numeric_names
-from quadrat.functions.distributions import chi2_ppf, chi2_sf_column, chi2_sf_even
+from quadrat.functions.distributions import chi2_ppf, chi2_sf_column
 from quadrat.operators.linalg import complete_rows, fit_moments, inverse, linear
 from quadrat.operators.quantiles import median_deviation_table, quantile_table
 
@@ -146,8 +146,7 @@ def mahalanobis_outliers(
     scored = mahalanobis_score(df, columns)
     out = scored.filter(F.col("mahalanobis_score") > chi2_ppf(1 - alpha, p))
     score = F.col("mahalanobis_score")
-    value = chi2_sf_even(score, p) if p % 2 == 0 else chi2_sf_column(score, p)
-    return out.withColumn("mahalanobis_p_value", value)
+    return out.withColumn("mahalanobis_p_value", chi2_sf_column(score, p))
 
 
 def mahalanobis_pairs(df: DataFrame, columns: Sequence[str], radius: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import OneVsRest
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.columns import categorical_names, number, numeric_names
 from quadrat.operators import balancing, features
+from quadrat.operators.durable import durable
+from quadrat.operators.multivariate import Components, pca_fit, pca_scores
 from quadrat.operators.quantiles import quantile_table
 
 
@@ -292,8 +295,6 @@ class ResampledClassifier(Estimator):
         both = balancing.smote(wide, label, self.key, names, seed=self.seed, kind=self.method)
         ready = VectorAssembler(inputCols=names, outputCol="features").transform(both)
         # boosted and forest learners scan the rows many times: write them once
-        from quadrat.operators.durable import durable
-
         return self.classifier.fit(durable(ready.select(self.key, label, "features")))
 
 
@@ -399,10 +400,6 @@ class ComponentScores(Model, DefaultParamsReadable, DefaultParamsWritable):
     fitted = _text("fitted", "JSON: columns, centre, scale, vectors, eigenvalues")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        import numpy as np
-
-        from quadrat.operators.multivariate import Components, pca_scores
-
         plan = json.loads(self.getOrDefault(self.fitted))
         model = Components(
             tuple(plan["columns"]), np.array(plan["centre"]), np.array(plan["scale"]),
@@ -425,8 +422,6 @@ class PrincipalComponents(Estimator, DefaultParamsReadable, DefaultParamsWritabl
         self._set(columns=list(columns), components=components)
 
     def _fit(self, dataset: DataFrame) -> ComponentScores:
-        from quadrat.operators.multivariate import pca_fit
-
         wanted = self.getOrDefault(self.components)
         fit = pca_fit(
             dataset, self.getOrDefault(self.columns), wanted if wanted < 1 else int(wanted)

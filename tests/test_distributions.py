@@ -58,11 +58,13 @@ def test_two_group_range_is_t():
 def test_columns(spark):
     row = spark.range(1).select(
         d.chi2_sf_column(F.lit(3.0), 3).alias("a"),
-        d.chi2_sf_even(F.lit(3.0), 4).alias("b"),
+        d.chi2_sf_column(F.lit(3.0), 4).alias("b"),
+        d.chi2_sf_column(F.lit(2.0), 7).alias("g"),
         d.normal_ppf_column(F.lit(0.975)).alias("c"),
         d.f_sf_column(F.lit(None).cast("double"), 1, 2).alias("e"),
     ).first()
     assert row["a"] == pytest.approx(d.chi2_sf(3.0, 3))
+    assert row["g"] == pytest.approx(d.chi2_sf(2.0, 7))
     assert row["b"] == pytest.approx(d.chi2_sf(3.0, 4))
     assert row["c"] == pytest.approx(1.959964, abs=1e-6)
     assert row["e"] is None
