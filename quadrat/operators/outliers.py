@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.columns import melt, number, numeric_names
 from quadrat.functions.distributions import chi2_ppf, chi2_sf_column
 from quadrat.operators.linalg import complete_rows, fit_moments, inverse, linear
-from quadrat.operators.quantiles import median_deviation_table, quantile_table
+from quadrat.operators.quantiles import column_deviations, quantile_table
 
 METHODS = ("iqr", "zscore", "mad")
 
@@ -32,10 +32,16 @@ def univariate_limits(
     every value off the median is out, as the interval is one point).
     """
     tables = []
+    if "iqr" in methods or "mad" in methods:
+        # one row per column; the medians are needed as literals for the deviations
+        quartiles = quantile_table(df, columns, [0.25, 0.5, 0.75]).collect()
+        q = df.sparkSession.createDataFrame(
+            [(r["feature"], r["q0"], r["q1"], r["q2"]) for r in quartiles],
+            "feature string, q1 double, median double, q3 double",
+        )
     if "iqr" in methods:
-        q = quantile_table(df, columns, [0.25, 0.75])
-        reach = k * (F.col("q1") - F.col("q0"))
-        tables.append(_limits(q, "iqr", F.col("q0") - reach, F.col("q1") + reach))
+        reach = k * (F.col("q3") - F.col("q1"))
+        tables.append(_limits(q, "iqr", F.col("q1") - reach, F.col("q3") + reach))
     if "zscore" in methods:
         cells = [
             F.struct(
@@ -49,7 +55,7 @@ def univariate_limits(
         reach = zscore * F.col("s")
         tables.append(_limits(m, "zscore", F.col("m") - reach, F.col("m") + reach))
     if "mad" in methods:
-        d = median_deviation_table(df, columns)
+        d = q.join(column_deviations(df, {r["feature"]: r["q1"] for r in quartiles}), "feature")
         reach = mad / 0.6745 * F.col("deviation")
         tables.append(_limits(d, "mad", F.col("median") - reach, F.col("median") + reach))
     limits = tables[0]
