@@ -13,7 +13,7 @@ BUCKETS = 1 << 16
 #: Targets (keys of 8 bytes) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Least mean log-likelihood ratio of a document that is kept.
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 
 
 def with_words(df: DataFrame, key: str, text: str) -> DataFrame:
