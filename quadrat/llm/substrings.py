@@ -15,17 +15,20 @@ from quadrat.llm.shared import keep_freed_memory, words_of, written
 WINDOW, GRAM = 13, 5
 CHUNK_WORDS = 1_500_000  # words a task cuts into segments at a time
 SHARD_WORDS = 3_000_000  # words aimed at in a shard, segments' overlaps included
-SAMPLED_DOCS = 20_000  # documents that the list of crowded grams is estimated on; it only balances shards
+#: Documents that the frequent words and the crowded grams are estimated on. The
+#: first only shorten what is shipped, the second only balance shards.
+SAMPLED_DOCS = 5_000
+BOOK = (1 << 16) - 1  # words with a two-byte code
 CACHED = 400_000
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, kept for repeated words."""
+    """Word -> 40-bit hash, kept for repeated words."""
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        got = xxh64_intdigest(word, 11)
+        got = xxh64_intdigest(word, 11) >> 24
         if len(word) <= 48:
             if len(self) >= CACHED:
                 self.clear()
@@ -89,14 +92,23 @@ def segments(words: np.ndarray, lengths: np.ndarray, hot: np.ndarray) -> tuple[n
     return window[first], np.diff(np.append(first, len(window))), gram[first]
 
 
-def content_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray, gram: np.ndarray) -> np.ndarray:
+def segment_grams(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gram of each segment, from its first window."""
+    every = rolling(words, GRAM_FACTORS)
+    low = every[at]
+    for step in range(1, WINDOW - GRAM + 1):
+        low = np.minimum(low, every[at + step])
+    return low
+
+
+def content_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of each segment's word sequence."""
     power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max(initial=1)), BASE)]))
     at = spans(first, size)
     weight = power[spans(np.zeros(len(size), np.int64), size)]
     starts = np.cumsum(size) - size
     total = np.add.reduceat(mixed(words[at]) * weight, starts) if len(size) else np.zeros(0, np.uint64)
-    return mixed(total ^ gram * np.uint64(3) ^ size.astype(np.uint64))
+    return mixed(total ^ size.astype(np.uint64))
 
 
 class FMIndex:
@@ -203,40 +215,79 @@ def runs(mask: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[keep], last[keep]
 
 
+class Book:
+    """Two-byte codes of frequent words; any other word is shipped as its 40-bit hash."""
+
+    def __init__(self, frequent: np.ndarray):
+        """``frequent``: hashes, the most frequent first, so that small codes abound."""
+        self.order = np.argsort(frequent, kind="stable")
+        self.sorted = frequent[self.order]
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Code of each word, 0 for a rare one."""
+        if not len(self.sorted):
+            return np.zeros(len(hashes), np.uint16)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at] + 1, 0).astype(np.uint16)
+
+
+def symbols(codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Words as 64-bit numbers, made from what is shipped: the codes, and the hashes of the words without."""
+    out = codes.astype(np.uint64)
+    out[codes == 0] = rare + np.uint64(1 << 16)
+    return mixed(out * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Blob:
-    """Segments of one chunk for one shard, and windows already decided, as compressed bytes."""
+    """Segments of one chunk for one shard, and windows already decided, as compressed bytes.
 
-    FIELDS = (("doc", "<i8"), ("text", "<i8"), ("first", "<i4"), ("size", "<i4"), ("gram", "<u8"), ("content", "<u8"), ("words", "<u8"), ("done_doc", "<i8"), ("done_text", "<i8"), ("done_first", "<i4"), ("done_last", "<i4"))
+    Per document row: key, mark, first place in the chunk. Per segment: row and
+    first place (as steps from the one before), number of words. All words'
+    codes, then the rare ones' hashes in a four-byte and a one-byte plane.
+    """
+
+    FIELDS = (
+        ("doc", "<i8"), ("mark", "<i4"), ("begin", "<u4"), ("row", "<u4"), ("first", "<u4"), ("size", "<u4"), ("code", "<u2"),
+        ("rare_low", "<u4"), ("rare_high", "<u1"), ("done_doc", "<i8"), ("done_mark", "<i4"), ("done_first", "<i4"), ("done_last", "<i4"),
+    )
 
     @classmethod
     def pack(cls, **fields: np.ndarray) -> bytes:
         import zstandard
 
-        parts = [np.ascontiguousarray(fields[name], kind).tobytes() for name, kind in cls.FIELDS]
-        sizes = np.array([len(p) for p in parts], "<i8").tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(parts))
+        parts = [np.ascontiguousarray(fields[name], kind) for name, kind in cls.FIELDS]
+        sizes = np.array([p.nbytes for p in parts], "<i8").tobytes()
+        # The codes' low and high bytes apart pack better.
+        planes = [p.view(np.uint8).reshape(-1, 2).T.tobytes() if name == "code" else p.tobytes() for p, (name, _) in zip(parts, cls.FIELDS)]
+        return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(planes))
 
     @classmethod
     def unpack(cls, blob: bytes) -> dict[str, np.ndarray]:
+        """The fields, with segments' ``doc``, ``mark`` and ``first`` (in the document) and words as symbols."""
         import zstandard
 
         data = zstandard.ZstdDecompressor().decompress(blob)
         sizes = np.frombuffer(data, "<i8", len(cls.FIELDS))
         at = sizes.nbytes
-        out = {}
+        f = {}
         for (name, kind), size in zip(cls.FIELDS, sizes.tolist()):
-            out[name] = np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at)
+            f[name] = np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at)
             at += size
-        return out
+        code = np.ascontiguousarray(f["code"].view(np.uint8).reshape(2, -1).T).view("<u2").ravel()
+        row = np.cumsum(f["row"], dtype=np.int64)
+        first = np.cumsum(f["first"], dtype=np.int64) - f["begin"][row].astype(np.int64)
+        rare = f["rare_high"].astype(np.uint64) << np.uint64(32) | f["rare_low"]
+        segments_ = {"doc": f["doc"][row], "mark": f["mark"][row], "first": first, "size": f["size"].astype(np.int64)}
+        return segments_ | {"words": symbols(code, rare)} | {k: v for k, v in f.items() if k.startswith("done_")}
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(word hashes, words, keys, text hashes of documents) of runs of whole documents."""
+    """(40-bit word hashes, and numbers of words, keys and marks of documents) of runs of whole documents."""
     hashes = WordHashes()
-    parts, lengths, docs, texts, held = [], [], [], [], 0
+    parts, lengths, docs, marks, held = [], [], [], [], 0
 
     def close():
-        return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array(lengths, np.int64), np.array(docs, np.int64), np.array(texts, np.int64)
+        return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array(lengths, np.int64), np.array(docs, np.int64), np.array(marks, np.int64)
 
     for batch in batches:
         for doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
@@ -244,27 +295,29 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             parts.append(np.array(list(map(hashes.__getitem__, words)), np.uint64))
             lengths.append(len(words))
             docs.append(doc)
-            texts.append(mark)
+            marks.append(mark)
             held += len(words)
             if held >= CHUNK_WORDS:
                 yield close()
-                parts, lengths, docs, texts, held = [], [], [], [], 0
+                parts, lengths, docs, marks, held = [], [], [], [], 0
     if docs:
         yield close()
 
 
-def cut(shards: int, hot: np.ndarray):
+def cut(shards: int, frequent: np.ndarray, hot: np.ndarray):
     """Map side: segments of each chunk, packed per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
-        for words, lengths, docs, texts in chunks_of(batches):
+        book = Book(frequent)
+        for hashes, lengths, docs, marks in chunks_of(batches):
             start = np.cumsum(lengths) - lengths
+            codes = book.codes(hashes)
+            words = symbols(codes, hashes[codes == 0])
             first, windows, gram = segments(words, lengths, hot)
             row = np.searchsorted(start, first, "right") - 1
-            row = row + 0
             size = windows + WINDOW - 1
-            content = content_keys(words, first, size, gram)
+            content = content_keys(words, first, size)
             order = np.lexsort((docs[row], content))
             same = np.zeros(len(order), bool)
             same[1:] = content[order][1:] == content[order][:-1]
@@ -287,23 +340,26 @@ def cut(shards: int, hot: np.ndarray):
                 d = np.flatnonzero(done_to == shard)
                 if not len(k) and not len(d):
                     continue
-                r, dr = row[k], done_row[d]
+                rows, place = np.unique(row[k], return_inverse=True)
+                at, dr = spans(first[k], size[k]), done_row[d]
+                code, rare = codes[at], hashes[at[codes[at] == 0]]
                 blob = Blob.pack(
-                    doc=docs[r], text=texts[r], first=first[k] - start[r], size=size[k], gram=gram[k], content=content[k],
-                    words=words[spans(first[k], size[k])], done_doc=docs[dr], done_text=texts[dr],
-                    done_first=done_first[d] - start[dr], done_last=done_last[d] - start[dr],
-                )
+                    doc=docs[rows], mark=marks[rows], begin=start[rows], row=np.diff(place, prepend=0), first=np.diff(first[k], prepend=0),
+                    size=size[k], code=code, rare_low=rare & np.uint64(0xFFFFFFFF), rare_high=rare >> np.uint64(32),
+                    done_doc=docs[dr], done_mark=marks[dr], done_first=done_first[d] - start[dr], done_last=done_last[d] - start[dr],
+                )
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
     return run
 
 
 def decide(blobs: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Repeated windows of one shard: (doc, text, first, last) of runs of windows to remove."""
-    f = {name: np.concatenate([b[name] for b in blobs]) for name, _ in Blob.FIELDS}
-    out = [(f["done_doc"], f["done_text"], f["done_first"], f["done_last"])]
-    size = f["size"].astype(np.int64)
+    """Repeated windows of one shard: (doc, mark, first, last) of runs of windows to remove."""
+    f = {name: np.concatenate([b[name] for b in blobs]) for name in blobs[0]}
+    out = [(f["done_doc"], f["done_mark"], f["done_first"], f["done_last"])]
+    size = f["size"]
     at = np.cumsum(size) - size
+    f["gram"] = segment_grams(f["words"], at)
     # Only grams that two documents share can repeat a window.
     order = np.lexsort((f["doc"], f["gram"]))
     gram, doc = f["gram"][order], f["doc"][order]
@@ -312,8 +368,10 @@ def decide(blobs: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, ...]:
     shared = np.repeat(doc[head] != doc[tail], tail - head + 1)
     pick = order[shared]
     if len(pick):
-        by = pick[np.lexsort((f["doc"][pick], f["content"][pick]))]
-        new = np.concatenate([[True], f["content"][by][1:] != f["content"][by][:-1]])
+        content = content_keys(f["words"], at[pick], size[pick])
+        order = np.lexsort((f["doc"][pick], content))
+        by, content = pick[order], content[order]
+        new = np.concatenate([[True], content[1:] != content[:-1]])
         distinct, which = by[new], np.cumsum(new) - 1
         words = f["words"][spans(at[distinct], size[distinct])]
         least = earlier_windows(words, size[distinct], f["doc"][distinct])
@@ -326,7 +384,7 @@ def decide(blobs: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, ...]:
         first, last = runs(removed, segment)
         s = segment[first]
         offset = f["first"][by][s] - (np.cumsum(count) - count)[s]
-        out.append((f["doc"][by][s], f["text"][by][s], first + offset, last + offset))
+        out.append((f["doc"][by][s], f["mark"][by][s], first + offset, last + offset))
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
@@ -336,8 +394,8 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
 
     def close() -> pa.RecordBatch:
-        doc, text, first, last = decide([Blob.unpack(b) for b in held])
-        columns = pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))
+        doc, mark, first, last = decide([Blob.unpack(b) for b in held])
+        columns = pa.array(doc, pa.int64()), pa.array(mark, pa.int32()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))
         return pa.RecordBatch.from_arrays(list(columns), ["doc", "mark", "first", "last"])
 
     for batch in batches:
@@ -351,23 +409,38 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def crowded_grams(docs: DataFrame, rows: int, shards: int) -> np.ndarray:
-    """Grams that would fill more than a quarter of a shard, estimated on about 20,000 documents.
+def frequent(docs: DataFrame, rows: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 65,535 most frequent words' hashes, and the grams that would fill more than a quarter of a shard.
 
-    At most ``4 * shards`` by construction. The list only decides where windows meet.
+    Estimated on about 5,000 documents, chosen by hash. There are at most
+    ``4 * shards`` such grams by construction. Neither list changes what is found.
     """
+    part = max(1, rows // SAMPLED_DOCS)
+    some = written(docs.where(F.pmod(F.xxhash64("doc"), F.lit(part)) == 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, lengths, _, _ in chunks_of(batches):
-            gram, n = np.unique(segments(words, lengths, np.zeros(0, np.uint64))[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
+    def tally(values: np.ndarray, gram: bool) -> pa.RecordBatch:
+        value, n = np.unique(values, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n), pa.array(np.full(len(n), gram))], ["value", "n", "gram"])
 
-    part = max(1, rows // SAMPLED_DOCS)
-    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(part)) == 0)
-    counts = written(some.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, *_ in chunks_of(batches):
+            yield tally(hashes, False)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = Book(known)
+        for hashes, lengths, _, _ in chunks_of(batches):
+            codes = book.codes(hashes)
+            yield tally(segments(symbols(codes, hashes[codes == 0]), lengths, np.zeros(0, np.uint64))[2], True)
+
+    def totals(step) -> DataFrame:
+        return some.mapInArrow(step, "value long, n long, gram boolean").groupBy("value").agg(F.sum("n").alias("n"))
+
+    known = totals(words).where("n > 1").orderBy(F.desc("n"), "value").limit(BOOK).collect()
+    known = np.array([r.value for r in known], np.int64).view(np.uint64)
+    counts = written(totals(grams).where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(16, total / (4 * shards))
-    return np.array([r.gram for r in counts.where(F.col("n") >= least).collect()], np.int64).view(np.uint64)
+    crowded = counts.where(F.col("n") >= max(16, total / (4 * shards))).collect()
+    return known, np.array([r.value for r in crowded], np.int64).view(np.uint64)
 
 
 def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,13 +450,12 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     their decisions. See ``remove_repeats`` for the rules.
     """
     docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark")
+        F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), F.hash(text).alias("mark")
     )
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     shards = max(4, int((size or 0) / 6.4 * 3.4 / SHARD_WORDS))
-    hot = crowded_grams(docs, rows, shards)
-    blobs = docs.mapInArrow(cut(shards, hot), "shard int, blob binary")
-    return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(search, "doc long, mark long, first int, last int")
+    blobs = docs.mapInArrow(cut(shards, *frequent(docs, rows, shards)), "shard int, blob binary")
+    return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(search, "doc long, mark int, first int, last int")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -431,7 +503,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
     found = repeated_windows(df, key, text).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     others = [F.col(c).alias(f"other{i}") for i, c in enumerate(carry or [])]
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *others)
-    docs = docs.withColumns({"doc": F.col("key").cast("long"), "mark": F.xxhash64("text")})
+    docs = docs.withColumns({"doc": F.col("key").cast("long"), "mark": F.hash("text")})
     joined = docs.join(found, ["doc", "mark"], "left").drop("doc", "mark").select("key", "text", "runs", *[f"other{i}" for i in range(len(others))])
     kind = dict(joined.dtypes)
     schema = f"key {kind['key']}, n_words long, n_removed long, kept_sha256 string"
