@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.shared import running_start, written
-from quadrat.llm.word_ids import token_ids
+from quadrat.llm.word_ids import word_ids
 
 BUCKETS, DIMENSIONS, BITS = 1024, 3, 10
 
@@ -60,6 +60,13 @@ def curve_keys(ids: list[bytes]) -> np.ndarray:
     return hilbert_key(grid.astype(np.int64), BITS)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what a task holds beside them stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def pack(
     df: DataFrame, tokenizer_file: str, end_id: int = 1, length: int = 2048, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -76,18 +83,16 @@ def pack(
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
-                ids = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(curve_keys(ids))],
-                    ["key", "ids", "n", "curve"],
-                )
+        of = word_ids(tokenizer_file)
+        for part in sliced(batches):
+            ids = [of.ids(t, end_id) for t in part.column(1).to_pylist()]
+            n = pa.array([len(i) // 2 for i in ids], pa.int64())
+            columns = [part.column(0), pa.array(ids, pa.binary()), n, pa.array(curve_keys(ids))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "n", "curve"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-        for batch in batches:
+        for batch in sliced(batches):
             keys, n = batch.column(0), batch.column(2).to_numpy()
             place = batch.column(3).to_numpy()
             first, last = place // length, (place + n - 1) // length
@@ -105,7 +110,7 @@ def pack(
             )
 
     kind = df.schema[key].dataType.simpleString()
-    ids = token_ids(df, tokenizer_file, end_id, key, text).withColumnRenamed(key, "key")
+    ids = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     ids = ids.mapInArrow(keyed, f"key {kind}, ids binary, n long, curve long")
     ids = written(ids.withColumn("row", F.monotonically_increasing_id()))
     places = running_start(ids.select("row", "key", "n", "curve"), ["curve", "key", "row"], "n", "place")

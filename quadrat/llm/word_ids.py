@@ -5,26 +5,29 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from quadrat.llm.shared import words_of
 
-CACHED = 700_000
-PLAIN = re.compile(rb"[!-~]+")
-#: The tokenizer's own split pattern, for printable ASCII in lower case.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+CACHED = 300_000
+#: Printable ASCII and the accented letters of Latin-1: composed, and lower-cased letter by letter.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The tokenizer's own split pattern, for such text in lower case.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: visible ones for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordIds(dict):
     """Word -> its ids as little-endian unsigned 16-bit bytes, by the library.
 
     For tokenizers that lower-case, drop white space and never join across it,
-    so a text's ids are its words' ids in a row. A plain ASCII word is cut by
+    so a text's ids are its words' ids in a row. A word of plain letters and signs is cut by
     the split pattern and its pieces go to the library's model; any other word
     goes through the whole library call.
     """
@@ -38,14 +41,16 @@ class WordIds(dict):
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self.model = self.library.model
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.letters = byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
-        if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            got = b"".join(map(self.piece, PIECES.findall(word.decode().lower())))
+        shown = word.decode()
+        if PLAIN.fullmatch(shown) and not any(s in shown for s in self.special):
+            got = b"".join(map(self.piece, PIECES.findall(shown.lower())))
         else:
-            got = array("H", self.library.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            got = array("H", self.library.encode(shown, add_special_tokens=False).ids).tobytes()
         if len(word) <= 48:
             if len(self) >= CACHED:
                 self.clear()
@@ -56,13 +61,17 @@ class WordIds(dict):
         """Ids of one piece of a plain word."""
         got = self.pieces.get(piece)
         if got is None:
-            got = array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            got = array("H", [t.id for t in self.model.tokenize(self.spelt(piece))]).tobytes()
             if len(piece) <= 48:
                 if len(self.pieces) >= CACHED:
                     self.pieces.clear()
                 self.pieces[piece] = got
         return got
 
+    def spelt(self, piece: str) -> str:
+        """The piece in the characters of the byte-level vocabulary."""
+        return piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+
     def ids(self, text: str | None, end_id: int) -> bytes:
         """Ids of a text and the end id, 16 bits each."""
         return b"".join(map(self.__getitem__, words_of(text))) + array("H", [end_id]).tobytes()
@@ -72,20 +81,3 @@ class WordIds(dict):
 def word_ids(file: str) -> WordIds:
     """One cache per Python worker."""
     return WordIds(file)
-
-
-def token_ids(df: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, ids`` (16-bit little-endian, end id included) of every whole text, in place.
-
-    A null text counts as empty and has the end id alone.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = word_ids(tokenizer_file)
-        for batch in batches:
-            ids = [of.ids(t, end_id) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
-
-    kind = df.schema[key].dataType.simpleString()
-    plain = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
