@@ -207,11 +207,11 @@ def decode_blocks(payloads: list[bytes], size: int) -> np.ndarray:
         from_ = model.flat[at_group].astype(np.int64)
         each = (model.flat[at_group + 1] - from_ << 14) >> model.LOG[in_group]
         inside = (value - (from_ << 14)) // each
-        now[miss] = model.FIRST[in_group] + inside
+        now[miss] = np.minimum(model.FIRST[in_group] + inside, (1 << 16) - 1)  # more only in a damaged block
         low[miss] += unit * ((from_ << 14) + inside * each).astype(np.uint64)
         width[miss] = unit * each.astype(np.uint64)
         for lane, _ in emit(low, width, model.lane):
-            code[lane] = (code[lane] << WORD) | data[at[lane]]
+            code[lane] = (code[lane] << WORD) | data[np.minimum(at[lane], len(data) - 1)]
             at[lane] += 1
         ids[t] = now
         model.learn(now, model.OF[now], guess2 == now, guess1 == now)
