@@ -211,3 +211,12 @@ hxy AS (SELECT -sum(n / t * ln(n / t)) AS h FROM c, t)
 SELECT 'p_brand' AS x, 'p_type' AS y, round((hx.h - (hxy.h - hy.h)) / hx.h, 6) + 0.0 AS u FROM hx, hy, hxy""")
 def uncertainty_coefficient(t):
     return profile.uncertainty_coefficient(t("part"), "p_brand", "p_type")
+
+
+@query("""
+WITH r AS (SELECT CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 0 THEN value END AS value, event_type FROM events)
+SELECT 'value' AS feature, count(value) AS present, count(*) - count(value) AS missing, count(*) AS total,
+  round(100.0 * (count(*) - count(value)) / count(*), 6) + 0.0 AS percent FROM r HAVING count(*) > count(value)""")
+def missing_table_nan(t):
+    gaps = F.when(F.col("event_id") % 5 == 0, float("nan")).when(F.col("event_id") % 3 != 0, F.col("value"))
+    return profile.missing_table(t("events").select(gaps.alias("value"), "event_type"))

@@ -92,3 +92,12 @@ SELECT event_id, value, row_number() OVER (ORDER BY value, md5(concat_ws('|', CA
 FROM events""", digits=4)
 def rank_global(t):
     return quantiles.rank_global(t("events").select("event_id", "value"), "value", ["event_id"])
+
+
+@query("""
+SELECT event_id, 9007199254740992 + user_id AS v,
+  row_number() OVER (ORDER BY user_id, md5(concat_ws('|', CAST(event_id AS VARCHAR), '0'))) AS rank
+FROM events""")
+def rank_global_large(t):
+    rows = t("events").select("event_id", (F.lit(2**53) + F.col("user_id")).alias("v"))
+    return quantiles.rank_global(rows, "v", ["event_id"])

@@ -62,6 +62,14 @@ def filter_rows(t):
     return table.filter_rows(rows, "o_orderpriority != '5-LOW' and o_totalprice > 100000")
 
 
+@query(f"""
+SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice, {GAPS} AS p FROM orders)
+WHERE upper(p) IS DISTINCT FROM '1-URGENT' AND (o_orderkey % 5 <> 1 OR p IS DISTINCT FROM '5-LOW')""")
+def filter_rows_expressions(t):
+    condition = "upper(o_orderpriority) != concat('1-', 'URGENT') and (o_orderkey % 5 != 1 or o_orderpriority <> '5-LOW')"
+    return table.filter_rows(with_gaps(t("orders")), condition).select("o_orderkey")
+
+
 @query("SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns FROM lineitem")
 def shape(t):
     return table.shape(t("lineitem"))

@@ -59,6 +59,14 @@ def order_hash(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary"))
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    """Whether a cell is missing: NULL, or NaN in a floating-point column."""
+    column = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return column.isNull() | F.isnan(column)
+    return column.isNull()
+
+
 def percent_of(part: Column, whole: Column) -> Column:
     """``100 * part / whole`` with NULL instead of a division by zero."""
     return F.try_divide(part * F.lit(100.0), whole)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.functions.columns import melt, number, require_columns
+from quadrat.functions.columns import is_missing, melt, number, require_columns
 from quadrat.operators.durable import small_side
 from quadrat.operators.profile import correlation_pairs, feature_value_counts, most_frequent
 from quadrat.operators.quantiles import quantile_table
@@ -202,7 +202,7 @@ def sparse_features(df: DataFrame, columns: Sequence[str], threshold: float = 0.
     """Columns whose missing share exceeds the threshold."""
     n = F.count(F.lit(1))
     row = df.agg(
-        *[F.try_divide(F.count_if(F.col(c).isNull()), n).alias(c) for c in columns]
+        *[F.try_divide(F.count_if(is_missing(df, c)), n).alias(c) for c in columns]
     ).first()
     return [(c, None, row[c]) for c in columns if row[c] is not None and row[c] > threshold]
 
@@ -339,8 +339,8 @@ def drop_low_variance(df: DataFrame, columns: Sequence[str], threshold: float =
 
 
 def columns_missing_any(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns that have at least one NULL."""
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    """Columns that have at least one missing value."""
+    row = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in columns]).first()
     return [c for c in columns if row[c]]
 
 

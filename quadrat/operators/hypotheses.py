@@ -110,6 +110,9 @@ def anova_unbalanced(
     table = cells.limit(MAX_CELLS + 1).collect()
     if len(table) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} factor-level cells: not a factor")
+    schema = "source string, df bigint, sum_sq double, mean_sq double, f double, p double, effect double"
+    if not table:
+        return df.sparkSession.createDataFrame([], schema)
     n = np.array([r["n"] for r in table], float)
     mean = np.array([r["mean"] for r in table])
     within = float(((n - 1) * np.array([r["var"] for r in table])).sum())
@@ -148,9 +151,7 @@ def anova_unbalanced(
                     f_sf(f, dof, df_res) if f is not None else None, effect))
     mean_sq = within / df_res if df_res else None
     out.append(("Residual", df_res, within, mean_sq, None, None, None))
-    return df.sparkSession.createDataFrame(
-        out, "source string, df bigint, sum_sq double, mean_sq double, f double, p double, effect double"
-    )
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def manova(df: DataFrame, responses: Sequence[str], group: str) -> DataFrame:
@@ -326,9 +327,7 @@ def adjust_pvalues(
         return _rejected(step, F.max("__raw").over(running), alpha).drop("__raw")
     elif method in ("fdr_bh", "fdr_by"):
         step = df.withColumn("__m", m).withColumn("__i", i)
-        harmonic = F.aggregate(
-            F.sequence(F.lit(1), F.col("__m").cast("int")), F.lit(0.0), lambda acc, k: acc + 1.0 / k
-        )
+        harmonic = F.sum(F.when(F.col("__i") <= F.col("__m"), 1.0 / F.col("__i"))).over(whole)
         raw = x * F.col("__m") / F.col("__i")
         step = step.withColumn("__raw", raw * harmonic if method == "fdr_by" else raw)
         later = ordered.rowsBetween(W.currentRow, W.unboundedFollowing)
@@ -542,11 +541,19 @@ def equal_variance_tests(
         F.sum("n").alias("total"),
         F.sum((F.col("n") - 1) * F.col("var")).alias("within"),
         F.sum((F.col("n") - 1) * F.log("var")).alias("logs"),
+        F.count_if(F.col("var") <= 0).alias("flat"),
         F.sum(1.0 / (F.col("n") - 1)).alias("inverse"),
     ).first()
+    schema = "test string, statistic double, p double, equal_var boolean"
+    if b["k"] < 2:  # nothing to compare
+        nothing = [(name, None, None, None) for name in ("Bartlett", "Levene")]
+        return df.sparkSession.createDataFrame(nothing, schema)
     dof = b["total"] - b["k"]
-    top = dof * math.log(b["within"] / dof) - b["logs"]
-    bartlett = top / (1 + (b["inverse"] - 1 / dof) / (3 * (b["k"] - 1)))
+    if b["flat"]:  # a group without variance: infinitely unequal, unless all are flat
+        bartlett = None if b["flat"] == b["k"] else math.inf
+    else:
+        top = dof * math.log(b["within"] / dof) - b["logs"]
+        bartlett = top / (1 + (b["inverse"] - 1 / dof) / (3 * (b["k"] - 1)))
     text = rows.withColumn("__g", F.col(group).cast("string"))
     medians = quantile_table(text, [y], [0.5], ["__g"]).select("__g", F.col("q0").alias("__m"))
     spread = text.join(small_side(medians), "__g").select(
@@ -554,15 +561,19 @@ def equal_variance_tests(
     )
     s = _sums_of_squares(group_table(spread, "__spread", "__g")).first()
     df1, df2 = s["k"] - 1, s["total"] - s["k"]
-    levene = (s["between"] / df1) / (s["within"] / df2)
+    levene = (s["between"] / df1) / (s["within"] / df2) if s["within"] and df2 > 0 else None
+
+    def line(name: str, value: float | None, tail) -> tuple:
+        if value is None:
+            return name, None, None, None
+        p = 0.0 if math.isinf(value) else tail(value)
+        return name, float(value), p, p > 1 - confidence
+
     lines = [
-        ("Bartlett", bartlett, chi2_sf(bartlett, b["k"] - 1)),
-        ("Levene", levene, f_sf(levene, df1, df2)),
+        line("Bartlett", bartlett, lambda v: chi2_sf(v, b["k"] - 1)),
+        line("Levene", levene, lambda v: f_sf(v, df1, df2)),
     ]
-    return df.sparkSession.createDataFrame(
-        [(name, float(v), p, p > 1 - confidence) for name, v, p in lines],
-        "test string, statistic double, p double, equal_var boolean",
-    )
+    return df.sparkSession.createDataFrame(lines, schema)
 
 
 def tukey_intervals(df: DataFrame, y: str, group: str, alpha: float = 0.05) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from quadrat.operators.durable import durable
 
-EXACT_POINTS = 20_000  # up to this many points go to every task
-RUN = 4096
-PROJECTIONS = 4
+#: Points that pivots are drawn from, most pivots, points aimed at per pivot.
+PIVOT_SAMPLE, MOST_PIVOTS, PER_PIVOT = 2000, 256, 1000
+#: Most points a task holds; a larger cell is dealt over more slices.
+SLICE = 4096
 
 NEIGHBOURS = "id string, vector array<double>, label string, found array<struct<distance double, id string, vector array<double>, label string>>"
 
@@ -20,15 +21,16 @@ NEIGHBOURS = "id string, vector array<double>, label string, found array<struct<
 def _search(query, ids, vectors, labels, k: int) -> list[list[dict]]:
     """The k nearest points of each query row, itself excluded."""
     q = np.stack(query["vector"].to_numpy())
+    step = max(1, 4_000_000 // max(1, vectors.size))
     out = []
-    for start in range(0, len(q), 256):
-        block = q[start:start + 256]
+    for start in range(0, len(q), step):
+        block = q[start:start + step]
         gap = ((block[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)
         for i, row in enumerate(gap):
             row[ids == query["id"].iat[start + i]] = np.inf
             m = min(k, int(np.isfinite(row).sum()))
-            near = np.argpartition(row, m - 1)[:m] if m else []
-            near = sorted(near, key=lambda j: (row[j], ids[j]))
+            edge = np.partition(row, m - 1)[m - 1] if m else -1.0
+            near = sorted(np.flatnonzero(row <= edge), key=lambda j: (row[j], ids[j]))[:m]
             out.append(
                 [
                     {"distance": float(np.sqrt(row[j])), "id": ids[j],
@@ -39,87 +41,105 @@ def _search(query, ids, vectors, labels, k: int) -> list[list[dict]]:
     return out
 
 
+def _in_cells(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Search each asked ``(cell, slice)`` for its queries; points come first and are held, queries stream by."""
+
+    def run(batches):
+        held, parts = None, []
+        for batch in batches:
+            for cell, rows in batch.groupby(["cell", "slice"], sort=False):
+                if cell != held:
+                    held, parts = cell, []
+                new = rows[rows["role"] == 0]
+                if len(new):
+                    parts.append(new)
+                queries = rows[rows["role"] == 1][["id", "vector", "label"]].copy()
+                if len(queries) and parts:
+                    parts = [pd.concat(parts)]
+                    pool = parts[0]
+                    vectors = np.stack(pool["vector"].to_numpy())
+                    queries["found"] = _search(queries, pool["id"].to_numpy(), vectors, pool["label"].to_numpy(), k)
+                    yield queries
+
+    columns = ["cell", "slice", "id", "vector", "label"]
+    rows = points.select(*columns, F.lit(0).alias("role")).unionByName(asked.select(*columns, F.lit(1).alias("role")))
+    rows = rows.repartition("cell", "slice").sortWithinPartitions("cell", "slice", "role")
+    return rows.mapInPandas(run, NEIGHBOURS)
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """``(id, vector, label, found)``: the k nearest of ``points`` for each query row.
-
-    Both tables hold ``(id string, vector array<double>, label string)``. Up to
-    ``EXACT_POINTS`` points are counted first and then sent to every task, which
-    makes the search exact. Beyond that, all rows are sorted along several
-    random directions and each looks through the runs around its own place; the
-    nearest over all directions are kept. Every query row gets neighbours and no
-    task holds more than two runs.
+    """``(id, vector, label, found)``: the k nearest of ``points`` for each query row, exactly.
+
+    Both tables hold ``(id string, vector array<double>, label string)``. Points
+    go to the cell of their nearest pivot. A query looks through its own cell,
+    which bounds its k-th distance, and then only through cells that can hold a
+    closer point: those whose pivot is no farther than that distance and the
+    cell's radius together. Crowded cells are dealt over slices of about 4,096
+    points, so no task holds more.
     """
     columns = ["id", "vector", "label"]
     points = durable(points.select(*columns))
+    queries = durable(queries.select(*columns))
     total = points.count()
-    if total <= EXACT_POINTS:
-        local = points.toPandas()
-        table = queries.sparkSession.sparkContext.broadcast(
-            (
-                local["id"].to_numpy(),
-                np.stack(local["vector"].to_numpy()) if total else np.empty((0, 1)),
-                local["label"].to_numpy(),
-            )
-        )
-
-        def direct(batches):
-            ids, vectors, labels = table.value
-            for batch in batches:
-                if len(batch):
-                    batch["found"] = _search(batch, ids, vectors, labels, k)
-                    yield batch
+    if not total:
+        none = F.array().cast(T._parse_datatype_string(NEIGHBOURS)["found"].dataType)
+        return queries.withColumn("found", none)
+    drawn = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(PIVOT_SAMPLE).collect()
+    wanted = min(MOST_PIVOTS, -(-total // PER_PIVOT))
+    pivots = np.unique(np.array([r["vector"] for r in drawn[:wanted]], float), axis=0)
 
-        return queries.select(*columns).mapInPandas(direct, NEIGHBOURS)
-    return _by_runs(queries.select(*columns), points, k, seed)
+    def gaps(vectors: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.stack([((vectors - p) ** 2).sum(axis=1) for p in pivots], axis=1))
 
-
-def _by_runs(queries: DataFrame, points: DataFrame, k: int, seed: int) -> DataFrame:
-    size = len(points.first()["vector"])
-    rng = np.random.default_rng(seed)
-    marked = points.withColumn("__point", F.lit(True)).unionByName(
-        queries.join(points.select("id"), "id", "left_anti").withColumn("__point", F.lit(False))
-    )
-    wanted = queries.select("id").withColumn("__query", F.lit(True))
-    marked = marked.join(wanted, "id", "left").fillna(False, ["__query"])
-
-    def runs(batches):
-        carried = None
+    def place(batches):
         for batch in batches:
-            for start in range(0, len(batch), RUN):
-                part = batch.iloc[start:start + RUN]
-                both = part if carried is None else pd.concat([carried, part])
-                pool = both[both["__point"]]
-                asked = both[both["__query"]]
-                carried = part
-                if len(pool) and len(asked):
-                    asked = asked[["id", "vector", "label"]].copy()
-                    asked["found"] = _search(
-                        asked, pool["id"].to_numpy(), np.stack(pool["vector"].to_numpy()),
-                        pool["label"].to_numpy(), k,
-                    )
-                    yield asked
-
-    parts = None
-    for _ in range(PROJECTIONS):
-        direction = [float(v) for v in rng.normal(size=size)]
-        place = F.aggregate(
-            F.zip_with("vector", F.lit(direction), lambda x, w: x * w),
-            F.lit(0.0), lambda acc, v: acc + v,
-        )
-        # ties are broken by a hash, so equal vectors spread over partitions
-        ordered = (
-            marked.withColumn("__place", place).withColumn("__salt", F.xxhash64("id"))
-            .repartitionByRange("__place", "__salt").sortWithinPartitions("__place", "__salt")
+            if len(batch):
+                gap = gaps(np.stack(batch["vector"].to_numpy()))
+                batch["cell"], batch["gap"] = gap.argmin(axis=1), gap.min(axis=1)
+                yield batch
+
+    schema = "id string, vector array<double>, label string, cell int, gap double"
+    placed = points.mapInPandas(place, schema)
+    sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    slices = {c: -(-r["n"] // SLICE) for c, r in sizes.items()}
+    count = F.element_at(F.create_map(*[F.lit(int(x)) for item in slices.items() for x in item]), F.col("cell"))
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("id"), count).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))
+    own = queries.mapInPandas(place, schema).where(F.col("cell").isin([int(c) for c in slices]))
+    first = durable(_merged(_in_cells(placed, own.withColumn("slice", every), k), k))
+    bound = F.when(F.size("found") >= k, F.element_at("found", -1)["distance"]).otherwise(F.lit(float("inf")))
+    bounds = queries.join(first.select("id", bound.alias("bound")), "id", "left").fillna({"bound": float("inf")})
+    radius = np.array([sizes[c]["radius"] if c in sizes else -np.inf for c in range(len(pivots))])
+
+    def others(batches):
+        for batch in batches:
+            if len(batch):
+                gap = gaps(np.stack(batch["vector"].to_numpy()))
+                far = batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + radius + 1e-12
+                go = (gap <= far) & np.isfinite(radius)
+                go[np.arange(len(batch)), gap.argmin(axis=1)] = False
+                row, cell = np.nonzero(go)
+                out = batch.iloc[row][columns].copy()
+                out["cell"], out["gap"] = cell, 0.0
+                yield out
+
+    rest = bounds.mapInPandas(others, schema).withColumn("slice", every)
+    merged = _merged(first.unionByName(_in_cells(placed, rest, k)), k)
+    alone = queries.join(merged.select("id"), "id", "left_anti")
+    none = F.array().cast(merged.schema["found"].dataType)
+    return merged.unionByName(alone.withColumn("found", none))
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest over all lists of a query, one row per id."""
+    return (
+        found.groupBy("id")
+        .agg(
+            F.first("vector").alias("vector"), F.first("label").alias("label"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"),
         )
-        part = ordered.mapInPandas(runs, NEIGHBOURS)
-        parts = part if parts is None else parts.unionAll(part)
-    merged = parts.groupBy("id").agg(
-        F.first("vector").alias("vector"),
-        F.first("label").alias("label"),
-        # at most 2 x PROJECTIONS short lists per row
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"),
+        .withColumn("found", F.slice("found", 1, k))
     )
-    return merged.withColumn("found", F.slice("found", 1, k))
 
 
 def as_points(df: DataFrame, key: str, columns, label: str) -> DataFrame:

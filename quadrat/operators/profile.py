@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from quadrat.functions.columns import (
     adjusted_kurtosis,
     adjusted_skewness,
+    is_missing,
     melt,
     number,
     percent_of,
@@ -112,8 +113,8 @@ def missing_table(df: DataFrame, clip_zero: bool = True) -> DataFrame:
         *[
             F.struct(
                 F.lit(name).alias("feature"),
-                F.count(F.col(name)).alias("present"),
-                F.count_if(F.col(name).isNull()).alias("missing"),
+                F.count_if(~is_missing(df, name)).alias("present"),
+                F.count_if(is_missing(df, name)).alias("missing"),
                 F.count(F.lit(1)).alias("total"),
             )
             for name in df.columns
@@ -130,7 +131,7 @@ def missing_table(df: DataFrame, clip_zero: bool = True) -> DataFrame:
 def missing_matrix(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Presence flag of every cell, with the row's completeness, fullest rows first."""
     names = [c for c in df.columns if c not in keys]
-    flags = [F.col(c).isNotNull().cast("int").alias(c) for c in names]
+    flags = [(~is_missing(df, c)).cast("int").alias(c) for c in names]
     full = sum((F.col(c) for c in names), F.lit(0)).cast("int").alias("completeness")
     return df.select(*keys, *flags).select("*", full).orderBy(
         F.col("completeness").desc(), *keys
@@ -140,7 +141,7 @@ def missing_matrix(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def missing_patterns(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``(pattern, completeness, rows)``: the matrix folded to its distinct rows."""
     names = [c for c in df.columns if c not in keys]
-    bits = F.concat(*[F.col(c).isNotNull().cast("int").cast("string") for c in names])
+    bits = F.concat(*[(~is_missing(df, c)).cast("int").cast("string") for c in names])
     return (
         df.select(bits.alias("pattern"))
         .groupBy("pattern")

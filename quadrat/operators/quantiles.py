@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from quadrat.functions.columns import melt, number
@@ -248,15 +249,18 @@ def running_totals(
     )
 
 
-def ranked_values(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+def ranked_values(
+    df: DataFrame, column: str, by: Sequence[str] = (), own_type: bool = False
+) -> DataFrame:
     """Global ranks of the distinct values: ``(by…, value, n, first, last, rank)``.
 
     ``first``/``last`` are the 1-based positions of the value's rows in the
     whole ordering (per ``by`` key) and ``rank`` is their mean. Values are
-    counted before the range sort, so a hot value is one row.
+    counted before the range sort, so a hot value is one row. Values are ranked
+    as doubles, or with ``own_type`` in the column's type.
     """
     counted = (
-        df.select(*by, number(column).alias("value"))
+        df.select(*by, (F.col(column) if own_type else number(column)).alias("value"))
         .filter("value is not null")
         .groupBy(*by, "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -277,12 +281,14 @@ def rank_global(df: DataFrame, column: str, tie_keys: Sequence[str]) -> DataFram
     """
     from quadrat.operators.sampling import hashed_rank
 
-    ranks = ranked_values(df, column).select(
+    whole = isinstance(df.schema[column].dataType, (T.IntegralType, T.DecimalType))
+    ranks = ranked_values(df, column, own_type=whole).select(
         F.col("value").alias("__value"), F.col("first").alias("__first")
     )
     inner = df.filter(F.col(column).isNotNull())
     tied = hashed_rank(inner, tie_keys, 0, by=[column], name="__tie")
-    joined = tied.join(ranks, F.col(column).cast("double") == F.col("__value"))
+    value = F.col(column) if whole else F.col(column).cast("double")
+    joined = tied.join(ranks, value == F.col("__value"))
     return joined.select(
         *df.columns, (F.col("__first") + F.col("__tie") - 1).alias("rank")
     )

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from quadrat.functions.columns import (
     categorical_names,
+    is_missing,
     melt,
     numeric_names,
     require_columns,
@@ -94,26 +95,45 @@ def drop_rows_equal(df: DataFrame, column: str, value) -> DataFrame:
     return df.filter(~F.col(column).eqNullSafe(F.lit(value)))
 
 
-_UNEQUAL = re.compile(
-    r"(?P<text>'(?:[^']|'')*')"
-    r"|(?P<name>`[^`]+`|\b[A-Za-z_]\w*)\s*(?:!=|<>)\s*(?P<value>'(?:[^']|'')*'|-?[\w.]+)"
-)
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|`[^`]*`|[\w.]+|<=>|!=|<>|<=|>=|==|\|\||\s+|.", re.DOTALL)
+#: Tokens that end an operand of a comparison: looser operators and clause words.
+_LOOSER = frozenset("AND OR NOT WHEN THEN ELSE CASE END IS IN BETWEEN LIKE ILIKE RLIKE , = == < > <= >= <=> != <>".split())
+
+
+def _operand_end(tokens: list[str], at: int, step: int) -> int:
+    """Last token of the operand that starts next to the comparison at ``at``."""
+    inner, outer = ("([", ")]") if step > 0 else (")]", "([")
+    depth, last, k = 0, at, at + step
+    while 0 <= k < len(tokens):
+        token = tokens[k]
+        if not depth and (token in outer or token.upper() in _LOOSER):
+            break
+        depth += (token in inner) - (token in outer)
+        last = last if token.isspace() else k
+        k += step
+    return last
 
 
-def _null_safe(match: re.Match) -> str:
-    if match["text"]:
-        return match["text"]
-    return f"(NOT ({match['name']} <=> {match['value']}))"
+def _null_safe(expression: str) -> str:
+    """``a != b`` as ``NOT (a <=> b)``; the operands reach up to the next looser operator."""
+    tokens = _TOKEN.findall(expression)
+    before, after = [""] * len(tokens), [""] * len(tokens)
+    for k, token in enumerate(tokens):
+        if token in ("!=", "<>"):
+            before[_operand_end(tokens, k, -1)] += "(NOT (("
+            after[_operand_end(tokens, k, 1)] += ")))"
+            tokens[k] = ") <=> ("
+    return "".join(b + t + a for b, t, a in zip(before, tokens, after))
 
 
 def filter_rows(df: DataFrame, expression: str, keep_nulls: bool = True) -> DataFrame:
     """Filter by a boolean expression.
 
-    With ``keep_nulls``, ``column != value`` also keeps rows where the column is
-    NULL, as a data frame comparison does.
+    With ``keep_nulls``, ``a != b`` also holds where one side is NULL, as in a
+    data frame comparison.
     """
     if keep_nulls:
-        expression = _UNEQUAL.sub(_null_safe, expression)
+        expression = _null_safe(expression)
     return df.filter(F.expr(expression))
 
 
@@ -142,13 +162,13 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def columns_with_nulls(df: DataFrame) -> DataFrame:
-    """``(ordinal, column, missing)`` for every column that has a NULL."""
+    """``(ordinal, column, missing)`` for every column that has a missing value."""
     cells = F.array(
         *[
             F.struct(
                 F.lit(i).alias("ordinal"),
                 F.lit(name).alias("column"),
-                F.count_if(F.col(name).isNull()).alias("missing"),
+                F.count_if(is_missing(df, name)).alias("missing"),
             )
             for i, name in enumerate(df.columns)
         ]

@@ -90,7 +90,11 @@ def test_edited_neighbours_remove_a_stray(spark, blobs):
     assert 999 not in kept and 0 in kept
 
 
-def test_neighbours_exact_and_by_runs(blobs, monkeypatch):
+@pytest.mark.parametrize("limits", [(1000, 4096), (7, 5)])
+def test_neighbours_are_exact(blobs, monkeypatch, limits):
+    """One cell, and many cells of which crowded ones are sliced."""
+    monkeypatch.setattr(neighbours, "PER_PIVOT", limits[0])
+    monkeypatch.setattr(neighbours, "SLICE", limits[1])
     points = neighbours.as_points(blobs.dropna(), "key", FEATURES, "label")
     local = points.toPandas()
     x = np.stack(local["vector"])
@@ -100,11 +104,13 @@ def test_neighbours_exact_and_by_runs(blobs, monkeypatch):
         gap[i] = np.inf
         order = sorted(range(len(x)), key=lambda j: (gap[j], local["id"][j]))[:4]
         assert exact[key] == [local["id"][j] for j in order]
-    monkeypatch.setattr(neighbours, "EXACT_POINTS", 10)
-    runs = neighbours.nearest(points, points, 4).collect()
-    assert len(runs) == len(local) and all(len(r["found"]) == 4 for r in runs)
-    same = sum(len(set(exact[r["id"]]) & {n["id"] for n in r["found"]}) for r in runs)
-    assert same / (4 * len(local)) > 0.9
+    assert len(exact) == len(local)
+
+
+def test_neighbours_of_nothing(blobs):
+    points = neighbours.as_points(blobs.dropna(), "key", FEATURES, "label").limit(3)
+    assert all(r["found"] == [] for r in neighbours.nearest(points, points.limit(0), 4).collect())
+    assert all(len(r["found"]) == 2 for r in neighbours.nearest(points, points, 4).collect())
 
 
 @pytest.mark.parametrize("name", ["naive_bayes", "linear_discriminant", "decision_tree", "logistic_regression"])

@@ -23,6 +23,17 @@ def cloud(spark):
     return spark.createDataFrame(pdf), pdf
 
 
+
+def test_equal_variances_of_odd_groups(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 5.0), ("b", 9.0)]
+    df = spark.createDataFrame(rows, "g string, y double")
+    bartlett = hypotheses.equal_variance_tests(df, "y", "g").first()
+    assert bartlett["p"] == 0 and not bartlett["equal_var"]
+    for few in (df.limit(0), df.where("g = 'a'")):
+        assert all(r["statistic"] is None for r in hypotheses.equal_variance_tests(few, "y", "g").collect())
+    assert hypotheses.anova_unbalanced(df.limit(0), "y", ["g"]).count() == 0
+
+
 def test_constant_and_tied_columns(spark):
     rows = [(i, 7.0, 1.0 if i < 9 else 5.0) for i in range(10)]
     df = spark.createDataFrame(rows, "k int, c double, t double")

@@ -23,6 +23,35 @@ def test_filters_keep_nulls(small):
     assert table.filter_rows(quoted, "g = 'x != ''y'''").count() == 7
 
 
+@pytest.mark.parametrize(
+    "condition, keys",
+    [
+        ("b + a != 3", [2, 3, 4]), ("a + 1 != 9", [1, 2, 3, 4]), ("a != b - 1", [3, 4]), ("g != upper('x') and a != 5", [1, 3, 4]),
+        ("(a != 1 or b <> 2) and g is not null", [2, 3]), ("not (a != 1)", [1]), ("case when a != 1 then true else false end", [2, 3, 4]),
+    ],
+)
+def test_unequal_over_expressions(spark, condition, keys):
+    df = spark.createDataFrame([(1, 1, 2, "x"), (2, 5, 6, "X"), (3, None, 2, "z"), (4, 7, None, None)], "k int, a int, b int, g string")
+    assert sorted(column(table.filter_rows(df, condition), "k")) == keys
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0, nan), (2, nan, nan), (3, None, 1.0), (4, nan, 2.0)], "k int, x double, y double")
+    assert {r["feature"]: r["missing"] for r in profile.missing_table(df).collect()} == {"x": 3, "y": 2}
+    assert {r["column"]: r["missing"] for r in table.columns_with_nulls(df).collect()} == {"x": 3, "y": 2}
+    assert features.drop_sparse_features(df, ["x", "y"], 0.7).columns == ["k", "y"]
+    assert features.drop_sparse_rows(df, ["x", "y"], None).count() == 0
+    assert {r["pattern"]: r["rows"] for r in profile.missing_patterns(df, ["k"]).collect()} == {"10": 1, "00": 1, "01": 2}
+
+
+def test_ranks_of_large_integers(spark):
+    df = spark.createDataFrame([(i, 2**53 + i // 2) for i in range(8)], "k bigint, v bigint")
+    ranked = quantiles.rank_global(df, "v", ["k"]).collect()
+    assert sorted(r["rank"] for r in ranked) == list(range(1, 9))
+    assert sorted(ranked, key=lambda r: r["rank"])[0]["v"] == 2**53
+
+
 def test_unknown_column_is_an_error(small):
     with pytest.raises(KeyError):
         table.drop_columns(small, ["nope"])
