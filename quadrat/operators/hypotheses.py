@@ -185,6 +185,9 @@ def manova(df: DataFrame, responses: Sequence[str], group: str) -> DataFrame:
         ],
         *[F.sum(F.col("n") * F.col(f"c{i}_{j}")).alias(f"e{i}_{j}") for i, j in upper],
     ).first()
+    schema = "statistic string, value double, df1 double, df2 double, f double, p double"
+    if row["k"] < 2 or row["total"] <= row["k"]:  # nothing to compare
+        return df.sparkSession.createDataFrame([], schema)
     h, e = np.zeros((p, p)), np.zeros((p, p))
     for i, j in upper:
         h[i, j] = h[j, i] = row[f"h{i}_{j}"]
@@ -209,9 +212,7 @@ def manova(df: DataFrame, responses: Sequence[str], group: str) -> DataFrame:
         (name, float(value), float(d1), float(d2), float(f), f_sf(f, d1, d2))
         for name, value, d1, d2, f in lines
     ]
-    return df.sparkSession.createDataFrame(
-        out, "statistic string, value double, df1 double, df2 double, f double, p double"
-    )
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def _group_pairs(groups: DataFrame) -> DataFrame:

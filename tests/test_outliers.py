@@ -32,6 +32,9 @@ def test_equal_variances_of_odd_groups(spark):
     for few in (df.limit(0), df.where("g = 'a'")):
         assert all(r["statistic"] is None for r in hypotheses.equal_variance_tests(few, "y", "g").collect())
     assert hypotheses.anova_unbalanced(df.limit(0), "y", ["g"]).count() == 0
+    twice = df.withColumn("z", F.col("y") * F.col("y"))
+    assert hypotheses.manova(twice.limit(0), ["y", "z"], "g").count() == 0
+    assert hypotheses.manova(twice.where("g = 'b'"), ["y", "z"], "g").count() == 0
 
 
 def test_constant_and_tied_columns(spark):
