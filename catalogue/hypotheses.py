@@ -14,19 +14,40 @@ gm AS (SELECT avg({y}) AS gm FROM {source}),
 s AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * (m - gm) * (m - gm)) AS ssb, sum((n - 1) * v) AS ssw FROM g, gm)"""
 
 
+def simpson(expression: str, step: float, n: int) -> str:
+    """Simpson's rule over ``u`` from 0 in ``n`` (even) steps; ``expression`` is a format of u."""
+    weight = f"CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"list_sum([{weight} * {expression.format(u=f'(i * {step})')} for i in range(0, {n + 1})]) * {step} / 3"
+
+
+def f_tail(f: str, d1: str, d2: str) -> str:
+    """Upper tail of the F distribution: the incomplete beta integral along t = x * exp(-u / a)."""
+    a, b, x = f"({d2} / 2.0)", f"({d1} / 2.0)", f"({d2} / ({d2} + {d1} * {f}))"
+    scale = f"lgamma({a} + {b}) - lgamma({a}) - lgamma({b})"
+    return simpson(f"exp({a} * ln({x}) - {{u}} + ({b} - 1) * ln(1 - {x} * exp(-{{u}} / {a})) + {scale})", 0.01, 6000) + f" / {a}"
+
+
+def chi2_tail(x: str, d: str) -> str:
+    """Upper tail of the chi-square distribution: the incomplete gamma integral from x / 2 on."""
+    at = f"({x} / 2.0 + {{u}})"
+    return simpson(f"exp(({d} / 2.0 - 1) * ln({at}) - {at} - lgamma({d} / 2.0))", 0.02, 4000)
+
+
+F_VALUE = "v AS (SELECT *, k - 1 AS d1, n - k AS d2, ssb / (k - 1) / (ssw / (n - k)) AS f FROM s)"
+
 ANOVA = f"""
-WITH {groups_sql("events", "value", "event_type")}
-SELECT 'event_type' AS source, k - 1 AS df, round(ssb, 4) + 0.0 AS sum_sq, round(ssb / (k - 1), 4) + 0.0 AS mean_sq,
-  round(ssb / (k - 1) / (ssw / (n - k)), 4) + 0.0 AS f FROM s
-UNION ALL SELECT 'Residual', n - k, round(ssw, 4) + 0.0, round(ssw / (n - k), 4) + 0.0, NULL FROM s"""
+WITH {groups_sql("events", "value", "event_type")}, {F_VALUE}
+SELECT 'event_type' AS source, d1 AS df, round(ssb, 4) + 0.0 AS sum_sq, round(ssb / d1, 4) + 0.0 AS mean_sq,
+  round(f, 4) + 0.0 AS f, round({f_tail("f", "d1", "d2")}, 4) + 0.0 AS p FROM v
+UNION ALL SELECT 'Residual', d2, round(ssw, 4) + 0.0, round(ssw / d2, 4) + 0.0, NULL, NULL FROM v"""
 
 
 @query(ANOVA, digits=4)
 def anova_oneway(t):
-    return hypotheses.anova_oneway(t("events"), "value", "event_type").drop("p")
+    return hypotheses.anova_oneway(t("events"), "value", "event_type")
 
 
-@query()
+@query(ANOVA, digits=4)
 def anova_oneway_p(t):
     return hypotheses.anova_oneway(t("events"), "value", "event_type")
 
@@ -40,12 +61,12 @@ def residuals(t):
 
 
 @query(f"""
-WITH {groups_sql("events", "value", "event_type")}
-SELECT 'event_type' AS source, k - 1 AS df, round(ssb, 4) + 0.0 AS sum_sq, round(ssb / (k - 1), 4) + 0.0 AS mean_sq,
-  round(ssb / (k - 1) / (ssw / (n - k)), 4) + 0.0 AS f, round(ssb / (ssb + ssw), 4) + 0.0 AS effect FROM s
-UNION ALL SELECT 'Residual', n - k, round(ssw, 4) + 0.0, round(ssw / (n - k), 4) + 0.0, NULL, NULL FROM s""", digits=4)
+WITH {groups_sql("events", "value", "event_type")}, {F_VALUE}
+SELECT 'event_type' AS source, d1 AS df, round(ssb, 4) + 0.0 AS sum_sq, round(ssb / d1, 4) + 0.0 AS mean_sq,
+  round(f, 4) + 0.0 AS f, round({f_tail("f", "d1", "d2")}, 4) + 0.0 AS p, round(ssb / (ssb + ssw), 4) + 0.0 AS effect FROM v
+UNION ALL SELECT 'Residual', d2, round(ssw, 4) + 0.0, round(ssw / d2, 4) + 0.0, NULL, NULL, NULL FROM v""", digits=4)
 def anova_unbalanced(t):
-    return hypotheses.anova_unbalanced(t("events"), "value", ["event_type"]).drop("p")
+    return hypotheses.anova_unbalanced(t("events"), "value", ["event_type"])
 
 
 @query()
@@ -55,24 +76,38 @@ def anova_two_factors(t):
     )
 
 
-@query("""
-WITH c AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS a, avg(l_discount) AS b, covar_pop(l_quantity, l_quantity) AS aa,
+MANOVA = """
+c AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS a, avg(l_discount) AS b, covar_pop(l_quantity, l_quantity) AS aa,
   covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_discount, l_discount) AS bb FROM lineitem GROUP BY 1),
 m AS (SELECT avg(l_quantity) AS ma, avg(l_discount) AS mb FROM lineitem),
 x AS (SELECT sum(n * aa) AS eaa, sum(n * ab) AS eab, sum(n * bb) AS ebb, sum(n * (a - ma) * (a - ma)) AS haa,
   sum(n * (a - ma) * (b - mb)) AS hab, sum(n * (b - mb) * (b - mb)) AS hbb FROM c, m),
-d AS (SELECT *, eaa * ebb - eab * eab AS de, (eaa + haa) * (ebb + hbb) - (eab + hab) * (eab + hab) AS dt FROM x)
-SELECT 'Wilks'' lambda' AS statistic, round(de / dt, 8) + 0.0 AS value FROM d
-UNION ALL SELECT 'Pillai''s trace', round((haa * (ebb + hbb) - 2 * hab * (eab + hab) + hbb * (eaa + haa)) / dt, 8) + 0.0 FROM d
-UNION ALL SELECT 'Hotelling-Lawley trace', round((haa * ebb - 2 * hab * eab + hbb * eaa) / de, 8) + 0.0 FROM d
-UNION ALL SELECT 'Roy''s greatest root', round((tr + sqrt(tr * tr - 4 * dd)) / 2, 8) + 0.0 FROM (
-  SELECT (haa * ebb - 2 * hab * eab + hbb * eaa) / de AS tr, (haa * hbb - hab * hab) / de AS dd FROM d)""", digits=8)
+d AS (SELECT *, eaa * ebb - eab * eab AS de, (eaa + haa) * (ebb + hbb) - (eab + hab) * (eab + hab) AS dt FROM x),
+z AS (SELECT 'Wilks'' lambda' AS statistic, de / dt AS value FROM d
+UNION ALL SELECT 'Pillai''s trace', (haa * (ebb + hbb) - 2 * hab * (eab + hab) + hbb * (eaa + haa)) / dt FROM d
+UNION ALL SELECT 'Hotelling-Lawley trace', (haa * ebb - 2 * hab * eab + hbb * eaa) / de FROM d
+UNION ALL SELECT 'Roy''s greatest root', (tr + sqrt(tr * tr - 4 * dd)) / 2 FROM (
+  SELECT (haa * ebb - 2 * hab * eab + hbb * eaa) / de AS tr, (haa * hbb - hab * hab) / de AS dd FROM d))"""
+
+# The F forms for two responses and three groups, with v the residual degrees of freedom.
+MANOVA_F = MANOVA + """,
+e AS (SELECT CAST(sum(n) - count(*) AS DOUBLE) AS v FROM c),
+w AS (SELECT statistic, value, CASE WHEN statistic LIKE 'Roy%' THEN 2.0 ELSE 4.0 END AS d1,
+  CASE left(statistic, 1) WHEN 'W' THEN 2 * v - 2 WHEN 'P' THEN 2 * v WHEN 'H' THEN 2 * v - 4 ELSE v END AS d2,
+  CASE left(statistic, 1) WHEN 'W' THEN (1 / sqrt(value) - 1) * (2 * v - 2) / 4 WHEN 'P' THEN v / 2 * value / (2 - value)
+    WHEN 'H' THEN (2 * v - 4) * value / 8 ELSE value * v / 2 END AS f FROM z, e)"""
+
+
+@query(f"WITH {MANOVA} SELECT statistic, round(value, 8) + 0.0 AS value FROM z", digits=8)
 def manova(t):
     rows = hypotheses.manova(t("lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
     return rows.select("statistic", "value")
 
 
-@query()
+@query(f"""
+WITH {MANOVA_F}
+SELECT statistic, round(value, 6) + 0.0 AS value, CAST(d1 AS DOUBLE) AS df1, CAST(d2 AS DOUBLE) AS df2, round(f, 6) + 0.0 AS f,
+  round({f_tail("f", "d1", "d2")}, 6) + 0.0 AS p FROM w""", digits=6)
 def manova_p(t):
     return hypotheses.manova(t("lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
 
@@ -187,17 +222,21 @@ def normality_tests(t):
 LEVENE_SOURCE = """(SELECT event_type, abs(value - median(value) OVER (PARTITION BY event_type)) AS spread FROM events)"""
 
 
-@query(f"""
+EQUAL_VARIANCE = f"""
 WITH g0 AS (SELECT count(*) AS n, var_samp(value) AS v FROM events GROUP BY event_type),
-b AS (SELECT count(*) AS k, sum(n) AS n, sum((n - 1) * v) AS w, sum((n - 1) * ln(v)) AS l, sum(1.0 / (n - 1)) AS i FROM g0),
-{groups_sql(LEVENE_SOURCE, "spread", "event_type")}
-SELECT 'Bartlett' AS test, round(((n - k) * ln(w / (n - k)) - l) / (1 + (i - 1.0 / (n - k)) / (3 * (k - 1))), 4) + 0.0 AS statistic FROM b
-UNION ALL SELECT 'Levene', round(ssb / (k - 1) / (ssw / (n - k)), 4) + 0.0 FROM s""", digits=4)
+b AS (SELECT count(*) AS k, sum(n) AS n, sum((n - 1) * v) AS w, sum((n - 1) * ln(v)) AS l, sum(1.0 / (n - 1)) AS h FROM g0),
+x AS (SELECT k - 1 AS d, ((n - k) * ln(w / (n - k)) - l) / (1 + (h - 1.0 / (n - k)) / (3 * (k - 1))) AS x FROM b),
+{groups_sql(LEVENE_SOURCE, "spread", "event_type")}, {F_VALUE},
+q AS (SELECT 'Bartlett' AS test, x AS statistic, {chi2_tail("x", "d")} AS p FROM x
+  UNION ALL SELECT 'Levene', f, {f_tail("f", "d1", "d2")} FROM v)
+SELECT test, round(statistic, 4) + 0.0 AS statistic, round(p, 4) + 0.0 AS p, p > 0.05 AS equal_var FROM q"""
+
+
+@query(EQUAL_VARIANCE, digits=4)
 def equal_variance_tests(t):
-    rows = hypotheses.equal_variance_tests(t("events"), "value", "event_type")
-    return rows.select("test", "statistic")
+    return hypotheses.equal_variance_tests(t("events"), "value", "event_type")
 
 
-@query()
+@query(EQUAL_VARIANCE, digits=4)
 def equal_variance_tests_p(t):
     return hypotheses.equal_variance_tests(t("events"), "value", "event_type")

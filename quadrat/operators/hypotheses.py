@@ -14,7 +14,6 @@ from quadrat.functions.columns import jarque_bera_value, melt, number
 from quadrat.functions.distributions import (
     chi2_sf,
     f_sf,
-    f_sf_column,
     normal_ppf,
     normal_sf,
     studentized_range_ppf,
@@ -52,28 +51,19 @@ def _sums_of_squares(groups: DataFrame) -> DataFrame:
 
 def anova_oneway(df: DataFrame, y: str, group: str) -> DataFrame:
     """Type I table: ``(source, df, sum_sq, mean_sq, f, p)`` for group and residual."""
-    s = _sums_of_squares(group_table(df, y, group))
-    s = s.select(
-        "between", "within", (F.col("k") - 1).alias("df1"), (F.col("total") - F.col("k")).alias("df2")
-    )
-    mean_b = F.try_divide(F.col("between"), F.col("df1"))
-    mean_w = F.try_divide(F.col("within"), F.col("df2"))
-    none = F.lit(None).cast("double")
-    rows = s.withColumn("f", F.try_divide(mean_b, mean_w)).withColumn(
-        "p", f_sf_column(F.col("f"), F.col("df1"), F.col("df2"))
-    )
-    cells = F.array(
-        F.struct(
-            F.lit(group).alias("source"), F.col("df1").alias("df"),
-            F.col("between").alias("sum_sq"), mean_b.alias("mean_sq"), "f", "p",
-        ),
-        F.struct(
-            F.lit("Residual").alias("source"), F.col("df2").alias("df"),
-            F.col("within").alias("sum_sq"), mean_w.alias("mean_sq"),
-            none.alias("f"), none.alias("p"),
-        ),
+    s = _sums_of_squares(group_table(df, y, group)).first()  # four numbers
+    df1, df2 = s["k"] - 1, None if s["total"] is None else s["total"] - s["k"]
+
+    def ratio(a: float | None, b: float | None) -> float | None:
+        return a / b if a is not None and b else None
+
+    mean_b, mean_w = ratio(s["between"], df1), ratio(s["within"], df2)
+    f = ratio(mean_b, mean_w)
+    p = f_sf(f, df1, df2) if f is not None else None
+    lines = [(group, df1, s["between"], mean_b, f, p), ("Residual", df2, s["within"], mean_w, None, None)]
+    return df.sparkSession.createDataFrame(
+        lines, "source string, df bigint, sum_sq double, mean_sq double, f double, p double"
     )
-    return rows.select(F.inline(cells))
 
 
 def residuals(df: DataFrame, y: str, group: str, name: str = "residual") -> DataFrame:
@@ -93,14 +83,20 @@ def anova_unbalanced(
 ) -> DataFrame:
     """Type II analysis of variance of one or two factors with their interaction.
 
-    ``(source, df, sum_sq, mean_sq, f, p, effect)``. The data pass ends in the
-    table of factor-level cells; the normal equations are built from the cells.
+    ``(source, df, sum_sq, mean_sq, f, p, effect)``. One factor of any number
+    of levels has a closed form in Spark sums. With two factors the data pass
+    ends in the table of factor-level cells, and the normal equations are built
+    from the cells.
     """
     if effect_size not in ("n2", "np2"):
         raise ValueError("effect_size must be n2 or np2")
     if len(factors) not in (1, 2):
         raise ValueError("one or two factors")
     a, b = factors[0], factors[-1]
+    if len(factors) == 1:
+        s = _sums_of_squares(group_table(df, y, a)).first()  # four numbers
+        effects = [(a, s["between"], s["k"] - 1)] if s["k"] else []
+        return _effects_table(df, effects, s["within"], (s["total"] or 0) - s["k"], effect_size)
     rows = df.filter(number(y).isNotNull()).dropna(subset=list(factors))
     cells = rows.groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -110,9 +106,8 @@ def anova_unbalanced(
     table = cells.limit(MAX_CELLS + 1).collect()
     if len(table) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} factor-level cells: not a factor")
-    schema = "source string, df bigint, sum_sq double, mean_sq double, f double, p double, effect double"
     if not table:
-        return df.sparkSession.createDataFrame([], schema)
+        return _effects_table(df, [], None, 0, effect_size)
     n = np.array([r["n"] for r in table], float)
     mean = np.array([r["mean"] for r in table])
     within = float(((n - 1) * np.array([r["var"] for r in table])).sum())
@@ -131,22 +126,28 @@ def anova_unbalanced(
         fit = z - x @ beta
         return float((n * fit * fit).sum()), int(np.linalg.matrix_rank(x * root[:, None]))
 
-    df_res = int(n.sum()) - len(table)
-    if len(factors) == 1:
-        null, full = rss(), rss("a")
-        effects = [(a, null[0] - full[0], full[1] - null[1])]
-    else:
-        only_a, only_b, both = rss("a"), rss("b"), rss("a", "b")
-        effects = [
-            (a, only_b[0] - both[0], both[1] - only_b[1]),
-            (b, only_a[0] - both[0], both[1] - only_a[1]),
-            (f"{a} * {b}", both[0], len(table) - both[1]),
-        ]
+    only_a, only_b, both = rss("a"), rss("b"), rss("a", "b")
+    effects = [
+        (a, only_b[0] - both[0], both[1] - only_b[1]),
+        (b, only_a[0] - both[0], both[1] - only_a[1]),
+        (f"{a} * {b}", both[0], len(table) - both[1]),
+    ]
+    return _effects_table(df, effects, within, int(n.sum()) - len(table), effect_size)
+
+
+def _effects_table(
+    df: DataFrame, effects: list[tuple], within: float | None, df_res: int, effect_size: str
+) -> DataFrame:
+    """The analysis-of-variance table of ``(source, sum of squares, df)`` effects; no rows without effects."""
+    schema = "source string, df bigint, sum_sq double, mean_sq double, f double, p double, effect double"
+    if not effects:
+        return df.sparkSession.createDataFrame([], schema)
     total = sum(ss for _, ss, _ in effects) + within
     out = []
     for source, ss, dof in effects:
         f = (ss / dof) / (within / df_res) if dof and df_res and within else None
-        effect = ss / total if effect_size == "n2" else ss / (ss + within)
+        whole = total if effect_size == "n2" else ss + within
+        effect = ss / whole if whole else None
         out.append((source, dof, ss, ss / dof if dof else None, f,
                     f_sf(f, dof, df_res) if f is not None else None, effect))
     mean_sq = within / df_res if df_res else None

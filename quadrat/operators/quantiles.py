@@ -1,10 +1,11 @@
 """Exact quantiles, ranks and median deviations without a whole-group buffer.
 
 ``percentile`` keeps every distinct value of a group in one task. Here a
-bounded sketch brackets each wanted order statistic first; then a single
-aggregate counts rows, keeping individual values only inside the brackets.
-Only those few candidates are ordered per group. The counts prove the result:
-a bracket that missed its position raises.
+bounded sketch brackets each wanted order statistic first, and brackets that may
+still hold many rows are sketched again inside until they hold few. Then a
+single aggregate counts rows, keeping individual values only inside the
+brackets. So the candidates ordered per group stay bounded at any size. The
+counts prove the result: a bracket that missed its position raises.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from quadrat.operators.durable import durable, small_side
 MAD_SCALE = 0.6744897501960817  # fixed value: the 0.75 quantile of the normal
 SKETCH_K = 32_768  # at most about a megabyte per group and a rank error of 1.4e-4
 MARGIN = 5e-4  # bracket half-width in rank, more than three times that error
-SMALL_GROUP = 50_000  # groups up to this size are ordered whole
+ORDERED = 10_000  # rows of a bracket whose values are ordered in one place
+GRID = 500  # quantiles of a bracket's inside to narrow it by
 WIDE_TABLE = 48  # more columns than this share one scan in long form
 
 
@@ -36,13 +38,40 @@ def sketched_edges(x: Column, probs: Sequence[float]) -> Column:
     sketch = F.kll_sketch_agg_double(x, F.lit(SKETCH_K))
     edges = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(r) for r in ranks]))
     whole = F.array(*[F.lit(e) for _ in probs for e in (-math.inf, math.inf)])
-    return F.when(F.count(x) > SMALL_GROUP, edges).when(F.count(x) > 0, whole)
+    return F.when(F.count(x) > ORDERED, edges).when(F.count(x) > 0, whole)
+
+
+def narrowed(x: Column, n: Column, edges: Sequence[Column], probs: Sequence[float]) -> Column:
+    """Aggregate ``struct<edges, held>``: crowded brackets cut down by a sketch of their inside.
+
+    ``held`` is about the most rows that a bracket which became smaller still
+    holds; one that cannot shrink has only few distinct values left.
+    """
+    ranks = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    found, held = [], []
+    for i, p in enumerate(probs):
+        lo, hi = edges[2 * i], edges[2 * i + 1]
+        inside = (x >= lo) & (x <= hi)
+        count = F.count_if(inside)
+        sketch = F.kll_sketch_agg_double(F.when(inside, x), F.lit(SKETCH_K))
+        points = F.kll_sketch_get_quantile_double(sketch, ranks)
+        place = F.floor(F.lit(float(p)) * (n - 1)) - F.count_if(x < lo)
+        step = F.lit(float(GRID)) / F.greatest(count - 1, F.lit(1))
+        start = F.least(F.greatest(F.floor(place * step) - 1, F.lit(0)), F.lit(GRID))
+        stop = F.least(F.greatest(F.ceil((place + 1) * step) + 1, F.lit(0)), F.lit(GRID))
+        low = F.greatest(lo, F.element_at(points, (start + 1).cast("int")))
+        high = F.least(hi, F.element_at(points, (stop + 1).cast("int")))
+        crowded = count > ORDERED
+        shrunk = crowded & ((low > lo) | (high < hi)) & (low < high)
+        found += [F.when(crowded, low).otherwise(lo), F.when(crowded, high).otherwise(hi)]
+        held.append(F.when(shrunk, count * (stop - start) / F.lit(float(GRID))).otherwise(F.lit(0.0)))
+    return F.struct(F.array(*found).alias("edges"), F.array_max(F.array(*held)).alias("held"))
 
 
 def column_brackets(
     df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float]
 ) -> list[Row]:
-    """``(feature, n, edges)`` of whole columns: one scan, one row per column."""
+    """``(feature, n, edges)`` of whole columns: one scan, and one more per thousandfold of 10 million rows."""
     cells = [
         F.struct(
             F.lit(name).alias("feature"),
@@ -51,7 +80,17 @@ def column_brackets(
         )
         for name, x in columns.items()
     ]
-    return df.agg(F.array(*cells).alias("cells")).first()["cells"]
+    first = df.agg(F.array(*cells).alias("cells")).first()["cells"]
+    found = {r["feature"]: (r["n"], r["edges"], 2 * MARGIN * r["n"]) for r in first}
+    while crowded := [f for f, (_, _, held) in found.items() if held > ORDERED]:
+        cells = []
+        for f in crowded:
+            n, edges, _ = found[f]
+            step = narrowed(columns[f], F.lit(n), [F.lit(e) for e in edges], probs)
+            cells.append(F.struct(F.lit(f).alias("feature"), step.alias("step")))
+        for r in df.agg(F.array(*cells).alias("cells")).first()["cells"]:
+            found[r["feature"]] = (found[r["feature"]][0], r["step"]["edges"], r["step"]["held"])
+    return [Row(feature=f, n=n, edges=edges) for f, (n, edges, _) in found.items()]
 
 
 def _folded(value: Column, edges: Sequence[Column]) -> list[Column]:
@@ -154,7 +193,15 @@ def select_quantiles(
     brackets = long.groupBy(*keys).agg(
         F.count("value").alias("n"), sketched_edges(F.col("value"), probs).alias("__edges")
     )
-    return _counted(long, small_side(brackets), keys, probs)
+    brackets = small_side(brackets)
+    held = 2 * MARGIN * (brackets.agg(F.max("n")).first()[0] or 0)
+    edges = [F.col("__edges")[i] for i in range(2 * len(probs))]
+    while held > ORDERED:
+        step = narrowed(F.col("value"), F.col("n"), edges, probs).alias("__step")
+        rows = long.join(brackets, list(keys)).groupBy(*keys, "n", "__edges").agg(step)
+        table = small_side(rows.select(*keys, "n", F.col("__step.edges").alias("__edges"), F.col("__step.held").alias("__held")))
+        held, brackets = table.agg(F.max("__held")).first()[0], table.drop("__held")
+    return _counted(long, brackets, keys, probs)
 
 
 def quantile_table(

@@ -95,10 +95,10 @@ def test_match_names_by_brute_force(spark):
     assert files["zzz"] == 0
 
 
-@pytest.mark.parametrize("limit", [50_000, 20])
+@pytest.mark.parametrize("limit", [50_000, 20, 3])
 def test_quantiles_by_brute_force(spark, monkeypatch, limit):
-    """Whole ordering for small groups, sketch brackets beyond; ties, skew and two sizes."""
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", limit)
+    """Whole ordering for small groups, sketch brackets beyond, narrowed brackets last; ties, skew and three sizes."""
+    monkeypatch.setattr(quantiles, "ORDERED", limit)
     rng = np.random.default_rng(3)
     values = np.concatenate(
         [rng.normal(size=4000), np.full(3000, 7.0), rng.pareto(1, 2000), [1.0, 2.0]]
