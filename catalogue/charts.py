@@ -102,6 +102,19 @@ def box_stats(t):
     return charts.box_stats(t("orders"), "o_totalprice", ["o_orderstatus"])
 
 
+@query("""
+WITH q AS (SELECT l_linestatus, quantile_cont(l_extendedprice, 0.25) AS q1, median(l_extendedprice) AS median,
+  quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)
+SELECT l_linestatus, round(q1, 4) + 0.0 AS q1, round(median, 4) + 0.0 AS median, round(q3, 4) + 0.0 AS q3,
+  round(min(l_extendedprice) FILTER (l_extendedprice >= q1 - 1.5 * (q3 - q1)), 4) + 0.0 AS whisker_low,
+  round(max(l_extendedprice) FILTER (l_extendedprice <= q3 + 1.5 * (q3 - q1)), 4) + 0.0 AS whisker_high,
+  count(*) FILTER (l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)) AS fliers
+FROM lineitem JOIN q USING (l_linestatus) GROUP BY ALL""", digits=4)
+def box_stats_lineitem(t):
+    """Groups large enough to be bracketed by sketches."""
+    return charts.box_stats(t("lineitem"), "l_extendedprice", ["l_linestatus"])
+
+
 @query("""
 SELECT event_type, 'value' AS feature, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY 1""")
 def bar_means(t):

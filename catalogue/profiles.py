@@ -52,6 +52,17 @@ def group_quantiles(t):
     )
 
 
+@query("""
+SELECT l_returnflag, 'l_extendedprice' AS feature, count(*) AS n,
+  round(quantile_cont(l_extendedprice, 0.1), 4) + 0.0 AS q0, round(quantile_cont(l_extendedprice, 0.5), 4) + 0.0 AS q1,
+  round(quantile_cont(l_extendedprice, 0.99), 4) + 0.0 AS q2 FROM lineitem GROUP BY l_returnflag""", digits=4)
+def group_quantiles_lineitem(t):
+    """Groups large enough to be bracketed by sketches."""
+    return quantiles.quantile_table(
+        t("lineitem"), ["l_extendedprice"], [0.1, 0.5, 0.99], ["l_returnflag"]
+    )
+
+
 def frequent_sql(column: str, source: str) -> str:
     """The categorical profile row of one column."""
     return f"""
