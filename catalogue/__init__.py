@@ -3,6 +3,7 @@
 from catalogue import (  # noqa: F401
     charts,
     features,
+    files,
     hypotheses,
     models,
     outliers,

@@ -233,13 +233,40 @@ def transformed_features(t):
     return stages.transformed_features(model, rows)
 
 
-@query()
+#: Naive Bayes fitted without each fold in turn: ``b`` has the label predicted for every document of that fold.
+LEFT_OUT = f"""
+WITH {MEASURED},
+r AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY {md5_of("doc_id")}) - 1) % 5 AS INTEGER) AS fold FROM d),
+o AS (SELECT unnest(range(5))::INTEGER AS out),
+e AS (SELECT out, greatest({", ".join(f"var_pop({c})" for c in MEASURES)}) * 1e-9 AS e FROM r, o WHERE fold <> out GROUP BY out),
+k AS (SELECT out, label AS c, count(*) AS n, {", ".join(f"avg({c}) AS m_{c}, var_pop({c}) + e AS v_{c}" for c in MEASURES)}
+  FROM r JOIN e ON fold <> out GROUP BY out, label, e),
+b AS (SELECT doc_id, fold, label, arg_max(c, ln(n) {" ".join(f"- (r.{c} - m_{c}) ^ 2 / (2 * v_{c}) - 0.5 * ln(v_{c})" for c in MEASURES)}) AS prediction
+  FROM r JOIN k ON fold = out GROUP BY 1, 2, 3)"""
+FOLD_METRICS = {
+    "accuracy": "sum(tp) / sum(s)",
+    "balanced_accuracy": "avg(coalesce(tp / nullif(s, 0), 0))",
+    "macro_precision": "avg(coalesce(tp / nullif(q, 0), 0))",
+    "macro_recall": "avg(coalesce(tp / nullif(s, 0), 0))",
+    "weighted_recall": "sum(tp) / sum(s)",
+    "weighted_f1": "sum(s * coalesce(2 * tp / nullif(q + s, 0), 0)) / sum(s)",
+}
+
+
+@query(f"""
+{LEFT_OUT},
+c AS (SELECT fold, v, count(*) FILTER (label = v AND prediction = v) AS tp, count(*) FILTER (prediction = v) AS q,
+  count(*) FILTER (label = v) AS s FROM b, (SELECT unnest([0.0, 1.0]) AS v) GROUP BY fold, v),
+f AS (SELECT fold, {", ".join(f"{sql} AS {name}" for name, sql in FOLD_METRICS.items())} FROM c GROUP BY fold)
+""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS metric, round(avg({name}), 6) + 0.0 AS mean, round(stddev_samp({name}), 6) + 0.0 AS std FROM f"
+    for name in FOLD_METRICS))
 def cross_validate(t):
     estimator = learners.base_learners()["naive_bayes"]
     return tuning.cross_validate(estimator, vectors(t), "label", "doc_id", 5)
 
 
-@query()
+@query(f"{LEFT_OUT} SELECT doc_id, fold, label, prediction FROM b")
 def cross_val_predictions(t):
     estimator = learners.base_learners()["naive_bayes"]
     return tuning.cross_val_predictions(estimator, vectors(t), "label", "doc_id", 5)
