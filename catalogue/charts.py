@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.outliers import KEYS
-from catalogue.profiles import LINE
+from catalogue.profiles import LINE, t_bound
 from catalogue.registry import query
 from quadrat.operators import charts, multivariate
 
@@ -63,7 +63,11 @@ def class_ellipses(t):
     return rows.drop("half_x", "half_y")
 
 
-@query()
+@query(f"""
+SELECT l_returnflag AS class, n, round(a, 6) + 0.0 AS center_x, round(b, 6) + 0.0 AS center_y, round(va, 6) + 0.0 AS var_x,
+  round(vb, 6) + 0.0 AS var_y, round({t_bound("n")} * sqrt(va), 6) + 0.0 AS half_x, round({t_bound("n")} * sqrt(vb), 6) + 0.0 AS half_y
+FROM (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS a, avg(l_discount) AS b, var_samp(l_quantity) AS va,
+  var_samp(l_discount) AS vb FROM lineitem GROUP BY 1)""")
 def class_ellipse_axes(t):
     return multivariate.class_ellipses(t("lineitem"), "l_quantity", "l_discount", "l_returnflag")
 
@@ -133,6 +137,14 @@ def line_means(t):
     return charts.line_means(t("lineitem"), "l_linenumber", "l_extendedprice").drop("low", "high")
 
 
+@query(f"""
+SELECT l_linenumber, n, round(m, 4) + 0.0 AS mean, round(m - {t_bound("n")} * s / sqrt(n), 4) + 0.0 AS low,
+  round(m + {t_bound("n")} * s / sqrt(n), 4) + 0.0 AS high
+FROM (SELECT l_linenumber, count(*) AS n, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem GROUP BY 1)""", digits=4)
+def line_means_bounds(t):
+    return charts.line_means(t("lineitem"), "l_linenumber", "l_extendedprice")
+
+
 @query(" UNION ALL ".join(f"""
 SELECT l_returnflag, '{a}' AS x, '{b}' AS y, round(regr_slope({b}, {a}), 4) + 0.0 AS slope,
   round(regr_intercept({b}, {a}), 4) + 0.0 AS intercept, round(regr_r2({b}, {a}), 4) + 0.0 AS r2, CAST(regr_count({b}, {a}) AS BIGINT) AS n

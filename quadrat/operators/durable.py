@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+#: Most bytes of a table, as JSON text, that a join may broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -28,12 +29,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A summary table to be joined to many rows.
 
-    It is written once and counted; up to ``limit`` rows it is broadcast, so the
-    large side is not shuffled on a possibly hot key. Beyond that the join is
-    left to the adaptive planner.
+    It is written once and the text of its rows is measured; up to ``limit``
+    bytes it is broadcast, so the large side is not shuffled on a possibly hot
+    key. Beyond that the join is left to the adaptive planner.
     """
     table = durable(table)
-    return F.broadcast(table) if table.count() <= limit else table
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table
