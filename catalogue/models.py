@@ -123,6 +123,20 @@ for kind in ("regular", "borderline", "kmeans", "svm", "enn"):
 
     register(f"smote_{kind}", synthetic)
 
+
+@query("""
+WITH r AS (SELECT quality, count(*) AS n, sum(n_chars) AS chars FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+SELECT quality, (SELECT max(n) FROM r) AS rows, n AS originals, CAST(chars AS DOUBLE) AS original_chars FROM r""", digits=3)
+def smote_class_sizes(t):
+    """Classes are level afterwards, and every row is still there."""
+    rows = balancing.smote(measured(t), "quality", "doc_id", MEASURES)
+    original = ~F.col("synthetic").cast("boolean")
+    return rows.groupBy("quality").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(original).alias("originals"),
+        F.sum(F.when(original, F.col("n_chars"))).cast("double").alias("original_chars"),
+    )
+
+
 MEASURED = """
 d AS (SELECT l.doc_id, CAST(quality AS DOUBLE) AS label, CAST(n_chars AS DOUBLE) AS n_chars,
   CAST(len(string_split(text, ' ')) AS DOUBLE) AS words, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS lines,
