@@ -28,6 +28,10 @@ CLOSES = (
     | {"tr": (("tr", "td", "th", "p"), ("table", *ROWS))}
     | {t: (("tr", "td", "th", "p", "caption", *ROWS), ("table",)) for t in ROWS}
 )
+#: Start tags that may stand in a head; any other, and text, ends an open head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements whose content, whatever it is, leaves the head open.
+HELD = frozenset("title style script noscript noframes template".split())
 #: Deeper elements become siblings, as in browsers; no text is lost.
 DEPTH = 256
 GAPS = re.compile(r"[ \t\n\r\f]+")
@@ -55,7 +59,18 @@ class TreeBuilder(HTMLParser):
         self.root = Node("body", {})
         self.open = [self.root]
 
+    def end_head(self) -> None:
+        """Close an open head, with what is open in it, unless a title, script, style or template is still open there."""
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in HELD:
+                return
+            if self.open[k].tag == "head":
+                del self.open[k:]
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         closed, border = CLOSES.get(tag, ((), ()))
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in border:
@@ -81,6 +96,8 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(Node("p", {}))
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self.end_head()
         self.open[-1].children.append(data)
 
 
