@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ SHARD = 3000
 DEGREE, NEAR, RANDOM, ALPHA, BEAM = 16, 48, 8, 1.2, 16
 #: How much less similar than the nearest a visited centre may be, tried in turn until the audit passes.
 SLACKS = (0.15, 0.35, 2.0)
-AUDIT_ROWS, AUDIT_RECALL = 256, 0.97
+AUDIT_ROWS, AUDIT_RECALL = 4096, 0.97
+#: Least weight of the audited nodes with links, each counted as one part of its links, so that one large group is not many.
+AUDIT_WEIGHT = 100
 MARGIN = 1e-4  # of single-precision search before verification
 
 
@@ -212,9 +215,18 @@ def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["node", "to"])
 
 
-def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_search(x: np.ndarray, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of at least the given similarity, by comparing all."""
+    for low in range(0, len(q), 512):
+        of, nodes = np.nonzero(q[low : low + 512] @ x.T >= least)
+        yield of + low, nodes
+
+
+def search(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
     """Range search of all queries of a shard over its members; counts and a spanning star of the links.
 
+    With ``every`` all queries are compared with all members instead.
+
     ``role``: 0 member whose first cluster this is, 1 other member, 2 query.
     Only role-0 members are counted, so no link counts twice.
     """
@@ -234,12 +246,17 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = np.array([t for i in member.tolist() for t in lists[i] or ()], np.int64)
         at = np.minimum(np.searchsorted(names, to, sorter=order), len(names) - 1)
         inside = names[order[at]] == to
-        root = int((x @ x.mean(0)).argmax())
-        start, table = connected(x, from_[inside], order[at[inside]], root)
         queries = np.flatnonzero(role != 1)
         links = np.zeros(len(queries), np.int64)
         far, near = [], []
-        for q, hit in range_search(x, start, table, root, units[queries].astype(np.float32), LEAST - MARGIN):
+        wanted = units[queries].astype(np.float32)
+        if every:
+            hits = block_search(x, wanted, LEAST - MARGIN)
+        else:
+            root = int((x @ x.mean(0)).argmax())
+            start, table = connected(x, from_[inside], order[at[inside]], root)
+            hits = range_search(x, start, table, root, wanted, LEAST - MARGIN)
+        for q, hit in hits:
             for low in range(0, len(q), 100_000):
                 a, b = q[low : low + 100_000], hit[low : low + 100_000]
                 exact = np.einsum("ij,ij->i", units[queries[a]], double[b]) >= LEAST
@@ -293,11 +310,12 @@ def placed(nodes: DataFrame, centres: dict[int, np.ndarray], slack: float) -> Da
 
 
 def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Add ``shard``: members of a crowded cluster are dealt over slices by hash, queries go to all of them."""
+    """Add ``shard``: members of a crowded cluster are dealt over slices by hash, queries, also those of its home members, go to all of them."""
     rows = rows.join(F.broadcast(sizes), ["dim", "cluster"])  # a row per centre
-    own = F.array(F.pmod(F.xxhash64("node"), "slices").cast("int"))
-    slices = F.explode(F.when(F.col("role") < 2, own).otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))
+    own = F.pmod(F.xxhash64("node"), "slices").cast("int")
+    slices = F.explode(F.when(F.col("role") == 1, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = rows.withColumn("slice", slices)
+    rows = rows.withColumn("role", F.when((F.col("role") == 0) & (F.col("slice") != own), 2).otherwise(F.col("role")))
     return rows.withColumn("shard", F.concat_ws("/", "dim", "cluster", "slice"))
 
 
@@ -310,8 +328,8 @@ def exact_counts(nodes: DataFrame, sample: list) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
                 dims = np.array([len(v) // 8 for v in part.column(2).to_pylist()])
                 for dim, (names, q) in by_dim.items():
                     rows = part.take(pa.array(np.flatnonzero(dims == dim)))
@@ -324,6 +342,20 @@ def exact_counts(nodes: DataFrame, sample: list) -> dict[int, int]:
     return {r.node: r.links for r in got.collect()}  # one row per sampled node
 
 
+def recall_holds(expected: dict[int, int], got: dict[int, int], whole: bool) -> bool:
+    """Whether the audited nodes' mean share of links found is high enough, as it is and with each node weighted by 1 / its links.
+
+    The weights keep one large group from standing for all others. Too few
+    nodes with links prove nothing, unless the ``whole`` table is audited.
+    """
+    linked = [n for n, links in expected.items() if links]
+    weight = np.array([1 / expected[n] for n in linked])
+    if not linked or weight.sum() < AUDIT_WEIGHT:
+        return whole and all(got.get(n, 0) >= expected[n] for n in linked)
+    share = np.array([min(1.0, got.get(n, 0) / expected[n]) for n in linked])
+    return bool(share.mean() >= AUDIT_RECALL and share @ weight >= AUDIT_RECALL * weight.sum())
+
+
 def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``key, n_links, component_id, kept`` of every vector; links are pairs of cosine 0.9 or more.
 
@@ -331,9 +363,10 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     each node in its two nearest clusters; a pruned graph is built per shard,
     each node's lists are united, and every node searches the united graph of
     its own and all similarly near clusters, from their medoids. Pairs found
-    are checked in double precision. Recall is audited on up to 256 nodes
-    against all rows; below 0.97 the search is repeated over more clusters, in
-    the end over all.
+    are checked in double precision. Recall is audited node by node on up to
+    4,096 nodes, or 10,000 if these have few links, against all rows; below 0.97,
+    or with too few links to tell, the search is repeated over more clusters, in
+    the end by comparing all rows.
 
     Null, zero, empty, or vectors with null or non-finite components have no
     link and are components of their own, as are vectors compared with ones of
@@ -364,22 +397,30 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
         centres[dim] = fit_centres(x, k)
     audit = sample[:AUDIT_ROWS]
     expected = exact_counts(nodes, audit) if audit else {}
+    if sum(1 / links for links in expected.values() if links) < AUDIT_WEIGHT and len(sample) > len(audit):
+        audit = sample
+        expected = exact_counts(nodes, audit)
 
     members = placed(nodes, centres, 0.0).where("role < 2")
     sizes = members.groupBy("dim", "cluster").count()
     sizes = written(sizes.select("dim", "cluster", F.ceil(F.col("count") / SHARD).cast("int").alias("slices")))
     parts = max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
-    sharded = dealt(members, sizes).select("shard", "node", "unit").repartition(parts, "shard").sortWithinPartitions("shard")
+    sharded = dealt(members, sizes).where("role < 2").select("shard", "node", "unit").repartition(parts, "shard").sortWithinPartitions("shard")
     edges = sharded.mapInArrow(build, "node long, to long")
     united = written(edges.groupBy("node").agg(F.array_distinct(F.collect_list("to")).alias("to")))  # two lists of at most 16
-    for slack in SLACKS:
+    whole = len(audit) == total
+    unknown = not whole and sum(1 / links for links in expected.values() if links) < AUDIT_WEIGHT
+    for slack, exact in [(max(SLACKS), True)] if unknown else [*((s, False) for s in SLACKS), (max(SLACKS), True)]:
         asked = dealt(placed(nodes, centres, slack), sizes).join(united.withColumn("role_", F.lit(True)), "node", "left")
         asked = asked.withColumn("to", F.when(F.col("role") < 2, F.col("to")))
         asked = asked.select("shard", "role", "node", "n", "unit", "to").repartition(parts, "shard").sortWithinPartitions("shard")
-        found = written(asked.mapInArrow(search, "a long, b long, links long"))
+        found = written(asked.mapInArrow(partial(search, every=exact), "a long, b long, links long"))
         counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-        got = {r.node: r.links for r in counts.join(F.broadcast(spark.createDataFrame([(r.node,) for r in audit], "node long")), "node").collect()} if audit else {}
-        if sum(got.values()) >= AUDIT_RECALL * sum(expected.values()):
+        if exact or not audit:
+            break
+        names = spark.createDataFrame([(r.node,) for r in audit], "node long")
+        got = {r.node: r.links for r in counts.join(F.broadcast(names), "node").collect()}
+        if recall_holds(expected, got, whole):
             break
     root = components(found.where("a != b").select("a", "b"))
     named = nodes.select("v", "node", "least", "n").join(root, "node", "left").join(counts, "node", "left")
