@@ -127,7 +127,7 @@ def base_learners(label: str = "label", seed: int = 42) -> dict[str, Estimator]:
             labelCol=label, numTrees=100, maxDepth=4, seed=seed
         ),
         "gradient_boosting": OneVsRest(
-            classifier=GBTClassifier(maxDepth=4, stepSize=0.05, maxIter=20, seed=seed),
+            classifier=GBTClassifier(maxDepth=4, stepSize=0.05, maxIter=100, seed=seed),
             labelCol=label,
         ),
         "naive_bayes": NaiveBayes(labelCol=label, modelType="gaussian"),
@@ -135,7 +135,7 @@ def base_learners(label: str = "label", seed: int = 42) -> dict[str, Estimator]:
         "decision_tree": DecisionTreeClassifier(
             labelCol=label, maxDepth=3, minInstancesPerNode=20, impurity="gini", seed=seed
         ),
-        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=20), labelCol=label),
+        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=100), labelCol=label),
         "logistic_regression": LogisticRegression(labelCol=label, maxIter=100),
     }
 
