@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import mixing, packing, pages, quality, simhash, substrings, token_counts, token_files, toxicity, vectors
+from quadrat.llm import (
+    hard_negatives, mixing, packing, pages, quality, resampling, simhash, substrings, suffix_order, token_counts, token_files, toxicity,
+    vectors,
+)
 from quadrat.operators.durable import checkpoint_folder
 
 END_ID = 1
@@ -74,11 +77,25 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.linked_vectors(table(spark, folder, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_order.remove_repeated_bytes(table(spark, folder, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_toxicity, op6_simhash_dedup,
-        op7_sequence_packing, op8_token_files, op9_quality_rules, op10_embedding_dedup,
+        op7_sequence_packing, op8_token_files, op9_quality_rules, op10_embedding_dedup, op11_importance_resampling,
+        op12_suffix_array_dedup, op13_hard_negatives,
     )
 }
 
@@ -122,4 +139,51 @@ placed AS (
   FROM drawn JOIN starts USING (source, epoch, block))
 SELECT doc_id, source, n_tokens, epoch, (until - n_tokens)::BIGINT AS token_start FROM placed WHERE epoch < passes OR until <= rest"""
 
-CHECKS = {"op4_source_mixing": MIXING_SQL}
+RESAMPLING_SQL = r"""
+WITH signs AS (SELECT [list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    FOR n IN range(256)] AS crc),
+raw AS (SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS parts FROM documents),
+docs AS (SELECT doc_id, list_filter(parts, lambda w: w <> '') AS words FROM raw),
+wanted AS (SELECT unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+used AS (SELECT doc_id, unnest(words) AS word FROM docs),
+hashed AS (
+  SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, [
+    16 * (instr('0123456789ABCDEF', substr(bytes, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(bytes, 2 * i + 2, 1)) - 1
+    FOR i IN range(len(bytes) // 2)]), lambda c, b: xor(c >> 8, crc[xor(c % 256, b) + 1]))) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS bytes FROM (SELECT word FROM used UNION SELECT word FROM wanted WHERE word <> '')), signs),
+s AS (SELECT bucket, count(*) AS n FROM used JOIN hashed USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM wanted JOIN hashed USING (word) GROUP BY 1),
+gains AS (
+  SELECT b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weights AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM used JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT)::BIGINT AS score
+  FROM (SELECT doc_id, words, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM docs) LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END::BIGINT AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+NEGATIVES_SQL = """
+WITH sound AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_append([x IS NOT NULL AND isfinite(x) FOR x IN embedding], true))),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM sound a JOIN sound b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER near::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW near AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY rank <= 10"""
+
+CHECKS = {"op4_source_mixing": MIXING_SQL, "op13_hard_negatives": NEGATIVES_SQL, "op11_importance_resampling": RESAMPLING_SQL}
