@@ -186,4 +186,25 @@ WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * po
 WINDOW near AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
 QUALIFY rank <= 10"""
 
-CHECKS = {"op4_source_mixing": MIXING_SQL, "op13_hard_negatives": NEGATIVES_SQL, "op11_importance_resampling": RESAMPLING_SQL}
+STRINGS_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+parts AS (SELECT doc_id, n, 500 * b AS base, substr(x, 1000 * b + 1, 1098) AS part FROM docs, unnest(range((n + 499) // 500)) AS t(b)),
+starts AS (SELECT doc_id, base + i AS place, md5_number(substr(part, 2 * i + 1, 100)) AS string FROM parts, unnest(range(least(500, n - 49 - base))) AS t(i)),
+least_doc AS (SELECT string, min(doc_id) AS first_doc FROM starts GROUP BY string),
+hits AS (SELECT doc_id, place FROM starts JOIN least_doc USING (string) WHERE doc_id > first_doc),
+marked AS (SELECT doc_id, place, lag(place) OVER w AS previous FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+runs AS (SELECT doc_id, place, sum(CASE WHEN place - previous <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(place) AS a, max(place) + 50 AS b FROM runs GROUP BY ALL),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cuts AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS last,
+  string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM docs LEFT JOIN cuts USING (doc_id)"""
+
+CHECKS = {
+    "op4_source_mixing": MIXING_SQL,
+    "op11_importance_resampling": RESAMPLING_SQL,
+    "op12_suffix_array_dedup": STRINGS_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
+}
