@@ -118,6 +118,18 @@ def copies(x: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray,
     return out
 
 
+def two_documents(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a key occurs in two documents or more."""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.lexsort((doc, key))
+    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    tail = np.append(head[1:], len(order)) - 1
+    out = np.zeros(len(order), bool)
+    out[order] = np.repeat(doc[order[head]] != doc[order[tail]], tail - head + 1)
+    return out
+
+
 class Segments(dict):
     """``doc, mark, first, windows, offset`` of each segment and their ``bytes`` one after the other."""
 
@@ -157,6 +169,24 @@ class Segments(dict):
         x = self["bytes"][at[:, None] + np.arange(GRAM)].ravel()
         return gram_hashes(x)[::GRAM] >> np.uint64(17)
 
+    def promising(self) -> np.ndarray:
+        """Segments that may share a window with another document.
+
+        A window holds its gram and, before it or after it, at least half of the
+        other bytes. So equal windows share the gram and one of these sides.
+        """
+        gram = self.grams()
+        side = (WINDOW - GRAM) // 2
+        at, out = self.start + self["offset"], np.zeros(len(gram), bool)
+        shared = two_documents(gram, self["doc"])
+        before = shared & (self["offset"] >= side)
+        after = shared & (self["offset"] - self["windows"] + 1 <= side)
+        for having, start in ((before, at - side), (after, at + GRAM)):
+            k = np.flatnonzero(having)
+            x = self["bytes"][start[k][:, None] + np.arange(side)]
+            out[k] |= two_documents(mixed(x.astype(np.uint64) @ LETTERS[:side]) ^ gram[k], self["doc"][k])
+        return out
+
     def pack(self) -> bytes:
         """Compressed bytes: keys and marks once per run of segments of a row, number planes apart."""
         import zstandard
@@ -197,22 +227,38 @@ def without_copies(s: Segments, contents: np.ndarray | None = None) -> tuple[Seg
     return (s.take(np.flatnonzero(~gone)) if gone.any() else s), done
 
 
-def ranks(key: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1; equal keys share one."""
-    order = np.argsort(key, kind="stable")
-    step = np.ones(len(key), np.int64)
-    step[1:] = key[order][1:] != key[order][:-1]
+def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key the number of smaller ones, from 1, and the places whose key is not alone."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(key)))
     out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(step)
-    return out
+    out[order] = np.repeat(head + 1, size)
+    return out, order[np.repeat(size > 1, size)]
 
 
-def refined(rank: np.ndarray, left: np.ndarray, step: int) -> np.ndarray:
-    """Ranks by twice as many symbols: each place's rank, then that ``step`` further if so many are ``left``."""
-    second = np.zeros(len(rank), np.int64)
-    at = np.flatnonzero(left > step)
-    second[at] = rank[at + step]
-    return ranks(rank * (int(rank.max(initial=0)) + 1) + second)
+def refined(rank: np.ndarray, tied: np.ndarray, left: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by twice as many symbols, each place's rank and then that ``step`` further if so many are ``left``.
+
+    Only ``tied`` places are sorted anew.
+    """
+    second = np.zeros(len(tied), np.int64)
+    more = left[tied] > step
+    second[more] = rank[tied[more] + step]
+    own = rank[tied]
+    place, still = ranks(own * (len(rank) + 1) + second)
+    # Numbers inside the tied places become numbers inside their old group.
+    order = np.argsort(place)
+    first = np.ones(len(tied), bool)
+    first[1:] = own[order][1:] != own[order][:-1]
+    base = np.empty(len(tied), np.int64)
+    base[order] = np.maximum.accumulate(np.where(first, place[order], 0))
+    out = rank.copy()
+    out[tied] = own + place - base
+    return out, tied[still]
 
 
 def distinct_phrases(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,36 +307,30 @@ def suffix_order(text: np.ndarray, segment: np.ndarray, places: np.ndarray) -> n
     seven = np.minimum(left, 7).astype(np.uint64)
     raw = numbers(np.append(words, np.zeros(8, np.uint8)), ">u8")[: len(words)] >> np.uint64(8)
     drop = (np.uint64(7) - seven) * np.uint64(8)
-    rank = ranks((raw >> drop << drop) << np.uint64(8) | seven)
+    rank, tied = ranks((raw >> drop << drop) << np.uint64(8) | seven)
     depth = 7
-    while depth < WINDOW and (left > depth).any():
-        rank = refined(rank, left, depth)
+    while depth < WINDOW and (left[tied] > depth).any():
+        rank, tied = refined(rank, tied, left, depth)
         depth *= 2
 
     # Suffixes of the parse, by 1, 2, 4, ... phrases of the same segment.
     tail = np.append(np.flatnonzero(final), len(start))
     left_phrases = tail[np.searchsorted(tail, np.arange(len(start)))] - np.arange(len(start)) + 1
-    parse = rank[at[number]]
+    parse, tied = ranks(rank[at[number]])
     step = 1
-    while step < WINDOW and (left_phrases > step).any():
-        parse = refined(parse, left_phrases, step)
+    while step < WINDOW and (left_phrases[tied] > step).any():
+        parse, tied = refined(parse, tied, left_phrases, step)
         step *= 2
 
     phrase = np.searchsorted(start, places, "right") - 1
     rest = rank[at[number[phrase]] + places - start[phrase]]
     following = np.where(final[phrase], 0, np.append(parse, 0)[phrase + 1])
-    return places[np.argsort(rest * (int(parse.max(initial=0)) + 1) + following, kind="stable")]
+    return places[np.argsort(rest * (int(parse.max(initial=0)) + 1) + following)]
 
 
 def decide(s: Segments) -> Decided:
     """Windows of one shard that also start in a smaller document: runs of (doc, mark, first, last)."""
-    gram = s.grams()
-    order = np.lexsort((s["doc"], gram))
-    head = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(order)) - 1
-    # Only grams that two documents share can repeat a window.
-    shared = np.repeat(s["doc"][order[head]] != s["doc"][order[tail]], tail - head + 1)
-    s, done = without_copies(s.take(np.sort(order[shared])))
+    s, done = without_copies(s.take(np.flatnonzero(s.promising())))
     if not len(s["doc"]):
         return done
     size = s.size
