@@ -20,9 +20,10 @@ WINDOW, GRAM = 50, 12
 #: Bytes that one task cuts at a time; windows hashed at a time.
 CHUNK, BLOCK = 6 << 20, 1 << 16
 #: Bytes aimed at in a shard; a shard with more than OVERFULL different bytes is dealt anew, window by window.
-SHARD, OVERFULL = 16 << 20, 64 << 20
+#: A task puts about SLICE bytes of its shard in order at a time.
+SHARD, OVERFULL, SLICE = 32 << 20, 128 << 20, 4 << 20
 #: Most parts that one exchange deals a chunk into.
-FAN = 256
+FAN = 1024
 #: Length of a trigger, and one trigger in so many places.
 TRIGGER, DENSITY = 6, 16
 #: Ends a segment in the parsed text; no UTF-8 text holds it.
@@ -490,6 +491,14 @@ def single_windows(parts: int):
     return run
 
 
+def sliced(s: Segments) -> Iterator[np.ndarray]:
+    """The segments of a shard in slices; equal windows share a gram, and so a slice."""
+    n = -(-len(s["bytes"]) // SLICE)
+    to = (mixed(mixed(s.grams())) >> np.uint64(20)) % np.uint64(max(1, n))
+    for k in range(n):
+        yield np.flatnonzero(to == k)
+
+
 def search(overfull: int, pass_on: bool):
     """Reduce side: one shard after the other (rows come sorted by part).
 
@@ -503,7 +512,10 @@ def search(overfull: int, pass_on: bool):
 
         def close():
             if held and not passing:
-                yield decided_rows(decide(Segments.joined(held)))
+                s = Segments.joined(held)
+                held.clear()
+                for at in sliced(s):
+                    yield decided_rows(decide(s.take(at)))
             for s in held if passing else []:
                 yield blob_row(now, s.pack())
 
