@@ -18,10 +18,10 @@ from quadrat.llm.substrings import mixed, runs, spans
 #: Length of a repeated string, and of the run of bytes that addresses it.
 WINDOW, GRAM = 50, 12
 #: Bytes that one task cuts at a time; windows hashed at a time.
-CHUNK, BLOCK = 6 << 20, 1 << 16
+CHUNK, BLOCK = 4 << 20, 1 << 16
 #: Bytes aimed at in a shard; a shard with more than OVERFULL different bytes is dealt anew, window by window.
 #: A task puts about SLICE bytes of its shard in order at a time.
-SHARD, OVERFULL, SLICE = 32 << 20, 128 << 20, 4 << 20
+SHARD, OVERFULL, SLICE = 16 << 20, 96 << 20, 4 << 20
 #: Most parts that one exchange deals a chunk into.
 FAN = 1024
 #: Length of a trigger, and one trigger in so many places.
@@ -113,8 +113,8 @@ def copies(x: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray,
     a, b = order[later], head[later]
     alike = size[a] == size[b]
     a, b = a[alike], b[alike]
-    for part in range(0, len(a), 1 << 16):
-        i, j = a[part : part + (1 << 16)], b[part : part + (1 << 16)]
+    for part in range(0, len(a), 1 << 14):
+        i, j = a[part : part + (1 << 14)], b[part : part + (1 << 14)]
         out[i] = equal_spans(x, start[i], start[j], size[i])
     return out
 
@@ -390,15 +390,16 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
     """(bytes, lengths, keys, marks) of runs of whole documents."""
     held, total = [], 0
     for batch in batches:
-        for doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode()
-            if len(raw) < WINDOW:
-                continue
-            held.append((doc, raw, mark))
-            total += len(raw)
-            if total >= CHUNK:
-                yield closed(held)
-                held, total = [], 0
+        for part in range(0, batch.num_rows, 256):  # few texts as Python objects at a time
+            for doc, text, mark in zip(*(c.to_pylist() for c in batch.slice(part, 256).columns)):
+                raw = text.encode()
+                if len(raw) < WINDOW:
+                    continue
+                held.append((doc, raw, mark))
+                total += len(raw)
+                if total >= CHUNK:
+                    yield closed(held)
+                    held, total = [], 0
     if held:
         yield closed(held)
 
@@ -426,7 +427,7 @@ def cut_documents(parts: int):
             if gone.any():
                 mask = np.zeros(len(x), bool)  # neighbouring segments as one run
                 mask[spans(first[gone], windows[gone])] = True
-                a, b = runs(mask, np.repeat(np.arange(len(lengths)), lengths))
+                a, b = runs(mask, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths))
                 r = np.searchsorted(begin, a, "right") - 1
                 yield decided_rows((docs[r], marks[r], a - begin[r], b - begin[r]), parts)
             kept = np.flatnonzero(~gone)
