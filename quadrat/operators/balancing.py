@@ -178,7 +178,7 @@ def _inside_margin(points: DataFrame, queries: DataFrame) -> DataFrame:
     indexed = StringIndexer(inputCol="label", outputCol="code", stringOrderType="alphabetAsc")
     codes = indexed.fit(ready)
     svm = OneVsRest(
-        classifier=LinearSVC(standardization=True, maxIter=20), labelCol="code",
+        classifier=LinearSVC(standardization=True, maxIter=100), labelCol="code",
         featuresCol="features", predictionCol="p",
     ).fit(codes.transform(ready))
     scored = svm.transform(codes.transform(_vectors(queries)))

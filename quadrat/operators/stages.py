@@ -8,19 +8,34 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import OneVsRest
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.columns import categorical_names, number, numeric_names
+from quadrat.functions.columns import categorical_names, is_missing, number, numeric_names
 from quadrat.operators import balancing, features
+from quadrat.operators.calibration import CalibratedClassifier
 from quadrat.operators.durable import durable
+from quadrat.operators.learners import base_learners
 from quadrat.operators.multivariate import Components, pca_fit, pca_scores
+from quadrat.operators.persist import Nested, import_path, imported
 from quadrat.operators.quantiles import quantile_table
+from quadrat.operators.tuning import Step
+
+
+#: Marks rows with too many gaps: every later stage leaves them out of its fit and keeps them in its result.
+GAP_ROW = "_gap_row"
+
+
+def training_rows(dataset: DataFrame) -> DataFrame:
+    """The rows that a stage may learn from."""
+    if GAP_ROW not in dataset.columns:
+        return dataset
+    return dataset.filter(~F.col(GAP_ROW)).drop(GAP_ROW)
 
 
 def _text(name: str, doc: str) -> Param:
@@ -68,6 +83,7 @@ class Selector(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         )
 
     def _fit(self, dataset: DataFrame) -> DroppedColumns:
+        dataset = training_rows(dataset)
         step, limit = self.getOrDefault(self.step), self.getOrDefault(self.threshold)
         protected = set(self.getOrDefault(self.protected))
         columns = [c for c in dataset.columns if c not in protected]
@@ -89,7 +105,7 @@ class Selector(Estimator, DefaultParamsReadable, DefaultParamsWritable):
 
 
 class SparseRows(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Drops training-gap rows: too few of the listed columns filled."""
+    """Marks rows with too few of the listed columns filled, for the fits of later stages; drops none."""
 
     columns = Param(Params._dummy(), "columns", "columns counted", TypeConverters.toListString)
     minimum = Param(Params._dummy(), "minimum", "filled columns needed", TypeConverters.toInt)
@@ -98,11 +114,12 @@ class SparseRows(Model, DefaultParamsReadable, DefaultParamsWritable):
         columns = [c for c in self.getOrDefault(self.columns) if c in dataset.columns]
         if not columns:
             return dataset
-        return dataset.na.drop(thresh=self.getOrDefault(self.minimum), subset=columns)
+        filled = [F.when(is_missing(dataset, c), 0).otherwise(1) for c in columns]
+        return dataset.withColumn(GAP_ROW, sum(filled, F.lit(0)) < self.getOrDefault(self.minimum))
 
 
 class SparseRowFilter(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Keeps rows with at least ``share`` of their gap-prone columns filled."""
+    """Learns later stages only from rows with at least ``share`` of their gap-prone columns filled."""
 
     share = Param(Params._dummy(), "share", "share of columns", TypeConverters.toFloat)
     protected = Param(
@@ -196,11 +213,13 @@ class PreparedColumns(Model, DefaultParamsReadable, DefaultParamsWritable):
                     F.when(text == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{v}")
                     for v in fit["values"]
                 ]
-        kept = [c for c in self.getOrDefault(self.keep) if c in dataset.columns]
-        return dataset.select(*kept, *out)
+        return dataset.select(*self._kept(dataset), *out)
+
+    def _kept(self, dataset: DataFrame) -> list[str]:
+        return [c for c in [*self.getOrDefault(self.keep), GAP_ROW] if c in dataset.columns]
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        kept = [c for c in self.getOrDefault(self.keep) if c in dataset.columns]
+        kept = self._kept(dataset)
         renamed = [f"__x{i}" for i in range(len(self.names))]
         table = self.table(dataset).toDF(*kept, *renamed)
         vectors = VectorAssembler(inputCols=renamed, outputCol="features").transform(table)
@@ -224,6 +243,7 @@ class ColumnPreparer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._set(scaler=scaler, encoder=encoder, keep=list(keep))
 
     def _fit(self, dataset: DataFrame) -> PreparedColumns:
+        dataset = training_rows(dataset)
         kept = set(self.getOrDefault(self.keep))
         numeric = [c for c in numeric_names(dataset) if c not in kept]
         category = [c for c in categorical_names(dataset) if c not in kept]
@@ -265,44 +285,62 @@ def transformed_features(model: PipelineModel, df: DataFrame) -> DataFrame:
     """The table the classifier sees, by column name; nothing is refitted."""
     for stage in model.stages:
         if isinstance(stage, PreparedColumns):
-            return stage.table(df)
+            return stage.table(df).drop(GAP_ROW)
         df = stage.transform(df)
     raise ValueError("the pipeline has no column preparation")
 
 
-class ResampledClassifier(Estimator):
+def resampled(rows: DataFrame, label: str, key: str, method: str | None, seed: int = 42) -> DataFrame:
+    """``key, label, features`` balanced by ``method``: under, over, one of the SMOTE kinds, or none."""
+    rows = rows.select(key, label, "features")
+    if not method:
+        return rows
+    if method in ("over", "under"):
+        return getattr(balancing, f"resample_{method}")(rows, label, [key], seed)
+    size = len(rows.first()["features"])
+    names = [f"__s{i}" for i in range(size)]
+    elements = vector_to_array("features")
+    wide = rows.select(key, label, *[elements[i].alias(n) for i, n in enumerate(names)])
+    both = balancing.smote(wide, label, key, names, seed=seed, kind=method)
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(both)
+    # boosted and forest learners scan the rows many times: write them once
+    return durable(ready.select(key, label, "features"))
+
+
+class ResampledClassifier(Estimator, Nested):
     """Fits a classifier on resampled rows; prediction never resamples.
 
     ``method`` is under, over or one of the SMOTE kinds.
     """
 
+    CHILDREN, PLAIN = ("classifier",), ("method", "key", "seed")
+
     def __init__(self, classifier: Estimator, method: str | None, key: str, seed: int = 42):
         super().__init__()
         self.classifier, self.method, self.key, self.seed = classifier, method, key, seed
 
+    def getLabelCol(self) -> str:
+        """Label column of the classifier."""
+        return self.classifier.getLabelCol()
+
     def _fit(self, dataset: DataFrame) -> Model:
-        label = self.classifier.getLabelCol()
-        if not self.method:
-            return self.classifier.fit(dataset)
-        rows = dataset.select(self.key, label, "features")
-        if self.method in ("over", "under"):
-            resample = getattr(balancing, f"resample_{self.method}")
-            return self.classifier.fit(resample(rows, label, [self.key], self.seed))
-        size = len(rows.first()["features"])
-        names = [f"__s{i}" for i in range(size)]
-        elements = vector_to_array("features")
-        wide = rows.select(self.key, label, *[elements[i].alias(n) for i, n in enumerate(names)])
-        both = balancing.smote(wide, label, self.key, names, seed=self.seed, kind=self.method)
-        ready = VectorAssembler(inputCols=names, outputCol="features").transform(both)
-        # boosted and forest learners scan the rows many times: write them once
-        return self.classifier.fit(durable(ready.select(self.key, label, "features")))
-
-
-def _softmax(raw: Column) -> Column:
-    top = F.array_max(raw)
-    odds = F.transform(raw, lambda x: F.exp(x - top))
-    whole = F.aggregate(odds, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(odds, lambda x: x / whole)
+        rows = training_rows(dataset)
+        if self.method:
+            rows = resampled(rows, self.getLabelCol(), self.key, self.method, self.seed)
+        return self.classifier.fit(rows)
+
+
+class TrainingOnly(Estimator, Nested):
+    """Fits a stage without the rows marked for their gaps."""
+
+    CHILDREN = ("stage",)
+
+    def __init__(self, stage: Estimator):
+        super().__init__()
+        self.stage = stage
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        return self.stage.fit(training_rows(dataset))
 
 
 class VoteCombiner(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -333,13 +371,10 @@ class VoteCombiner(Transformer, DefaultParamsReadable, DefaultParamsWritable):
             )
             winner = F.array_min(tally)["v"]  # most votes, then the smallest label
             return dataset.withColumn("prediction", winner).drop(*used)
-        shares = []
-        for i in range(count):
-            if f"probability_{i}" in dataset.columns:
-                shares.append(vector_to_array(f"probability_{i}"))
-            else:
-                raw = vector_to_array(f"rawPrediction_{i}")
-                shares.append(_softmax(raw))
+        bare = [i for i in range(count) if f"probability_{i}" not in dataset.columns]
+        if bare:
+            raise ValueError(f"members {bare} give no probabilities; calibrate them")
+        shares = [vector_to_array(f"probability_{i}") for i in range(count)]
         total = shares[0]
         for other in shares[1:]:
             total = F.zip_with(total, other, lambda a, b: a + b)
@@ -353,45 +388,97 @@ class VoteCombiner(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         )
 
 
-class VotingClassifier(Estimator):
+def numbered(member: Estimator, i: int) -> Estimator:
+    """A copy of a classifier whose output columns end in ``_i``."""
+    if isinstance(member, CalibratedClassifier):
+        inner = numbered(member.classifier, i)
+        return CalibratedClassifier(inner, member.key, member.method, member.k, member.seed, f"probability_{i}")
+    named = member.copy()
+    for kind in ("prediction", "rawPrediction", "probability"):
+        column = {f"{kind}Col": f"{kind}_{i}"}
+        if named.hasParam(f"{kind}Col"):
+            named._set(**column)
+            if kind == "rawPrediction" and isinstance(named, OneVsRest):
+                # the one-against-rest model reads its members' raw column
+                named.setClassifier(named.getClassifier().copy()._set(**column))
+    return named
+
+
+def with_probabilities(member: Estimator, key: str | None, method: str = "logistic") -> Estimator:
+    """The classifier itself if it gives probabilities, else its calibrated form.
+
+    Boosted trees get theirs from the link of their loss, other margins by ``method``.
+    """
+    if isinstance(member, CalibratedClassifier) or member.hasParam("probabilityCol"):
+        return member
+    if isinstance(member, OneVsRest) and isinstance(member.getClassifier(), GBTClassifier):
+        return CalibratedClassifier(member, key or "", "link")
+    if key is None:
+        raise ValueError("the folds of a calibration need a key column")
+    return CalibratedClassifier(member, key, method)
+
+
+class VotingClassifier(Estimator, Nested):
     """Fits several classifiers on the same rows and lets them vote.
 
-    The fitted model is a ``PipelineModel``: the members, then the combiner.
+    The fitted model is a ``PipelineModel``: the members, then the combiner. A
+    soft vote averages class probabilities; members that only give margins are
+    calibrated by ``method`` on folds over ``key``.
     """
 
-    def __init__(self, members: Sequence[Estimator], voting: str = "hard"):
+    CHILDREN, PLAIN = ("members",), ("voting", "key", "method")
+
+    def __init__(self, members: Sequence[Estimator], voting: str = "hard", key: str | None = None, method: str = "logistic"):
         super().__init__()
-        self.members, self.voting = list(members), voting
+        self.members, self.voting, self.key, self.method = list(members), voting, key, method
 
     def getLabelCol(self) -> str:
         """Label column of the members."""
         return self.members[0].getLabelCol()
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        fitted = []
-        for i, member in enumerate(self.members):
-            named = member.copy()
-            for kind in ("prediction", "rawPrediction", "probability"):
-                column = {f"{kind}Col": f"{kind}_{i}"}
-                if named.hasParam(f"{kind}Col"):
-                    named._set(**column)
-                    if kind == "rawPrediction" and isinstance(named, OneVsRest):
-                        # the one-against-rest model reads its members' raw column
-                        named.setClassifier(named.getClassifier().copy()._set(**column))
-            fitted.append(named.fit(dataset))
-        combine = VoteCombiner(members=len(fitted), voting=self.voting)
-        return PipelineModel([*fitted, combine])
-
-
-class TableFunction(Transformer):
-    """Wraps any ``DataFrame -> DataFrame`` function as a pipeline stage."""
-
-    def __init__(self, function: Callable[[DataFrame], DataFrame]):
+        members = self.members
+        if self.voting == "soft":
+            members = [with_probabilities(m, self.key, self.method) for m in members]
+        fitted = [numbered(m, i).fit(dataset) for i, m in enumerate(members)]
+        return PipelineModel([*fitted, VoteCombiner(members=len(fitted), voting=self.voting)])
+
+
+#: Members of the usual vote.
+VOTERS = ("random_forest", "gradient_boosting", "naive_bayes", "linear_discriminant", "decision_tree", "linear_svm")
+
+
+def voting_ensemble(label: str, key: str, voting: str = "hard", names: Sequence[str] = VOTERS, seed: int = 42) -> VotingClassifier:
+    """The six usual classifiers in one vote."""
+    every = base_learners(label, seed)
+    return VotingClassifier([every[n] for n in names], voting, key)
+
+
+class TableFunction(Transformer, Nested):
+    """Wraps any ``DataFrame -> DataFrame`` function as a pipeline stage.
+
+    ``settings`` are passed by name. Saved are the function's import path and
+    the settings (JSON values), so only functions of a module can be saved.
+    """
+
+    PLAIN = ("path", "settings")
+
+    def __init__(self, function: Callable[..., DataFrame] | None = None, settings: dict | None = None, path: str | None = None):
         super().__init__()
-        self.function = function
+        self.function, self.settings = function or imported(path), settings or {}
+
+    @property
+    def path(self) -> str:
+        """``module:name`` of the function."""
+        return import_path(self.function)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self.function(dataset)
+        return self.function(dataset, **self.settings)
+
+
+def renamed_column(df: DataFrame, old: str, new: str) -> DataFrame:
+    """The table with column ``old`` in the place of ``new``."""
+    return df.drop(new).withColumnRenamed(old, new)
 
 
 class ComponentScores(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -444,13 +531,56 @@ def build_pipeline(
     encoder: str = "onehot",
     nan_threshold: float = 0.7,
     correlation_threshold: float = 0.8,
+    variance_threshold: float | None = None,
+    components: int | None = None,
 ) -> Pipeline:
-    """Cleaning, column preparation and a (resampled) classifier in one pipeline."""
+    """Cleaning, column preparation, principal components if wanted, and a (resampled) classifier in one pipeline."""
     protected = [label, key]
+    limits = nan_threshold, correlation_threshold, variance_threshold
+    reduced = []
+    if components:
+        reduced = [
+            TrainingOnly(PCA(k=components, inputCol="features", outputCol="components")),
+            TableFunction(renamed_column, {"old": "components", "new": "features"}),
+        ]
     return Pipeline(
         stages=[
-            *feature_cleaning(features_to_keep, protected, nan_threshold, correlation_threshold),
+            *feature_cleaning(features_to_keep, protected, *limits),
             ColumnPreparer(scaler=scaler, encoder=encoder, keep=protected),
+            *reduced,
             ResampledClassifier(classifier, resample, key),
         ]
     )
+
+
+def vote_steps(label: str, key: str, names: Sequence[str] = VOTERS, seed: int = 42) -> tuple[list[Step], Callable[..., Transformer]]:
+    """Steps and combiner of a search over ``scaler, resampler, voting`` and forest and boosting settings.
+
+    Forest settings are ``trees, depth, leaf``, boosting ones ``rate,
+    boosted_depth``; those of members that are not in ``names`` are not used.
+    """
+
+    def member(i: int, name: str) -> Step:
+        uses = {"random_forest": ("trees", "depth", "leaf"), "gradient_boosting": ("rate", "boosted_depth")}.get(name, ())
+
+        def build(voting: str, **used) -> Estimator:
+            one = base_learners(label, seed)[name]
+            if name == "random_forest":
+                one = one.copy({one.numTrees: used["trees"], one.maxDepth: used["depth"], one.minInstancesPerNode: used["leaf"]})
+            elif name == "gradient_boosting":
+                inner = one.getClassifier()
+                one = one.setClassifier(inner.copy({inner.stepSize: used["rate"], inner.maxDepth: used["boosted_depth"]}))
+            return numbered(with_probabilities(one, key) if voting == "soft" else one, i)
+
+        # members with probabilities of their own serve both kinds of vote
+        margins = not base_learners(label, seed)[name].hasParam("probabilityCol")
+        if margins:
+            return Step(name, "member", (*uses, "voting"), build)
+        return Step(name, "member", uses, lambda **used: build("hard", **used))
+
+    steps = [
+        Step("prepare", "prepare", ("scaler",), lambda scaler: ColumnPreparer(scaler=scaler, keep=[label, key])),
+        Step("resample", "train", ("resampler",), lambda resampler: lambda rows: resampled(rows, label, key, resampler, seed)),
+        *[member(i, name) for i, name in enumerate(names)],
+    ]
+    return steps, lambda voting, **_: VoteCombiner(members=len(names), voting=voting)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -117,9 +119,7 @@ def search(
 
     with ThreadPool(parallelism) as pool:
         rows = pool.map(one, options)
-    table = df.sparkSession.createDataFrame(rows, "parameters string, mean double, std double")
-    order = W.orderBy(F.col("mean").desc(), "parameters")  # one row per option
-    return table.select(F.row_number().over(order).alias("rank"), "parameters", "mean", "std")
+    return ranked(df, rows)
 
 
 def grid_search(build, space: Mapping[str, Sequence], *args, **options) -> DataFrame:
@@ -131,10 +131,14 @@ def random_search(
     build, space: Mapping[str, Sequence], *args, n_iter: int = 10, seed: int = 42, **options
 ) -> DataFrame:
     """Search over ``n_iter`` distinct combinations drawn with a seed."""
+    return search(build, drawn_options(space, n_iter, seed), *args, seed=seed, **options)
+
+
+def drawn_options(space: Mapping[str, Sequence], n_iter: int, seed: int) -> list[dict]:
+    """``n_iter`` distinct combinations of the listed values, drawn with a seed."""
     size = 1
     for values in space.values():
         size *= len(values)
-    chosen = random.Random(seed).sample(range(size), min(n_iter, size))
 
     def combination(index: int) -> dict:
         out = {}
@@ -143,7 +147,98 @@ def random_search(
             out[name] = values[at]
         return out
 
-    return search(build, [combination(i) for i in chosen], *args, seed=seed, **options)
+    return [combination(i) for i in random.Random(seed).sample(range(size), min(n_iter, size))]
+
+
+@dataclass(frozen=True)
+class Step:
+    """One part of a searched pipeline.
+
+    ``build`` takes the parameters named in ``uses``. By ``kind`` it gives an
+    estimator that prepares all rows (``prepare``), a function over the training
+    rows alone (``train``), or a classifier with output columns of its own (``member``).
+    """
+
+    name: str
+    kind: str
+    uses: tuple[str, ...]
+    build: Callable
+
+
+class PartSearch:
+    """Search over the parts of a pipeline in which options share what they have in common.
+
+    The options form a tree: those with the same parameters in the first steps
+    share their fits and the rows these write, once per fold. Members are
+    fitted once per fold, rows and parameters of their own. ``fits`` counts the
+    builds by step.
+    """
+
+    def __init__(self, steps: Sequence[Step], combine: Callable[..., Transformer], parallelism: int = 2):
+        self.steps, self.combine, self.parallelism = list(steps), combine, parallelism
+        self.fits: Counter = Counter()
+
+    def _fold(self, train: DataFrame, test: DataFrame, options: Sequence[Mapping]) -> list[DataFrame]:
+        rows: dict[tuple, tuple] = {(): (train, test)}
+        models: dict[tuple, Transformer] = {}
+        out = []
+        for option in options:
+            path, members = (), []
+            for step in self.steps:
+                used = {name: option[name] for name in step.uses}
+                node = (*path, (step.name, *used.values()))
+                here, there = rows[path]
+                if step.kind == "member":
+                    if node not in models:
+                        models[node] = step.build(**used).fit(here)
+                        self.fits[step.name] += 1
+                    members.append(models[node])
+                    continue
+                if node not in rows:
+                    self.fits[step.name] += 1
+                    made = step.build(**used)
+                    if step.kind == "train":
+                        rows[node] = durable(made(here)), there
+                    else:
+                        model = made.fit(here)
+                        rows[node] = durable(model.transform(here)), durable(model.transform(there))
+                path = node
+            scored = rows[path][1]
+            for model in [*members, self.combine(**option)]:
+                scored = model.transform(scored)
+            out.append(scored)
+        return out
+
+    def run(
+        self, options: Sequence[Mapping], df: DataFrame, label: str, key: str, k: int = 5, metric: str = "accuracy", seed: int = 42
+    ) -> DataFrame:
+        """``(rank, parameters, mean, std)`` of each option, best first."""
+        folds = with_folds(df, label, key, k, seed)
+
+        def one(i: int) -> list[DataFrame]:
+            split = [folds.filter(side).drop("fold") for side in (F.col("fold") != i, F.col("fold") == i)]
+            return [p.select(F.lit(i).alias("fold"), label, "prediction") for p in self._fold(*split, options)]
+
+        with ThreadPool(min(self.parallelism, k)) as pool:
+            parts = pool.map(one, range(k))
+
+        def score(n: int) -> tuple:
+            predictions = parts[0][n]
+            for part in parts[1:]:
+                predictions = predictions.unionAll(part[n])
+            scores = overall_scores(predictions, label, "prediction", ["fold"])
+            row = scores.agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std")).first()
+            return json.dumps(dict(options[n]), sort_keys=True), float(row["mean"]), float(row["std"] or 0)
+
+        with ThreadPool(self.parallelism) as pool:
+            return ranked(df, pool.map(score, range(len(options))))
+
+
+def ranked(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    """``(rank, parameters, mean, std)``, best first."""
+    table = df.sparkSession.createDataFrame(rows, "parameters string, mean double, std double")
+    order = W.orderBy(F.col("mean").desc(), "parameters")  # one row per option
+    return table.select(F.row_number().over(order).alias("rank"), "parameters", "mean", "std")
 
 
 def best_models(results: DataFrame, n: int = 5) -> DataFrame:

@@ -138,7 +138,7 @@ def test_discriminant_matches_the_closed_form(ready):
 def test_votes(ready, voting):
     every = learners.base_learners()
     members = [every["naive_bayes"], every["linear_discriminant"], every["linear_svm"]]
-    model = stages.VotingClassifier(members, voting).fit(ready)
+    model = stages.VotingClassifier(members, voting, "key").fit(ready)
     out = model.transform(ready)
     assert evaluation.overall_scores(out, "label", "prediction").first()["accuracy"] > 0.97
     assert not [c for c in out.columns if c.startswith("prediction_")]
