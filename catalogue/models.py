@@ -1,12 +1,17 @@
 """Registered queries: reports, balancing, learners, evaluation and search."""
 
+import uuid
+
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalogue.profiles import LINE, corr_sql
 from catalogue.registry import query
 from catalogue.samples import md5_of
-from quadrat.operators import balancing, charts, evaluation, learners, stages, tuning
+from quadrat.operators import balancing, calibration, charts, evaluation, learners, stages, tuning
+from quadrat.operators.durable import checkpoint_folder
 from quadrat.plans import reports
 
 JUDGED = "(SELECT doc_id, quality AS truth, toxic AS prediction FROM labels)"
@@ -169,21 +174,70 @@ for learner in learners.LEARNERS:
     register(f"learner_{learner}", fitted, BAYES if learner == "naive_bayes" else None)
 
 
-def members():
-    """Three quick learners for the votes."""
-    every = learners.base_learners()
-    return [every[n] for n in ("decision_tree", "naive_bayes", "linear_svm")]
-
-
 for voting in ("hard", "soft"):
     def voted(t, voting=voting):
         rows = vectors(t)
-        model = stages.VotingClassifier(members(), voting).fit(rows)
+        model = stages.voting_ensemble("label", "doc_id", voting).fit(rows)
         return model.transform(rows).select("doc_id", "label", "prediction")
 
     register(f"vote_{voting}", voted)
 
 
+@query()
+def vote_multiclass(t):
+    """Ten classes of vectors, by the members that fit all classes at once."""
+    parts = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)]
+    rows = t("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *parts)
+    ready = VectorAssembler(inputCols=[f"e{i}" for i in range(16)], outputCol="features").transform(rows)
+    names = ("random_forest", "naive_bayes", "linear_discriminant", "decision_tree")
+    model = stages.voting_ensemble("label", "vec_id", "soft", names).fit(ready)
+    return model.transform(ready).select("vec_id", "label", "prediction")
+
+
+@query()
+def calibrated_margins(t):
+    rows = vectors(t)
+    model = calibration.CalibratedClassifier(learners.base_learners()["linear_svm"], "doc_id", "isotonic").fit(rows)
+    share = vector_to_array("probability")[1].alias("share")
+    return model.transform(rows).select("doc_id", "label", "prediction", share)
+
+
+RISING = """
+SELECT 'l_quantity' AS measure, l_quantity AS x, l_returnflag = 'R' AS hit FROM lineitem
+UNION ALL SELECT 'l_discount', l_discount, l_shipdate >= TIMESTAMP '1995-06-17' FROM lineitem"""
+
+
+@query(f"""
+WITH p AS (SELECT measure, x, count(*)::DOUBLE AS w, count(*) FILTER (hit)::DOUBLE AS s FROM ({RISING}) GROUP BY 1, 2),
+c AS (SELECT *, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM p WINDOW o AS (PARTITION BY measure ORDER BY x)),
+m AS (SELECT i.measure, i.x, i.w, a.x AS a, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) AS low
+  FROM c i JOIN c a ON i.measure = a.measure AND a.x <= i.x JOIN c b ON i.measure = b.measure AND b.x >= i.x GROUP BY ALL),
+v AS (SELECT measure, x, w, max(low) AS value FROM m GROUP BY ALL)
+SELECT measure, min(x) AS low, max(x) AS high, sum(w) AS weight, round(value, 6) + 0.0 AS value FROM v GROUP BY measure, v.value""")
+def isotonic_steps(t):
+    late = F.col("l_shipdate") >= F.lit("1995-06-17").cast("timestamp")
+    measures = (("l_quantity", F.col("l_returnflag") == "R"), ("l_discount", late))
+    sides = [F.struct(F.lit(c).alias("measure"), F.col(c).alias("x"), hit.cast("double").alias("hit")) for c, hit in measures]
+    rows = t("lineitem").select(F.inline(F.array(*sides)))
+    return calibration.isotonic_blocks(rows, "x", "hit", ["measure"])
+
+
+@query(BAYES)
+def saved_pipeline(t):
+    """A pipeline saved before its fit, with a function and nested stages, then loaded and fitted."""
+    rows = vectors(t)
+    vote = stages.VotingClassifier([learners.base_learners()["naive_bayes"]], "soft", "doc_id")
+    pipeline = Pipeline(stages=[
+        stages.TableFunction(stages.renamed_column, {"old": "features", "new": "measures"}),
+        stages.TableFunction(stages.renamed_column, {"old": "measures", "new": "features"}),
+        stages.ResampledClassifier(vote, None, "doc_id"),
+    ])
+    path = f"{checkpoint_folder(rows.sparkSession)}/pipeline-{uuid.uuid4().hex}"
+    pipeline.write().save(path)
+    model = Pipeline.load(path).fit(rows)
+    return learners.predict(model, rows, ["low", "high"]).select("doc_id", "label", "prediction", "predicted_label")
+
+
 def tree(t):
     """A decision tree on the measured documents."""
     return learners.base_learners()["decision_tree"].fit(vectors(t))
@@ -294,15 +348,22 @@ def tree_with(depth, leaf):
 
 @query()
 def random_search(t):
-    space = {"depth": [2, 3, 5, 7], "leaf": [2, 5, 10, 20]}
-    return tuning.random_search(tree_with, space, vectors(t), "label", "doc_id", k=3, n_iter=4)
+    """Ten drawn options over scaler, resampler, vote and forest, on five folds."""
+    rows = measured(t).select("doc_id", "label", *MEASURES)
+    steps, combine = stages.vote_steps("label", "doc_id", ("random_forest", "naive_bayes", "linear_discriminant"))
+    space = {
+        "scaler": ["standard", "minmax", "robust"], "resampler": [None, "over", "under"], "voting": ["soft", "hard"],
+        "trees": [10, 20], "depth": [2, 3, 5], "leaf": [2, 5, 10],
+    }
+    options = tuning.drawn_options(space, 10, 42)
+    return tuning.best_models(tuning.PartSearch(steps, combine, 5).run(options, rows, "label", "doc_id", k=5), 5)
 
 
 @query()
 def grid_search(t):
     space = {"depth": [2, 4], "leaf": [5, 20]}
     return tuning.best_models(
-        tuning.grid_search(tree_with, space, vectors(t), "label", "doc_id", k=3), 3
+        tuning.grid_search(tree_with, space, vectors(t), "label", "doc_id", k=5), 3
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from quadrat.operators.tuning import with_folds
 
 #: Neighbouring slots merged at a time.
 MERGED = 16
+#: Folds fitted at a time.
+PARALLEL = 4
 #: Inverse link of boosted trees on log loss: their margin is half the log odds.
 BOOSTED_LINK = (2.0, 0.0)
 
@@ -155,12 +158,17 @@ class CalibratedClassifier(Estimator, Nested):
         """``(label, class, margin, hit)``: out-of-fold margins of every row and class."""
         label, raw = self.getLabelCol(), self.classifier.getOrDefault("rawPredictionCol")
         folds = with_folds(dataset.select(self.key, label, "features"), label, self.key, self.k, self.seed)
-        out = None
-        for i in range(self.k):
+
+        def one(i: int) -> DataFrame:
             model = self.classifier.fit(folds.where(F.col("fold") != i).drop("fold"))
             scored = model.transform(folds.where(F.col("fold") == i).drop("fold"))
-            part = scored.select(F.col(label).cast("double").alias("label"), F.posexplode(vector_to_array(raw)).alias("class", "margin"))
-            out = part if out is None else out.unionAll(part)
+            return scored.select(F.col(label).cast("double").alias("label"), F.posexplode(vector_to_array(raw)).alias("class", "margin"))
+
+        with ThreadPool(min(self.k, PARALLEL)) as pool:
+            parts = pool.map(one, range(self.k))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionAll(part)
         return durable(out.withColumn("hit", F.col("label") == F.col("class")))
 
     def curves(self, dataset: DataFrame) -> list[dict]:
