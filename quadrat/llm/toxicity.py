@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,11 +27,18 @@ BLANK = 60
 CACHED = 400_000
 
 
-def subwords(word: bytes) -> np.ndarray:
+def subword_buckets(word: bytes) -> list[int]:
     """Buckets of a lower-cased word and its character 3- to 6-grams with border marks."""
+    mask, crc = BUCKETS - 1, zlib.crc32
+    if word.isascii():  # characters are bytes
+        w = b"<" + word.lower() + b">"
+        return [crc(w) & mask, *[crc(w[i : i + n]) & mask for n in GRAMS for i in range(len(w) - n + 1)]]
     w = f"<{word.decode().lower()}>"
-    grams = [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
-    return np.array([zlib.crc32(g.encode()) & (BUCKETS - 1) for g in [w, *grams]], np.int64)
+    return [crc(g.encode()) & mask for g in (w, *[w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)])]
+
+
+def subwords(word: bytes) -> np.ndarray:
+    return np.array(subword_buckets(word), np.int64)
 
 
 @dataclass
@@ -55,10 +63,11 @@ class Scorer(dict):
     def __init__(self, model: SubwordModel):
         super().__init__()
         self.model = model
+        self.weight = array("d", model.weight.tolist())
 
     def __missing__(self, word: bytes) -> tuple[float, int]:
-        at = subwords(word)
-        got = float(self.model.weight[at].sum()), len(at)
+        at = subword_buckets(word)
+        got = sum(map(self.weight.__getitem__, at)), len(at)
         if len(word) <= 48:
             if len(self) >= CACHED:
                 self.clear()
@@ -67,8 +76,11 @@ class Scorer(dict):
 
     def score(self, text: str | None) -> float:
         """Probability of class 1; a text without words gets the empty bag's."""
-        bag = np.array(list(map(self.__getitem__, words_of(text)))).reshape(-1, 2).sum(0)
-        return float(1 / (1 + np.exp(-(self.model.margin + bag[0] / (bag[1] + BLANK)))))
+        total, count = 0.0, 0
+        for weight, n in map(self.__getitem__, words_of(text)):
+            total += weight
+            count += n
+        return float(1 / (1 + np.exp(-(self.model.margin + total / (count + BLANK)))))
 
 
 def fit(texts: list[str | None], labels: list[int]) -> SubwordModel:

@@ -13,6 +13,7 @@ import pytest
 from quadrat.llm import graph, mixing, packing, pages, quality, queries, simhash, substrings, token_counts, token_files, toxicity, vectors
 from quadrat.llm.word_ids import WordIds
 from tests.conftest import SF
+from tests.llm.test_near_copies import brute_groups as near_copy_groups
 from tests.oracle import compare, connect
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -373,8 +374,7 @@ def test_pipeline_stages(spark, docs, texts, none, tmp_path):
         old, new = ({r.doc_id: r.text for r in df.collect()} for df in (kept, after))
         assert set(new) <= set(old)
         if name == "near_copies":
-            groups = brute_groups({d: simhash.fingerprint(t) for d, t in old.items()})
-            assert set(new) == set(groups.values())
+            assert set(new) == set(near_copy_groups(old).values())
         elif name == "substrings":
             want = brute_repeats(old)
             for d, t in new.items():
