@@ -197,7 +197,8 @@ def vote_multiclass(t):
 @query()
 def calibrated_margins(t):
     rows = vectors(t)
-    model = calibration.CalibratedClassifier(learners.base_learners()["linear_svm"], "doc_id", "isotonic").fit(rows)
+    svm = learners.base_learners()["linear_svm"].getClassifier()  # two classes need no one-against-rest
+    model = calibration.CalibratedClassifier(svm, "doc_id", "isotonic").fit(rows)
     share = vector_to_array("probability")[1].alias("share")
     return model.transform(rows).select("doc_id", "label", "prediction", share)
 
