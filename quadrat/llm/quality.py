@@ -7,13 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.shared import BLANKS
+from quadrat.llm.shared import BLANKS, written
 
 BUCKETS = 1 << 16
 #: Targets (keys of 8 bytes) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Least mean log-likelihood ratio of a document that is kept.
-THRESHOLD = -0.15
+#: Part of the target model that the trusted counts make; the raw shares make the rest.
+TRUST = 0.9
+#: Share of the trusted documents, each scored without its own counts, that the threshold keeps at least.
+KEEP = 0.99
+#: Steps of the threshold to a unit of score.
+STEPS = 1000
 
 
 def with_words(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,55 +80,100 @@ def with_rules(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed).drop("three", "ordered", "places", "line")
 
 
-def log_ratios(df: DataFrame, target: DataFrame, key: str, text: str) -> list[float]:
-    """Log ratio of target to raw share of every bucket, both counts one up.
+def with_trust(df: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """Add ``trusted``: whether the row's key is one of ``target``; null keys never are."""
+    keys = target.select(F.col(key).alias("key")).dropna().distinct().withColumn("trusted", F.lit(True))
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    joined = df.join(F.broadcast(keys) if few else keys, "key", "left")
+    return joined.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+
+def bucket_counts(df: DataFrame) -> tuple[list[int], list[int]]:
+    """How often the words and pairs of each bucket occur in all rows, and in the trusted ones.
 
-    The raw multinomial counts the word and pair hashes of all documents, the
-    target's those of the documents whose key is in ``target``. Counting is one
-    pre-aggregated pass; the result has one row per bucket, 65,536 at most.
+    One pre-aggregated pass; the result has one row per bucket, 65,536 at most.
     """
-    keys = target.select(F.col(key).alias("key")).dropna().distinct().withColumn("trusted", F.lit(1))
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    rows = with_hashes(with_words(df, key, text))
-    rows = rows.select("key", "one", "two").join(F.broadcast(keys) if few else keys, "key", "left")
-    hashes = rows.select("trusted", F.explode(F.concat("one", "two")).alias("hash"))
+    hashes = df.select("trusted", F.explode(F.concat("one", "two")).alias("hash"))
     bucket = F.pmod("hash", F.lit(BUCKETS)).cast("int")
-    counts = hashes.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
-    raw, wanted = [1] * BUCKETS, [1] * BUCKETS
+    counts = hashes.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
+    raw, wanted = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():  # one row per bucket
-        raw[r.bucket] += r.raw
-        wanted[r.bucket] += r.target
-    shift = math.log(sum(raw)) - math.log(sum(wanted))
-    return [math.log(w) - math.log(r) + shift for w, r in zip(wanted, raw)]
+        raw[r.bucket], wanted[r.bucket] = r.raw, r.target
+    return raw, wanted
+
+
+def with_score(df: DataFrame, raw: list[int], wanted: list[int]) -> DataFrame:
+    """Add ``score``: the mean log ratio of a text's words and pairs under the target and the raw model.
+
+    The text's own counts are taken out of the raw counts and, if it is
+    trusted, out of the target's, so that being trusted gives no advantage. Raw
+    shares are one up per bucket; the target mixes the trusted shares with them.
+    """
+    # Constants of 65,536 numbers; the optimiser folds the parsing away.
+    raw_count, target_count = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (raw, wanted))
+    grams = (F.size("one") + F.size("two")).alias("grams")
+    buckets = F.sort_array(F.transform(F.concat("one", "two"), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
+    df = df.withColumn("bucket", buckets)
+    new = F.transform("bucket", lambda b, i: F.when(F.coalesce(F.get("bucket", i - 1) != b, F.lit(True)), i))
+    df = df.withColumn("first", F.filter(new, lambda i: i.isNotNull()))
+    after = F.concat(F.slice("first", F.lit(2), F.greatest(F.size("first") - 1, F.lit(0))), F.array(F.size("bucket")))
+    raw_total = F.lit(sum(raw) + BUCKETS).cast("double") - grams
+    target_total = F.greatest(F.lit(sum(wanted)).cast("double") - F.when(F.col("trusted"), grams).otherwise(0), F.lit(1.0))
+    df = df.withColumns({"scale": raw_total * F.lit(TRUST) / target_total, "after": after})
+
+    def term(start: Column, end: Column) -> Column:
+        at, own = F.get("bucket", start), end - start
+        target = F.get(target_count, at) - F.when(F.col("trusted"), own).otherwise(0)
+        others = F.get(raw_count, at) - own + 1
+        return own * F.ln(F.col("scale") * target / others + F.lit(1 - TRUST))
+
+    total = F.aggregate(F.zip_with("first", "after", term), F.lit(0.0), lambda s, x: s + x)
+    score = F.when(grams > 0, total / grams).otherwise(F.lit(0.0))
+    return df.withColumn("score", score).drop("bucket", "first", "after", "scale")
+
+
+def trusted_threshold(scored: DataFrame, keep: float) -> float:
+    """The largest multiple of 1/1000 that at least the share ``keep`` of the sound trusted rows reaches; 0 without any.
+
+    Scores lie between ln(1 - TRUST) and the log of the number of n-grams, so the
+    counted steps are some ten thousands at most.
+    """
+    rows = scored.where("trusted AND NOT base_failed")
+    steps = rows.groupBy(F.floor(F.col("score") * STEPS).alias("step")).count().orderBy(F.desc("step")).collect()
+    least, reached = keep * sum(r["count"] for r in steps), 0
+    for r in steps:
+        reached += r["count"]
+        if reached >= least:
+            return r.step / STEPS
+    return 0.0
 
 
 def quality_rules(
-    df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
+    df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", keep: float = KEEP, threshold: float | None = None
 ) -> DataFrame:
-    """``key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept`` of every document.
+    """``key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept`` of every document.
 
     ``score`` is the mean, over a text's words and neighbouring pairs, of the
     log ratio of their hashed shares in the trusted documents (keys of
-    ``target``) and in all documents; ``kept`` is ``score >= threshold`` unless
-    the base rules fail. No draw is made, so every run decides alike.
+    ``target``) and in all documents, both without the text itself; ``kept`` is
+    ``score >= threshold`` unless the base rules fail. The threshold, if not
+    given, is the one that ``keep`` of the trusted documents reach. No draw is
+    made, so every run decides alike.
 
     A null text counts as empty: all counts are 0 and it fails. A text without
     n-grams has score 0. Null and repeated keys keep a row per input row (a null
-    key is never trusted). Without any trusted row the target is uniform over
-    the buckets. An empty table gives no row. Other columns are ignored.
+    key is never trusted). Without any trusted text all scores are equal and the
+    base rules alone decide. An empty table gives no row. Other columns are
+    ignored.
     """
-    ratios = log_ratios(df, target, key, text)
-    # A constant of 65,536 numbers; the optimiser folds the parsing away.
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<float>")
-
-    def total(hashes: str) -> Column:
-        return F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("double"))
-
-    df = with_rules(with_hashes(with_words(df, key, text)))
-    grams = F.size("one") + F.size("two")
-    score = F.when(grams > 0, (total("one") + total("two")) / grams).otherwise(F.lit(0.0))
-    df = df.withColumn("score", score)
-    return df.select(
-        F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"),
+    rows = with_trust(with_hashes(with_words(df, key, text)), target, key)
+    raw, wanted = bucket_counts(rows)
+    scored = with_score(with_rules(rows), raw, wanted)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"]
+    scored = written(scored.select("key", "trusted", *counts))
+    if threshold is None:
+        threshold = trusted_threshold(scored, keep) if sum(wanted) else -math.inf
+    return scored.select(
+        F.col("key").alias(key), *counts, F.lit(threshold).alias("threshold"),
+        (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"),
     )

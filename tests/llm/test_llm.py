@@ -314,21 +314,50 @@ def test_quality_rules(spark, docs, texts, odd, none, table):
         want = len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
-        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+        assert r.kept == (not r.base_failed and r.score >= r.threshold)
     edge = quality.quality_rules(odd, spark.createDataFrame([(None,), (1,), (1,)], "doc_id bigint")).collect()
     assert len(edge) == 10 and all(r.base_failed and r.score == 0 for r in edge if r.doc_id in (2, 3, 4))
     assert quality.quality_rules(none, odd).count() == 0
 
 
 def test_log_ratio(spark):
-    """The score against the formula, with the counts of the words' own hashes."""
-    df = spark.createDataFrame([(1, "good good fine"), (2, "bad worse"), (3, "good bad")], "doc_id bigint, text string")
-    got = {r.doc_id: r.score for r in quality.quality_rules(df, df.where("doc_id = 1")).collect()}
-    n = quality.BUCKETS
-    shift = np.log(n + 7 + 4) - np.log(n + 5)  # 7 words and 4 pairs in all, 3 and 2 of the target
-    ratio = lambda t, r: np.log(t + 1) - np.log(r + 1) + shift
-    want = (2 * ratio(2, 3) + ratio(1, 1) + ratio(1, 1) + ratio(1, 1)) / 5
-    assert abs(got[1] - want) < 1e-4 and got[1] > got[3] > got[2]
+    """The score against the formula, with the counts of the words' own hashes less the text's own."""
+    df = spark.createDataFrame([(1, "good good fine"), (2, "bad worse"), (3, "good bad"), (4, "good fine")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in quality.quality_rules(df, df.where("doc_id IN (1, 4)")).collect()}
+    n, trust = quality.BUCKETS, quality.TRUST
+
+    def term(target, target_total, raw, raw_total):
+        return np.log(trust * (target / target_total) / ((raw + 1) / (raw_total + n)) + 1 - trust)
+
+    # Words and pairs: 5 of text 1, 3 of each other; 8 are trusted. Text 1 is judged by text 4, texts 2 and 3 by both.
+    want = (2 * term(1, 3, 2, 9) + term(1, 3, 1, 9) + term(0, 3, 0, 9) + term(1, 3, 1, 9)) / 5
+    assert abs(got[1] - want) < 1e-9
+    assert abs(got[3] - (term(3, 8, 3, 11) + term(0, 8, 1, 11) + term(0, 8, 0, 11)) / 3) < 1e-9
+    assert got[1] > got[3] > got[2]
+
+
+def test_labels_give_no_advantage(spark):
+    """Trusted texts and texts of the same kind that nobody labelled are kept alike at two sizes; labelled junk is not."""
+    for size in ("sf0.001", "sf0.01"):
+        read = lambda name: spark.read.parquet(f"/root/testdata/{size}/{name}.parquet")  # noqa: B023, E731
+        labels = {r.doc_id: r.quality for r in read("labels").collect()}
+        rows = [r for r in quality.quality_rules(read("documents"), read("labels").where("quality = 1")).collect() if not r.base_failed]
+        score = lambda kind: np.array([r.score for r in rows if labels.get(r.doc_id, -1) == kind])  # noqa: B023, E731
+        kept = lambda kind: np.mean([r.kept for r in rows if labels.get(r.doc_id, -1) == kind])  # noqa: B023, E731
+        good = len(score(1)) / (len(score(1)) + len(score(0)))  # share of good texts among those that pass the base rules
+        assert kept(1) >= 0.98 and kept(0) < 0.5
+        assert abs(kept(-1) - (good * kept(1) + (1 - good) * kept(0))) < 0.05
+        assert abs(np.median(score(1)) - np.median(score(-1))) < 0.05
+
+
+def test_target_from_half_the_labels(spark, docs, table):
+    """Good texts whose labels are withheld are kept within 5 points of the trusted ones."""
+    labels = table("labels").where("quality = 1")
+    half = {r.doc_id for r in labels.collect() if r.doc_id % 2}
+    whole = {r.doc_id for r in labels.collect()}
+    rows = [r for r in quality.quality_rules(docs, labels.where("doc_id % 2 = 1")).collect() if not r.base_failed]
+    shares = [np.mean([r.kept for r in rows if r.doc_id in ids]) for ids in (half, whole - half)]
+    assert abs(shares[0] - shares[1]) < 0.05
 
 
 # 10 vectors
