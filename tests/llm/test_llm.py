@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -71,6 +73,62 @@ def test_page_layout():
     assert pages.visible_text("plain < text") == "plain < text"
 
 
+def test_foreign_and_hidden_parts():
+    assert pages.visible_text("<p>a</p><svg/><p>rest of page</p>") == "a\n\nrest of page"
+    assert pages.visible_text('<p>a<svg><path d="x"/><g><rect/></g></svg> tail <math/>x') == "a tail x"
+    assert pages.visible_text("<p>a</p><svg><path><p>rest") == "a\n\nrest"
+    assert pages.visible_text("<details><summary>S</summary>no</details><details open><summary>T</summary>yes</details>") == "S\nT\nyes"
+    assert pages.visible_text("<dialog>no</dialog><dialog open>yes</dialog><ruby>a<rp>(</rp><rt>b</rt></ruby>") == "yesab"
+    assert pages.visible_text('<div style="visibility:hidden">no<b style="visibility: visible">yes</b></div>z') == "yes\nz"
+    assert pages.visible_text("a<!-- <p>no -->b<!DOCTYPE html>c<![odd[x]]>d<!-->e<?x y?>f<script><!-- if (a<b) </script>g<style>never") == "abcdefg"
+
+
+def test_table_spans_and_list_values():
+    assert pages.visible_text("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>") == "A  B\n   C\nD  E"
+    assert pages.visible_text("<table><tbody><tr><td rowspan=0>A<td>B<tr><td>C<tbody><tr><td>D</table>") == "A  B\n   C\nD"
+    assert pages.visible_text("<table><tr><td colspan=2>A<td>B<tr><td>one<td>two<td>C</table>") == "A         B\none  two  C"
+    assert pages.visible_text("<ol><li value=7>x<li>y</ol><ol reversed><li>a<li>b</ol>") == "7. x\n8. y\n\n2. a\n1. b"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr>" + "<td colspan=100>a" * 5000 + "</table>", "<table>" + "<tr><td>a<td rowspan=2>b" * 2500 + "</table>", "<a b='c" * 20_000,
+        "<!-- x" * 20_000, "<div>" * 50_000, "<b>" * 20_000 + "</i>" * 20_000, "<![x" * 20_000, "</p>" * 20_000,
+    ],
+)
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    pages.visible_text(page)
+    assert time.process_time() - began < 3
+
+
+def paragraphs(html):
+    """A second, simple way to the words of a page whose tags are all closed: cut out what is hidden, then the tags."""
+    html = re.sub(r"(?is)<!--.*?-->|<(script|style|template|title|head|noscript)\b.*?</\1\s*>", " ", html)
+    return re.sub(r"\s+", "", re.sub(r"<[^>]*>", "", html))
+
+
+def test_random_trees_keep_all_text():
+    rng = np.random.default_rng(7)
+
+    def tree(depth):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            tag = rng.choice(["p", "div", "b", "section", "table", "script", "style", "text"])
+            inner = f" w{rng.integers(1000)} " if depth == 0 or tag in ("text", "script", "style") else tree(depth - 1)
+            if tag == "p":
+                inner = f"w{rng.integers(1000)} <i>w{rng.integers(1000)}</i>"
+            if tag == "table":
+                inner = "".join(f"<tr><td>{inner}</td><td>w{rng.integers(1000)}</td></tr>" for _ in range(1))
+            parts.append(inner if tag == "text" else f"<{tag}>{inner}</{tag}>")
+        return "".join(parts)
+
+    for _ in range(300):
+        page = tree(3)
+        assert Counter(re.sub(r"\s+", "", pages.visible_text(page))) == Counter(paragraphs(page))
+
+
 def test_pages_edge(spark, none):
     df = spark.createDataFrame([(1, None, "k"), (1, "", "k"), (None, "<p>a", "k")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in pages.extract_pages(df).collect()) == [(0, "a", 1), (1, "", 0), (1, "", 0)]
