@@ -110,26 +110,28 @@ def with_score(df: DataFrame, raw: list[int], wanted: list[int]) -> DataFrame:
     shares are one up per bucket; the target mixes the trusted shares with them.
     """
     # Constants of 65,536 numbers; the optimiser folds the parsing away.
-    raw_count, target_count = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (raw, wanted))
+    others_count = F.split(F.lit(",".join(str(n + 1) for n in raw)), ",").cast("array<double>")
+    target_count = F.split(F.lit(",".join(map(str, wanted))), ",").cast("array<double>")
     grams = (F.size("one") + F.size("two")).alias("grams")
-    buckets = F.sort_array(F.transform(F.concat("one", "two"), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
-    df = df.withColumn("bucket", buckets)
-    new = F.transform("bucket", lambda b, i: F.when(F.coalesce(F.get("bucket", i - 1) != b, F.lit(True)), i))
-    df = df.withColumn("first", F.filter(new, lambda i: i.isNotNull()))
+    # A bit mask, unlike a remainder, is never null, so the whole numbers are sorted as such.
+    df = df.withColumn("bucket", F.sort_array(F.transform(F.concat("one", "two"), lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))))
+    places = F.slice(F.sequence(F.lit(0), F.size("bucket")), F.lit(1), F.size("bucket"))
+    df = df.withColumn("first", F.filter(places, lambda i: ~F.get("bucket", i).eqNullSafe(F.get("bucket", i - 1))))
     after = F.concat(F.slice("first", F.lit(2), F.greatest(F.size("first") - 1, F.lit(0))), F.array(F.size("bucket")))
     raw_total = F.lit(sum(raw) + BUCKETS).cast("double") - grams
     target_total = F.greatest(F.lit(sum(wanted)).cast("double") - F.when(F.col("trusted"), grams).otherwise(0), F.lit(1.0))
-    df = df.withColumns({"scale": raw_total * F.lit(TRUST) / target_total, "after": after})
+    mine = F.col("trusted").cast("double")
+    df = df.withColumns({"scale": raw_total * F.lit(TRUST) / target_total, "after": after, "mine": mine})
 
-    def term(start: Column, end: Column) -> Column:
-        at, own = F.get("bucket", start), end - start
-        target = F.get(target_count, at) - F.when(F.col("trusted"), own).otherwise(0)
-        others = F.get(raw_count, at) - own + 1
-        return own * F.ln(F.col("scale") * target / others + F.lit(1 - TRUST))
+    def term(at: Column, own: Column) -> Column:
+        others = F.get(others_count, at) - own
+        return own * F.ln(F.col("scale") * (F.get(target_count, at) - own * F.col("mine")) / others + F.lit(1 - TRUST))
 
-    total = F.aggregate(F.zip_with("first", "after", term), F.lit(0.0), lambda s, x: s + x)
+    df = df.withColumn("own", F.zip_with("after", "first", lambda b, a: (b - a).cast("double")))
+    df = df.withColumn("kind", F.transform("first", lambda i: F.get("bucket", i)))
+    total = F.aggregate(F.zip_with("kind", "own", term), F.lit(0.0), lambda s, x: s + x)
     score = F.when(grams > 0, total / grams).otherwise(F.lit(0.0))
-    return df.withColumn("score", score).drop("bucket", "first", "after", "scale")
+    return df.withColumn("score", score).drop("bucket", "first", "after", "scale", "mine", "own", "kind")
 
 
 def trusted_threshold(scored: DataFrame, keep: float) -> float:
