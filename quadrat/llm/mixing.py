@@ -106,8 +106,10 @@ def mix(
     documents, or the blocks (65,536 at most) of one source.
 
     Tokens are words. Null and empty sources are one source, ''. Texts without
-    words are drawn where they stand and cost nothing; a table without any word
-    or row gives no row. Repeated rows (equal keys) stay together in no
+    words are drawn where they stand and cost nothing, but a source without any
+    word has no weight and gives no row; nor does a table without any word or
+    row. A source whose next document is longer than what its budget has left
+    ends there, so a source of one document may give none. Repeated rows (equal keys) stay together in no
     particular order and each is drawn. Other columns are ignored. ``row`` can
     name a column of unique numbers, which then comes out as ``row`` too.
     """
