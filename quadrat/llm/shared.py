@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.operators.durable import checkpoint_folder
@@ -50,6 +51,16 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are over and no longer referred to.
+
+    It does so when the driver collects its garbage, which a quiet driver may
+    not do for a long time. A hint only: results don't depend on it.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def running_start(df: DataFrame, keys: list[str], amount: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``amount`` over all rows before this one in the order of ``keys``.
 

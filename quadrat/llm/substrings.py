@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.shared import keep_freed_memory, words_of, written
+from quadrat.llm.shared import free_shuffles, keep_freed_memory, words_of, written
 
 WINDOW, GRAM = 13, 5
 CHUNK_WORDS = 1_500_000  # words a task cuts into segments at a time
@@ -19,6 +19,7 @@ SHARD_WORDS = 3_000_000  # words aimed at in a shard, segments' overlaps include
 #: first only shorten what is shipped, the second only balance shards.
 SAMPLED_DOCS = 5_000
 BOOK = (1 << 16) - 1  # words with a two-byte code
+SIEVE_BITS = 24  # bits of the map of rows with decisions: at most 4 MB
 CACHED = 400_000
 
 
@@ -458,6 +459,23 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(search, "doc long, mark int, first int, last int")
 
 
+def place() -> Column:
+    """Bit of the row ``doc, mark`` in the map of decided rows; it depends on nothing else."""
+    return F.pmod(F.xxhash64(F.col("doc").cast("long"), F.col("mark").cast("int")), F.lit(1 << SIEVE_BITS))
+
+
+def decided(runs: DataFrame) -> DataFrame:
+    """``word, bits``: bit map of the rows that have decisions.
+
+    At most ``2^(SIEVE_BITS - 6)`` rows of 16 bytes at every input size. A full
+    map only means that more texts go through the join.
+    """
+    bits = runs.select(place().alias("at")).select(
+        F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bit")
+    )
+    return bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``key, n_words, n_removed, kept_sha256`` of every document; with ``carry`` also those columns and ``kept``.
 
@@ -500,17 +518,25 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
                 columns += [pa.array(kept, pa.string()), *batch.columns[3:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    found = repeated_windows(df, key, text).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = written(repeated_windows(df, key, text))
+    free_shuffles(df.sparkSession)
+    found = runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     others = [F.col(c).alias(f"other{i}") for i, c in enumerate(carry or [])]
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *others)
     docs = docs.withColumns({"doc": F.col("key").cast("long"), "mark": F.hash("text")})
-    joined = docs.join(found, ["doc", "mark"], "left").drop("doc", "mark").select("key", "text", "runs", *[f"other{i}" for i in range(len(others))])
-    kind = dict(joined.dtypes)
+    # Only texts that may have decisions are shuffled to them.
+    bit = F.call_function("shiftright", "bits", (place() % 64).cast("int")).bitwiseAND(F.lit(1))
+    docs = docs.withColumn("word", F.shiftright(place(), 6)).join(F.broadcast(decided(runs)), "word", "left")
+    docs = docs.withColumn("asked", F.coalesce(bit == 1, F.lit(False))).drop("word", "bits")
+    columns = ["key", "text", "runs", *[f"other{i}" for i in range(len(others))]]
+    asked = docs.where("asked").join(found, ["doc", "mark"], "left").select(*columns)
+    passed = docs.where("NOT asked").withColumn("runs", F.lit(None).cast(asked.schema["runs"].dataType)).select(*columns)
+    kind = dict(asked.dtypes)
     schema = f"key {kind['key']}, n_words long, n_removed long, kept_sha256 string"
     if carry:
         schema = ", ".join([schema, "kept string", *(f"other{i} {kind[f'other{i}']}" for i in range(len(others)))])
     names = [f.split(" ")[0] for f in schema.split(", ")]
-    out = joined.mapInArrow(finish, schema)
+    out = passed.mapInArrow(finish, schema).unionAll(asked.mapInArrow(finish, schema))
     if not carry:
         return out.withColumnRenamed("key", key)
     return out.select("n_words", "n_removed", "kept_sha256", "kept", *[F.col(f"other{i}").alias(c) for i, c in enumerate(carry)])
