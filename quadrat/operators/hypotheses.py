@@ -20,6 +20,7 @@ from quadrat.functions.distributions import (
     studentized_range_sf_column,
 )
 from quadrat.operators.durable import small_side
+from quadrat.operators.factorial import DENSE_COLUMNS, factor_cells, type_two_effects
 from quadrat.operators.linalg import complete_rows
 from quadrat.operators.quantiles import quantile_table, ranked_values
 
@@ -75,64 +76,35 @@ def residuals(df: DataFrame, y: str, group: str, name: str = "residual") -> Data
     return joined.select(*df.columns, (number(y) - F.col("__mean")).alias(name))
 
 
-MAX_CELLS = 100_000
-
-
 def anova_unbalanced(
-    df: DataFrame, y: str, factors: Sequence[str], effect_size: str = "n2"
+    df: DataFrame,
+    y: str,
+    factors: Sequence[str],
+    effect_size: str = "n2",
+    dense_columns: int = DENSE_COLUMNS,
 ) -> DataFrame:
-    """Type II analysis of variance of one or two factors with their interaction.
-
-    ``(source, df, sum_sq, mean_sq, f, p, effect)``. One factor of any number
-    of levels has a closed form in Spark sums. With two factors the data pass
-    ends in the table of factor-level cells, and the normal equations are built
-    from the cells.
+    """Type II analysis of variance of any number of factors with all their interactions.
+
+    ``(source, df, sum_sq, mean_sq, f, p, effect)``. One factor has a closed
+    form in Spark sums. With more, the data pass ends in the table of
+    factor-level cells, which stays in Spark at any size: models of up to
+    ``dense_columns`` margin cells are solved from pair counts, larger ones by
+    conjugate gradients over margin sums. An effect that empty cells leave
+    without degrees of freedom has sum of squares 0 and no F.
     """
     if effect_size not in ("n2", "np2"):
         raise ValueError("effect_size must be n2 or np2")
-    if len(factors) not in (1, 2):
-        raise ValueError("one or two factors")
-    a, b = factors[0], factors[-1]
+    if not factors or len(set(factors)) < len(factors):
+        raise ValueError("one or more different factors")
     if len(factors) == 1:
-        s = _sums_of_squares(group_table(df, y, a)).first()  # four numbers
-        effects = [(a, s["between"], s["k"] - 1)] if s["k"] else []
+        s = _sums_of_squares(group_table(df, y, factors[0])).first()  # four numbers
+        effects = [(factors[0], s["between"], s["k"] - 1)] if s["k"] else []
         return _effects_table(df, effects, s["within"], (s["total"] or 0) - s["k"], effect_size)
-    rows = df.filter(number(y).isNotNull()).dropna(subset=list(factors))
-    cells = rows.groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(number(y)).alias("mean"),
-        F.coalesce(F.var_samp(number(y)), F.lit(0.0)).alias("var"),
-    )
-    table = cells.limit(MAX_CELLS + 1).collect()
-    if len(table) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} factor-level cells: not a factor")
-    if not table:
+    cells = factor_cells(df, y, factors, dense_columns)
+    if cells is None:
         return _effects_table(df, [], None, 0, effect_size)
-    n = np.array([r["n"] for r in table], float)
-    mean = np.array([r["mean"] for r in table])
-    within = float(((n - 1) * np.array([r["var"] for r in table])).sum())
-    grand = float((n * mean).sum() / n.sum())
-    z = mean - grand
-
-    def rss(*parts: str) -> tuple[float, int]:
-        """Residual sum of squares between cells, and the model rank."""
-        blocks = [np.ones((len(z), 1))]
-        for part in parts:
-            levels = sorted({r[part] for r in table})
-            blocks.append(np.array([[float(r[part] == v) for v in levels[1:]] for r in table]))
-        x = np.hstack(blocks)
-        root = np.sqrt(n)
-        beta, *_ = np.linalg.lstsq(x * root[:, None], z * root, rcond=None)
-        fit = z - x @ beta
-        return float((n * fit * fit).sum()), int(np.linalg.matrix_rank(x * root[:, None]))
-
-    only_a, only_b, both = rss("a"), rss("b"), rss("a", "b")
-    effects = [
-        (a, only_b[0] - both[0], both[1] - only_b[1]),
-        (b, only_a[0] - both[0], both[1] - only_a[1]),
-        (f"{a} * {b}", both[0], len(table) - both[1]),
-    ]
-    return _effects_table(df, effects, within, int(n.sum()) - len(table), effect_size)
+    effects = type_two_effects(cells, factors)
+    return _effects_table(df, effects, cells.within, cells.rows - cells.count, effect_size)
 
 
 def _effects_table(
