@@ -1,5 +1,7 @@
 """Registered queries: hypothesis tests."""
 
+from itertools import combinations, product
+
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
@@ -69,11 +71,65 @@ def anova_unbalanced(t):
     return hypotheses.anova_unbalanced(t("events"), "value", ["event_type"])
 
 
-@query()
+def type_two(cells: str, levels: list[int], names: list[str], partial: bool) -> str:
+    """Type II table in SQL: Gram-Schmidt over the cells ``f0, f1, …, n, m, v``, levels numbered from 0.
+
+    Each effect's 0/1 columns are made orthogonal to those of all terms that
+    don't contain it; a column of which nothing is left counts for nothing.
+    """
+    places = range(len(levels))
+    terms = [t for k in range(len(levels) + 1) for t in combinations(places, k)]
+
+    def columns(term: tuple[int, ...]) -> list[str]:
+        choices = product(*[range(1, levels[i]) for i in term])
+        return ["*".join(["1.0", *[f"CAST(f{i} = {v} AS INTEGER)" for i, v in zip(term, choice)]]) for choice in choices]
+
+    effects = []
+    for term in terms[1:]:
+        before = [c for t in terms if not set(term) <= set(t) for c in columns(t)]
+        table, own = "c", columns(term)
+        for j, x in enumerate([*before, *own]):
+            less = "".join(f" - q{k} * sum(n * {x} * q{k}) OVER ()" for k in range(j))
+            left = f"(SELECT *, {x}{less} AS r{j} FROM {table})"
+            size = f"sum(n * r{j} * r{j}) OVER ()"
+            table = f"(SELECT *, CASE WHEN {size} > 1e-9 * sum(n) OVER () THEN r{j} / sqrt({size}) ELSE 0 END AS q{j} FROM {left})"
+        mine = range(len(before), len(before) + len(own))
+        found = " + ".join(f"CAST(sum(abs(q{j})) > 0 AS BIGINT)" for j in mine)
+        gain = " + ".join(f"pow(sum(n * q{j} * z), 2)" for j in mine)
+        source = " * ".join(names[i] for i in term)
+        effects.append(f"SELECT '{source}' AS source, {found} AS d1, {gain} AS ss FROM {table}")
+    whole = "ss + w" if partial else "total + w"
+    return f"""
+WITH c0 AS ({cells}), c AS (SELECT *, m - (SELECT sum(n * m) / sum(n) FROM c0) AS z FROM c0),
+w AS (SELECT CAST(sum(n) - count(*) AS BIGINT) AS d2, sum((n - 1) * v) AS w FROM c0),
+e AS ({" UNION ALL ".join(effects)}),
+t AS (SELECT *, sum(ss) OVER () AS total, CASE WHEN d1 > 0 THEN ss / d1 / (w / d2) END AS f FROM e, w)
+SELECT source, CAST(d1 AS BIGINT) AS df, round(ss, 4) + 0.0 AS sum_sq, round(CASE WHEN d1 > 0 THEN ss / d1 END, 4) + 0.0 AS mean_sq,
+  round(f, 4) + 0.0 AS f, round({f_tail("f", "d1", "d2")}, 4) + 0.0 AS p, round(ss / ({whole}), 4) + 0.0 AS effect FROM t
+UNION ALL SELECT 'Residual', d2, round(w, 4) + 0.0, round(w / d2, 4) + 0.0, NULL, NULL, NULL FROM w"""
+
+
+TWO = """SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS f0, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS f1,
+  count(*) AS n, avg(l_extendedprice / 1000.0) AS m, var_samp(l_extendedprice / 1000.0) AS v FROM lineitem GROUP BY 1, 2"""
+
+
+@query(type_two(TWO, [3, 2], ["l_returnflag", "l_linestatus"], partial=True), digits=4)
 def anova_two_factors(t):
-    return hypotheses.anova_unbalanced(
-        t("lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], "np2"
+    lines = t("lineitem").withColumn("price", F.col("l_extendedprice") / 1000.0)
+    return hypotheses.anova_unbalanced(lines, "price", ["l_returnflag", "l_linestatus"], "np2")
+
+
+THREE = """SELECT CAST(l_linestatus = 'O' AS INTEGER) AS f0, CAST(l_quantity > 25 AS INTEGER) AS f1, CAST(l_discount > 0.05 AS INTEGER) AS f2,
+  count(*) AS n, avg(l_extendedprice / 1000.0) AS m, var_samp(l_extendedprice / 1000.0) AS v FROM lineitem GROUP BY 1, 2, 3"""
+
+
+@query(type_two(THREE, [2, 2, 2], ["l_linestatus", "bulk", "deal"], partial=False), digits=4)
+def anova_three_factors(t):
+    lines = t("lineitem").select(
+        "l_linestatus", (F.col("l_quantity") > 25).alias("bulk"), (F.col("l_discount") > 0.05).alias("deal"),
+        (F.col("l_extendedprice") / 1000.0).alias("price"),
     )
+    return hypotheses.anova_unbalanced(lines, "price", ["l_linestatus", "bulk", "deal"])
 
 
 MANOVA = """
