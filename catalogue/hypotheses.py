@@ -5,7 +5,7 @@ from itertools import combinations, product
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
-from quadrat.operators import hypotheses
+from quadrat.operators import hypotheses, multiresponse
 
 
 def groups_sql(source: str, y: str, group: str) -> str:
@@ -71,6 +71,16 @@ def anova_unbalanced(t):
     return hypotheses.anova_unbalanced(t("events"), "value", ["event_type"])
 
 
+def orthogonal(table: str, columns: list[str]) -> str:
+    """The cells with columns ``q0, q1, …``: Gram-Schmidt of 0/1 columns, weighted by ``n``; 0 where nothing is left."""
+    for j, x in enumerate(columns):
+        less = "".join(f" - q{k} * sum(n * {x} * q{k}) OVER ()" for k in range(j))
+        left = f"(SELECT *, {x}{less} AS r{j} FROM {table})"
+        size = f"sum(n * r{j} * r{j}) OVER ()"
+        table = f"(SELECT *, CASE WHEN {size} > 1e-9 * sum(n) OVER () THEN r{j} / sqrt({size}) ELSE 0 END AS q{j} FROM {left})"
+    return table
+
+
 def type_two(cells: str, levels: list[int], names: list[str], partial: bool) -> str:
     """Type II table in SQL: Gram-Schmidt over the cells ``f0, f1, …, n, m, v``, levels numbered from 0.
 
@@ -87,12 +97,8 @@ def type_two(cells: str, levels: list[int], names: list[str], partial: bool) ->
     effects = []
     for term in terms[1:]:
         before = [c for t in terms if not set(term) <= set(t) for c in columns(t)]
-        table, own = "c", columns(term)
-        for j, x in enumerate([*before, *own]):
-            less = "".join(f" - q{k} * sum(n * {x} * q{k}) OVER ()" for k in range(j))
-            left = f"(SELECT *, {x}{less} AS r{j} FROM {table})"
-            size = f"sum(n * r{j} * r{j}) OVER ()"
-            table = f"(SELECT *, CASE WHEN {size} > 1e-9 * sum(n) OVER () THEN r{j} / sqrt({size}) ELSE 0 END AS q{j} FROM {left})"
+        own = columns(term)
+        table = orthogonal("c", [*before, *own])
         mine = range(len(before), len(before) + len(own))
         found = " + ".join(f"CAST(sum(abs(q{j})) > 0 AS BIGINT)" for j in mine)
         gain = " + ".join(f"pow(sum(n * q{j} * z), 2)" for j in mine)
@@ -168,6 +174,59 @@ def manova_p(t):
     return hypotheses.manova(t("lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
 
 
+def term_statistics(cells: str, terms: dict[str, list[str]]) -> str:
+    """Four statistics per term for two responses, from cells ``n, a, b, aa, ab, bb`` (means and population covariances)."""
+    every = orthogonal("c", [x for columns in terms.values() for x in columns])
+    count = sum(map(len, terms.values()))
+    hypotheses_ = []
+    for name, own in terms.items():
+        first = [x for other, columns in terms.items() if other != name for x in columns]
+        mine = range(len(first), len(first) + len(own))
+        parts = [" + ".join(f"sum(n * q{j} * {i}) * sum(n * q{j} * {k})" for j in mine) for i, k in ("aa", "ab", "bb")]
+        hypotheses_.append(
+            f"SELECT '{name}' AS term, {len(own)}.0 AS q, {parts[0]} AS haa, {parts[1]} AS hab, {parts[2]} AS hbb FROM {orthogonal('c', [*first, *own])}"
+        )
+    fitted = [" + ".join(["0"] + [f"sum(n * q{j} * ({i} - m{i})) * sum(n * q{j} * ({k} - m{k}))" for j in range(count)]) for i, k in ("aa", "ab", "bb")]
+    return f"""
+WITH c0 AS ({cells}), c AS (SELECT * FROM c0),
+m AS (SELECT sum(n * a) / sum(n) AS ma, sum(n * b) / sum(n) AS mb FROM c0),
+e AS (SELECT sum(n) - {count}.0 AS v, sum(n * (aa + (a - ma) * (a - ma))) - ({fitted[0]}) AS eaa,
+  sum(n * (ab + (a - ma) * (b - mb))) - ({fitted[1]}) AS eab, sum(n * (bb + (b - mb) * (b - mb))) - ({fitted[2]}) AS ebb FROM {every}, m),
+h AS ({" UNION ALL ".join(hypotheses_)}),
+d AS (SELECT *, eaa * ebb - eab * eab AS de, (eaa + haa) * (ebb + hbb) - (eab + hab) * (eab + hab) AS dt,
+  haa * ebb - 2 * hab * eab + hbb * eaa AS mix, haa * hbb - hab * hab AS dh FROM e, h),
+s AS (SELECT *, least(2.0, q) AS s, (abs(2 - q) - 1) / 2 AS mm, (v - 3) / 2 AS nn, greatest(2.0, q) AS r,
+  CASE WHEN q > 1 THEN sqrt((4 * q * q - 4) / (q * q - 1)) ELSE 1.0 END AS t FROM d),
+z AS (SELECT *, t * (v + q - (q + 3) / 2) - (2 * q - 2) / 2 AS w2, 2 * mm + s + 1 AS k, de / dt AS wilks,
+  (mix + 2 * dh) / dt AS pillai, mix / de AS hotelling, (mix / de + sqrt(greatest(pow(mix / de, 2) - 4 * dh / de, 0))) / 2 AS roy FROM s),
+l AS (SELECT term, 'Wilks'' lambda' AS statistic, wilks AS value, 2 * q AS d1, w2 AS d2, (pow(wilks, -1 / t) - 1) * w2 / (2 * q) AS f FROM z
+UNION ALL SELECT term, 'Pillai''s trace', pillai, s * k, s * (2 * nn + s + 1), (2 * nn + s + 1) / k * pillai / (s - pillai) FROM z
+UNION ALL SELECT term, 'Hotelling-Lawley trace', hotelling, s * k, 2 * (s * nn + 1), 2 * (s * nn + 1) * hotelling / (s * s * k) FROM z
+UNION ALL SELECT term, 'Roy''s greatest root', roy, r, v - r + q, roy * (v - r + q) / r FROM z)
+SELECT term, statistic, round(value, 6) + 0.0 AS value, round(d1, 6) + 0.0 AS df1, round(d2, 6) + 0.0 AS df2, round(f, 6) + 0.0 AS f,
+  round({f_tail("f", "d1", "d2")}, 6) + 0.0 AS p FROM l"""
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+TERMS = {
+    "Intercept": ["1.0"],
+    "o_orderstatus": ["CAST(f0 = 'O' AS INTEGER)", "CAST(f0 = 'P' AS INTEGER)"],
+    "o_orderpriority": [f"CAST(f1 = '{x}' AS INTEGER)" for x in PRIORITIES[1:]],
+}
+
+
+@query(term_statistics("""SELECT o_orderstatus AS f0, o_orderpriority AS f1, CAST(count(*) AS DOUBLE) AS n, avg(o_totalprice / 1000.0) AS a,
+  avg(CAST(day(o_orderdate) AS DOUBLE)) AS b, covar_pop(o_totalprice / 1000.0, o_totalprice / 1000.0) AS aa,
+  covar_pop(o_totalprice / 1000.0, day(o_orderdate)) AS ab, covar_pop(day(o_orderdate), day(o_orderdate)) AS bb
+  FROM orders GROUP BY 1, 2""", TERMS))
+def manova_by_term(t):
+    orders = t("orders").select(
+        "o_orderstatus", "o_orderpriority", (F.col("o_totalprice") / 1000.0).alias("price"),
+        F.dayofmonth("o_orderdate").cast("double").alias("day"),
+    )
+    return multiresponse.manova_terms(orders, ["price", "day"], ["o_orderstatus", "o_orderpriority"])
+
+
 @query(f"""
 WITH {groups_sql("orders", "o_totalprice", "o_orderpriority")}
 SELECT a.g AS a, b.g AS b, round(b.m - a.m, 4) + 0.0 AS diff,

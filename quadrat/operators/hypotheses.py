@@ -127,6 +127,9 @@ def _effects_table(
     return df.sparkSession.createDataFrame(out, schema)
 
 
+MANOVA_SCHEMA = "statistic string, value double, df1 double, df2 double, f double, p double"
+
+
 def manova(df: DataFrame, responses: Sequence[str], group: str) -> DataFrame:
     """Wilks, Pillai, Hotelling-Lawley and Roy for one factor, with F approximations.
 
@@ -158,15 +161,20 @@ def manova(df: DataFrame, responses: Sequence[str], group: str) -> DataFrame:
         ],
         *[F.sum(F.col("n") * F.col(f"c{i}_{j}")).alias(f"e{i}_{j}") for i, j in upper],
     ).first()
-    schema = "statistic string, value double, df1 double, df2 double, f double, p double"
     if row["k"] < 2 or row["total"] <= row["k"]:  # nothing to compare
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], MANOVA_SCHEMA)
     h, e = np.zeros((p, p)), np.zeros((p, p))
     for i, j in upper:
         h[i, j] = h[j, i] = row[f"h{i}_{j}"]
         e[i, j] = e[j, i] = row[f"e{i}_{j}"]
+    lines = multivariate_statistics(h, e, row["k"] - 1, row["total"] - row["k"])
+    return df.sparkSession.createDataFrame(lines, MANOVA_SCHEMA)
+
+
+def multivariate_statistics(h: np.ndarray, e: np.ndarray, q: int, v: int) -> list[tuple]:
+    """``(statistic, value, df1, df2, f, p)`` of a hypothesis matrix with ``q`` and an error matrix with ``v`` degrees of freedom."""
+    p = len(h)
     roots = np.clip(np.linalg.eigvals(np.linalg.solve(e, h)).real, 0, None)
-    q, v = row["k"] - 1, row["total"] - row["k"]
     s, m, n = min(p, q), (abs(p - q) - 1) / 2, (v - p - 1) / 2
     roots = np.sort(roots)[::-1][:s]
     wilks = float(np.prod(1 / (1 + roots)))
@@ -181,11 +189,10 @@ def manova(df: DataFrame, responses: Sequence[str], group: str) -> DataFrame:
         ("Hotelling-Lawley trace", hotelling, s * a, 2 * (s * n + 1), 2 * (s * n + 1) * hotelling / (s * s * a)),
         ("Roy's greatest root", roy, r, v - r + q, roy * (v - r + q) / r),
     ]
-    out = [
+    return [
         (name, float(value), float(d1), float(d2), float(f), f_sf(f, d1, d2))
         for name, value, d1, d2, f in lines
     ]
-    return df.sparkSession.createDataFrame(out, schema)
 
 
 def _group_pairs(groups: DataFrame) -> DataFrame:
