@@ -247,3 +247,24 @@ SELECT 'value' AS feature, count(value) AS present, count(*) - count(value) AS m
 def missing_table_nan(t):
     gaps = F.when(F.col("event_id") % 5 == 0, float("nan")).when(F.col("event_id") % 3 != 0, F.col("value"))
     return profile.missing_table(t("events").select(gaps.alias("value"), "event_type"))
+
+
+WIDE = """
+WITH e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)
+SELECT 'e' || a.k AS x, 'e' || b.k AS y, round({f}(a.v::DOUBLE, b.v::DOUBLE), 6) + 0.0 AS r
+FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k {order} b.k GROUP BY a.k, b.k"""
+
+
+def wide_columns(t):
+    """Each of the 64 components of a vector as a column."""
+    return t("embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"e{k + 1}") for k in range(64)])
+
+
+@query(WIDE.format(f="corr", order="<"))
+def correlation_wide(t):
+    return profile.correlation_pairs(wide_columns(t), [f"e{k + 1}" for k in range(64)])
+
+
+@query(WIDE.format(f="covar_samp", order="<="))
+def covariance_wide(t):
+    return profile.covariance_pairs(wide_columns(t), [f"e{k + 1}" for k in range(64)])

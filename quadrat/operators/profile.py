@@ -28,6 +28,7 @@ from quadrat.operators.quantiles import (
     quantile_table,
     ranked_values,
 )
+from quadrat.operators.wide import WIDE_COLUMNS, wide_pairs
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -285,6 +286,8 @@ def correlation_pairs(
     row.
     """
     if method == "pearson":
+        if len(columns) > WIDE_COLUMNS:
+            return wide_pairs(df, columns, "corr")
         return pairwise(df, columns, lambda a, b: F.corr(number(a), number(b)))
     if method == "spearman" and not df.filter(~complete_rows(df, columns)).head(1):
         return _spearman_complete(df, columns)
@@ -317,6 +320,8 @@ def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def covariance_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sample covariance of every column pair i<=j."""
+    if len(columns) > WIDE_COLUMNS:
+        return wide_pairs(df, columns, "cov")
     return pairwise(df, columns, lambda a, b: F.covar_samp(number(a), number(b)), diagonal=True)
 
 
