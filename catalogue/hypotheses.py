@@ -355,3 +355,28 @@ def equal_variance_tests(t):
 @query(EQUAL_VARIANCE, digits=4)
 def equal_variance_tests_p(t):
     return hypotheses.equal_variance_tests(t("events"), "value", "event_type")
+
+
+# Every order as a test of one family: a p-value that falls with the distance of its price from 250,000.
+ORDERS = """
+p AS (SELECT o_orderkey, round(exp(-abs(CAST(o_totalprice AS DOUBLE) - 250000) / 20000), 9) AS p FROM orders),
+r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS i FROM p)"""
+
+
+def one_family(method: str, expression: str):
+    """Register one ordered correction over all orders."""
+    sql = f"""
+WITH {ORDERS}, c AS (SELECT o_orderkey, p, least(CAST({expression} AS DOUBLE), 1.0) AS c FROM r)
+SELECT o_orderkey, round(p, 9) + 0.0 AS p, round(c, 9) + 0.0 AS corrected, c <= 0.05 AS reject FROM c"""
+
+    def run(t):
+        gap = F.abs(F.col("o_totalprice").cast("double") - 250000)
+        rows = t("orders").select("o_orderkey", F.round(F.exp(-gap / 20000), 9).alias("p"))
+        return hypotheses.adjust_pvalues(rows, "p", method)
+
+    run.__name__ = f"adjust_pvalues_{method}_orders"
+    query(sql, digits=9)(run)
+
+
+one_family("holm", "max(p * (m - i + 1)) OVER (ORDER BY p, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+one_family("fdr_bh", "min(p * m / i) OVER (ORDER BY p, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")

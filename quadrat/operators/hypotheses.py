@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,7 @@ from quadrat.functions.distributions import (
 from quadrat.operators.durable import small_side
 from quadrat.operators.factorial import DENSE_COLUMNS, factor_cells, type_two_effects
 from quadrat.operators.linalg import complete_rows
-from quadrat.operators.quantiles import quantile_table, ranked_values
+from quadrat.operators.quantiles import quantile_table, ranked_values, running_extreme
 
 
 def group_table(df: DataFrame, y: str, group: str) -> DataFrame:
@@ -290,36 +292,50 @@ def adjust_pvalues(
 ) -> DataFrame:
     """Add ``corrected`` and ``reject``; families given by key columns are independent.
 
-    The number of tests in a family is small (one per comparison), so the
-    ordered methods use a window over the family.
+    A family may be of any size. Equal p-values get one correction (so ``ties``
+    has no influence), hence the ordered methods rank the distinct values by a
+    range sort, carry running extremes from slot to slot and join the result to
+    the rows. Rows without a p-value are in no count and get NULL.
     """
-    whole = W.partitionBy(*family)
-    ordered = whole.orderBy(F.col(p), *ties)
-    m = F.count(F.col(p)).over(whole).cast("double")
-    i = F.row_number().over(ordered)
-    x = F.col(p)
-    if method == "bonferroni":
-        value = x * m
-    elif method == "sidak":
-        value = -F.expm1(m * F.log1p(-x))
-    elif method == "holm":
-        step = df.withColumn("__raw", x * (m - i + 1))
-        running = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-        return _rejected(step, F.max("__raw").over(running), alpha).drop("__raw")
-    elif method in ("fdr_bh", "fdr_by"):
-        step = df.withColumn("__m", m).withColumn("__i", i)
-        harmonic = F.sum(F.when(F.col("__i") <= F.col("__m"), 1.0 / F.col("__i"))).over(whole)
-        raw = x * F.col("__m") / F.col("__i")
-        step = step.withColumn("__raw", raw * harmonic if method == "fdr_by" else raw)
-        later = ordered.rowsBetween(W.currentRow, W.unboundedFollowing)
-        return _rejected(step, F.min("__raw").over(later), alpha).drop("__raw", "__m", "__i")
-    else:
+    if method not in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by"):
         raise ValueError(f"unknown method {method!r}")
-    return _rejected(df, value, alpha)
+    keys = [f"__f{i}" for i in range(len(family))]
+    named = df.select(*[F.col(c).alias(k) for c, k in zip(family, keys, strict=True)], number(p).alias("__p")).where("__p IS NOT NULL")
+    counts = named.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__m"))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(family, keys, strict=True)]
+    if method in ("bonferroni", "sidak"):
+        x, m = number(p), F.col("__m")
+        value = x * m if method == "bonferroni" else -F.expm1(m * F.log1p(-x))
+        rows = df.join(small_side(counts), reduce(and_, same), "left") if family else df.withColumn("__m", counts.select("__m").scalar())
+        return _rejected(rows, value, alpha).drop("__m", *keys)
+    ranked = ranked_values(named, "__p", keys)
+    if family:
+        both = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+        ranked = ranked.alias("r").join(counts.alias("c"), reduce(and_, both)).select("r.*", "__m")
+    else:
+        ranked = ranked.withColumn("__m", counts.select("__m").scalar())
+    x, m = F.col("value"), F.col("__m")
+    if method == "holm":  # the first of equal values has the largest product, the last the smallest ratio
+        table = running_extreme(ranked.withColumn("__raw", x * (m - F.col("first") + 1)), "value", "__raw", "max", keys)
+    else:
+        raw = x * m / F.col("last") * (_harmonic(m) if method == "fdr_by" else F.lit(1.0))
+        table = running_extreme(ranked.withColumn("__raw", raw), "value", "__raw", "min", keys)
+    table = small_side(table.select(*keys, F.col("value").alias("__value"), "extreme"))
+    rows = df.join(table, reduce(and_, [*same, number(p) == F.col("__value")]), "left")
+    return _rejected(rows, F.col("extreme"), alpha).drop("extreme", "__value", *keys)
+
+
+def _harmonic(m: Column) -> Column:
+    """1 + 1/2 + … + 1/m: added up to 32, beyond by the asymptotic series (exact to 1e-14)."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(32.0)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i)
+    euler = 0.5772156649015329
+    many = F.log(m) + euler + 1.0 / (2.0 * m) - 1.0 / (12.0 * m * m) + 1.0 / (120.0 * m * m * m * m)
+    return F.when(m <= 32, few).otherwise(many)
 
 
 def _rejected(df: DataFrame, corrected: Column, alpha: float) -> DataFrame:
-    return df.withColumn("corrected", F.least(corrected, F.lit(1.0))).withColumn(
+    limited = F.when(corrected.isNotNull(), F.least(corrected, F.lit(1.0)))
+    return df.withColumn("corrected", limited).withColumn(
         "reject", F.col("corrected") <= alpha
     )
 

@@ -296,6 +296,30 @@ def running_totals(
     )
 
 
+def running_extreme(
+    table: DataFrame, order: str, column: str, kind: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``extreme``: running ``max`` from the start, or ``min`` from the end, along unique ``order`` values, per ``by`` key.
+
+    As in :func:`running_totals`, rows are range-sorted into slots, and only one
+    row per slot is put in a single ordering; its extreme is carried to the
+    slots behind (``max``) or in front (``min``).
+    """
+    take, best = {"max": (F.max, F.greatest), "min": (F.min, F.least)}[kind]
+    slots = durable(
+        table.repartitionByRange(*by, order).withColumn("slot", F.spark_partition_id())
+    )
+    keys = [*by, "slot"]
+    if kind == "max":
+        far, near = (W.unboundedPreceding, -1), (W.unboundedPreceding, W.currentRow)
+    else:
+        far, near = (1, W.unboundedFollowing), (W.currentRow, W.unboundedFollowing)
+    carried = take("__own").over(W.partitionBy(*by).orderBy("slot").rowsBetween(*far))
+    ends = slots.groupBy(*keys).agg(take(column).alias("__own")).select(*keys, carried.alias("__end"))
+    inside = take(column).over(W.partitionBy(*keys).orderBy(order).rowsBetween(*near))
+    return slots.join(ends, keys).withColumn("extreme", best(inside, "__end")).select(*table.columns, "extreme")
+
+
 def ranked_values(
     df: DataFrame, column: str, by: Sequence[str] = (), own_type: bool = False
 ) -> DataFrame:
