@@ -299,10 +299,11 @@ def adjust_pvalues(
     """
     if method not in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by"):
         raise ValueError(f"unknown method {method!r}")
-    keys = [f"__f{i}" for i in range(len(family))]
-    named = df.select(*[F.col(c).alias(k) for c, k in zip(family, keys, strict=True)], number(p).alias("__p")).where("__p IS NOT NULL")
+    keys = ["__family"] if family else []  # one text, never null: rows without a key are a family as well
+    own = F.to_json(F.struct(*family)) if family else None
+    named = df.select(*[own.alias(k) for k in keys], number(p).alias("__p")).where("__p IS NOT NULL")
     counts = named.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__m"))
-    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(family, keys, strict=True)]
+    same = [own == F.col(k) for k in keys]
     if method in ("bonferroni", "sidak"):
         x, m = number(p), F.col("__m")
         value = x * m if method == "bonferroni" else -F.expm1(m * F.log1p(-x))
@@ -310,8 +311,7 @@ def adjust_pvalues(
         return _rejected(rows, value, alpha).drop("__m", *keys)
     ranked = ranked_values(named, "__p", keys)
     if family:
-        both = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-        ranked = ranked.alias("r").join(counts.alias("c"), reduce(and_, both)).select("r.*", "__m")
+        ranked = ranked.join(counts, keys)
     else:
         ranked = ranked.withColumn("__m", counts.select("__m").scalar())
     x, m = F.col("value"), F.col("__m")
