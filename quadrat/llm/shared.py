@@ -6,6 +6,8 @@ import ctypes
 import gc
 import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,35 @@ def keep_freed_memory() -> None:
             libc.mallopt(-3, 32 << 20)
 
 
+_recorded: list[str] = []  # tables of the pipeline's stages that are still there
+_recording: list[bool] = []  # not empty inside a stage whose result is written before the next one begins
+
+
+@contextmanager
+def stage_tables(docs: DataFrame, first: bool, last: bool) -> Iterator[None]:
+    """A stage of a pipeline that writes each stage's result before the next one begins.
+
+    The tables of the stages before are deleted, except those that ``docs``
+    still reads. The first stage deletes none, and the last one's stay until the
+    session ends, as its result may be read at any time.
+    """
+    if not first:
+        needed = docs.inputFiles()
+        spark = docs.sparkSession
+        for path in list(_recorded):
+            if not any(path.rsplit("/", 1)[1] in file for file in needed):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+                _recorded.remove(path)
+    if not last:
+        _recording.append(True)
+    try:
+        yield
+    finally:
+        if not last:
+            _recording.pop()
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -46,6 +77,8 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if _recording:
+        _recorded.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
