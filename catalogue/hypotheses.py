@@ -16,7 +16,7 @@ gm AS (SELECT avg({y}) AS gm FROM {source}),
 s AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * (m - gm) * (m - gm)) AS ssb, sum((n - 1) * v) AS ssw FROM g, gm)"""
 
 
-def simpson(expression: str, step: float, n: int) -> str:
+def simpson(expression: str, step: float | str, n: int) -> str:
     """Simpson's rule over ``u`` from 0 in ``n`` (even) steps; ``expression`` is a format of u."""
     weight = f"CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
     return f"list_sum([{weight} * {expression.format(u=f'(i * {step})')} for i in range(0, {n + 1})]) * {step} / 3"
@@ -71,6 +71,16 @@ def anova_unbalanced(t):
     return hypotheses.anova_unbalanced(t("events"), "value", ["event_type"])
 
 
+def f_tail_of_one(f: str, d: str) -> str:
+    """Upper tail of F with 1 and ``d`` degrees of freedom: one less the t density's integral up to the root of F.
+
+    ``f_tail`` has a singular end there when F is near 0.
+    """
+    scale = f"exp(lgamma(({d} + 1) / 2.0) - lgamma({d} / 2.0)) / sqrt({d} * pi())"
+    density = f"exp(-({d} + 1) / 2.0 * ln(1 + {{u}} * {{u}} / {d}))"
+    return f"greatest(1 - 2 * {scale} * {simpson(density, f'(sqrt({f}) / 4000)', 4000)}, 0)"
+
+
 def orthogonal(table: str, columns: list[str]) -> str:
     """The cells with columns ``q0, q1, …``: Gram-Schmidt of 0/1 columns, weighted by ``n``; 0 where nothing is left."""
     for j, x in enumerate(columns):
@@ -111,7 +121,8 @@ w AS (SELECT CAST(sum(n) - count(*) AS BIGINT) AS d2, sum((n - 1) * v) AS w FROM
 e AS ({" UNION ALL ".join(effects)}),
 t AS (SELECT *, sum(ss) OVER () AS total, CASE WHEN d1 > 0 THEN ss / d1 / (w / d2) END AS f FROM e, w)
 SELECT source, CAST(d1 AS BIGINT) AS df, round(ss, 4) + 0.0 AS sum_sq, round(CASE WHEN d1 > 0 THEN ss / d1 END, 4) + 0.0 AS mean_sq,
-  round(f, 4) + 0.0 AS f, round({f_tail("f", "d1", "d2")}, 4) + 0.0 AS p, round(ss / ({whole}), 4) + 0.0 AS effect FROM t
+  round(f, 4) + 0.0 AS f, round(CASE WHEN d1 = 1 THEN {f_tail_of_one("f", "d2")} WHEN d1 > 1 THEN {f_tail("f", "d1", "d2")} END, 4) + 0.0 AS p,
+  round(ss / ({whole}), 4) + 0.0 AS effect FROM t
 UNION ALL SELECT 'Residual', d2, round(w, 4) + 0.0, round(w / d2, 4) + 0.0, NULL, NULL, NULL FROM w"""
 
 
