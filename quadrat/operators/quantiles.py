@@ -303,20 +303,19 @@ def running_extreme(
 
     As in :func:`running_totals`, rows are range-sorted into slots, and only one
     row per slot is put in a single ordering; its extreme is carried to the
-    slots behind (``max``) or in front (``min``).
+    slots behind (``max``) or in front (``min``). A ``min`` from the end runs
+    along the falling order: Spark goes over a frame that reaches the end of its
+    partition again for every row, but only once over one that begins there.
     """
     take, best = {"max": (F.max, F.greatest), "min": (F.min, F.least)}[kind]
     slots = durable(
         table.repartitionByRange(*by, order).withColumn("slot", F.spark_partition_id())
     )
     keys = [*by, "slot"]
-    if kind == "max":
-        far, near = (W.unboundedPreceding, -1), (W.unboundedPreceding, W.currentRow)
-    else:
-        far, near = (1, W.unboundedFollowing), (W.currentRow, W.unboundedFollowing)
-    carried = take("__own").over(W.partitionBy(*by).orderBy("slot").rowsBetween(*far))
+    along = F.asc if kind == "max" else F.desc
+    carried = take("__own").over(W.partitionBy(*by).orderBy(along("slot")).rowsBetween(W.unboundedPreceding, -1))
     ends = slots.groupBy(*keys).agg(take(column).alias("__own")).select(*keys, carried.alias("__end"))
-    inside = take(column).over(W.partitionBy(*keys).orderBy(order).rowsBetween(*near))
+    inside = take(column).over(W.partitionBy(*keys).orderBy(along(order)).rowsBetween(W.unboundedPreceding, W.currentRow))
     return slots.join(ends, keys).withColumn("extreme", best(inside, "__end")).select(*table.columns, "extreme")
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from quadrat.operators.hypotheses import adjust_pvalues
+from quadrat.operators.quantiles import running_extreme
 
 
 def by_rule(p: np.ndarray, method: str) -> np.ndarray:
@@ -49,6 +50,18 @@ def test_harmonic_number_of_a_large_family(spark):
     np.testing.assert_allclose(got.corrected, by_rule(got.p.to_numpy(), "fdr_by"), rtol=1e-12)
 
 
+def test_extremes_from_the_end_take_one_pass(spark):
+    """No window reaches the end of its partition, which Spark would go over again for every row."""
+    rows = spark.range(60_000).selectExpr("id", "(id * 7919) % 60000 AS v").repartition(5)
+    for kind, rule in (("min", np.minimum), ("max", np.maximum)):
+        out = running_extreme(rows, "id", "v", kind)
+        assert "FOLLOWING" not in out._jdf.queryExecution().toString().upper()
+        got = out.orderBy("id").toPandas()
+        v = got.v.to_numpy()
+        want = rule.accumulate(v[::-1])[::-1] if kind == "min" else rule.accumulate(v)
+        np.testing.assert_array_equal(got.extreme, want)
+
+
 def test_no_rows_and_unknown_method(spark):
     none = spark.range(0).selectExpr("id", "CAST(id AS double) AS p")
     for method in ("sidak", "holm", "fdr_by"):
