@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.operators.durable import small_side
+from quadrat.operators.durable import durable, small_side
 from quadrat.operators.neighbours import as_points, nearest
 from quadrat.operators.sampling import hashed_rank
 
@@ -61,7 +61,7 @@ def _synthesise(
     extended. Each seed makes its even share; the remainder goes to the rows
     first in hash order.
     """
-    seeds = seeds.filter(F.size("found") > 0)
+    seeds = durable(seeds.filter(F.size("found") > 0))  # counted and ranked: searched once
     sizes = _class_sizes(df, target).select(F.col("__class").cast("string").alias("label"), "__size")
     largest = sizes.agg(F.max("__size")).scalar()
     counts = seeds.groupBy("label").agg(F.count(F.lit(1)).alias("__seeds")).join(sizes, "label")
@@ -137,6 +137,8 @@ def smote(
     ``enn`` cleans the regular result with :func:`edited_neighbours`.
     Where a kind selects no row of a class, all rows of the class are extended.
     """
+    # Only these columns are used, many times over: what they are made from is read once.
+    df = durable(df.select(*dict.fromkeys([key, target, *columns])))
     points = as_points(df, key, columns, target)
     queries = _minority(points)
     if kind in ("regular", "enn"):
@@ -154,7 +156,7 @@ def smote(
         raise ValueError(f"unknown kind {kind!r}")
     made = _synthesise(seeds, df, target, key, columns, seed)
     both = _with_synthetic(df, made, target, key, columns)
-    return edited_neighbours(both, target, key, columns) if kind == "enn" else both
+    return edited_neighbours(durable(both), target, key, columns) if kind == "enn" else both
 
 
 def _or_all(chosen: DataFrame, queries: DataFrame) -> DataFrame:

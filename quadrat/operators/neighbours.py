@@ -11,25 +11,44 @@ from pyspark.sql import types as T
 from quadrat.operators.durable import durable
 
 #: Points that pivots are drawn from, most pivots, points aimed at per pivot.
-PIVOT_SAMPLE, MOST_PIVOTS, PER_PIVOT = 2000, 256, 1000
+PIVOT_SAMPLE, MOST_PIVOTS, PER_PIVOT = 2000, 2000, 1000
+#: Distances a task holds at a time.
+BLOCK = 1_000_000
 #: Most points a task holds; a larger cell is dealt over more slices.
 SLICE = 4096
 
 NEIGHBOURS = "id string, vector array<double>, label string, found array<struct<distance double, id string, vector array<double>, label string>>"
 
 
+def _squares(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs, one dimension at a time."""
+    out = np.zeros((len(q), len(vectors)))
+    for d in range(q.shape[1]):
+        out += np.subtract.outer(q[:, d], vectors[:, d]) ** 2
+    return out
+
+
 def _search(query, ids, vectors, labels, k: int) -> list[list[dict]]:
     """The k nearest points of each query row, itself excluded."""
     q = np.stack(query["vector"].to_numpy())
-    step = max(1, 4_000_000 // max(1, vectors.size))
+    names = query["id"].to_numpy()
+    own = {}
+    for j, name in enumerate(ids):
+        own.setdefault(name, []).append(j)
+    step = max(1, BLOCK // len(ids))
     out = []
     for start in range(0, len(q), step):
-        block = q[start:start + step]
-        gap = ((block[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)
+        gap = _squares(q[start:start + step], vectors)
+        for i, row in enumerate(gap):
+            same = own.get(names[start + i])
+            if same:
+                row[same] = np.inf
+        top = min(k, len(ids))
+        edges = np.partition(gap, top - 1, axis=1)[:, :top]
+        counts = np.isfinite(edges).sum(axis=1)
         for i, row in enumerate(gap):
-            row[ids == query["id"].iat[start + i]] = np.inf
-            m = min(k, int(np.isfinite(row).sum()))
-            edge = np.partition(row, m - 1)[m - 1] if m else -1.0
+            m = int(counts[i])
+            edge = edges[i, :m].max() if m else -1.0
             near = sorted(np.flatnonzero(row <= edge), key=lambda j: (row[j], ids[j]))[:m]
             out.append(
                 [
@@ -74,7 +93,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, seed: int = 42) -> Da
     go to the cell of their nearest pivot. A query looks through its own cell,
     which bounds its k-th distance, and then only through cells that can hold a
     closer point: those whose pivot is no farther than that distance and the
-    cell's radius together. Crowded cells are dealt over slices of about 4,096
+    cell's radius together, and whose border with the own cell is no farther
+    than that distance. Crowded cells are dealt over slices of about 4,096
     points, so no task holds more.
     """
     columns = ["id", "vector", "label"]
@@ -88,15 +108,17 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, seed: int = 42) -> Da
     wanted = min(MOST_PIVOTS, -(-total // PER_PIVOT))
     pivots = np.unique(np.array([r["vector"] for r in drawn[:wanted]], float), axis=0)
 
-    def gaps(vectors: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.stack([((vectors - p) ** 2).sum(axis=1) for p in pivots], axis=1))
+    def blocks(batches):
+        step = max(1, BLOCK // len(pivots))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start:start + step].copy()
+                yield part, np.sqrt(_squares(np.stack(part["vector"].to_numpy()), pivots))
 
     def place(batches):
-        for batch in batches:
-            if len(batch):
-                gap = gaps(np.stack(batch["vector"].to_numpy()))
-                batch["cell"], batch["gap"] = gap.argmin(axis=1), gap.min(axis=1)
-                yield batch
+        for part, gap in blocks(batches):
+            part["cell"], part["gap"] = gap.argmin(axis=1), gap.min(axis=1)
+            yield part
 
     schema = "id string, vector array<double>, label string, cell int, gap double"
     placed = points.mapInPandas(place, schema)
@@ -111,23 +133,26 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, seed: int = 42) -> Da
     bounds = queries.join(first.select("id", bound.alias("bound")), "id", "left").fillna({"bound": float("inf")})
     radius = np.array([sizes[c]["radius"] if c in sizes else -np.inf for c in range(len(pivots))])
 
+    apart = np.sqrt(_squares(pivots, pivots))
+
     def others(batches):
-        for batch in batches:
-            if len(batch):
-                gap = gaps(np.stack(batch["vector"].to_numpy()))
-                far = batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + radius + 1e-12
-                go = (gap <= far) & np.isfinite(radius)
-                go[np.arange(len(batch)), gap.argmin(axis=1)] = False
-                row, cell = np.nonzero(go)
-                out = batch.iloc[row][columns].copy()
-                out["cell"], out["gap"] = cell, 0.0
-                yield out
+        for part, gap in blocks(batches):
+            bound = part["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+            home = gap.argmin(axis=1)
+            # A cell lies beyond the plane half-way between its pivot and the own one.
+            beyond = gap**2 - gap.min(axis=1)[:, None] ** 2 - 1e-9 * gap**2
+            go = (gap <= bound + radius) & (beyond <= 2 * bound * apart[home]) & np.isfinite(radius)
+            go[np.arange(len(part)), home] = False
+            row, cell = np.nonzero(go)
+            out = part.iloc[row][columns].copy()
+            out["cell"], out["gap"] = cell, 0.0
+            yield out
 
     rest = bounds.mapInPandas(others, schema).withColumn("slice", every)
     merged = _merged(first.unionByName(_in_cells(placed, rest, k)), k)
     alone = queries.join(merged.select("id"), "id", "left_anti")
     none = F.array().cast(merged.schema["found"].dataType)
-    return merged.unionByName(alone.withColumn("found", none))
+    return durable(merged.unionByName(alone.withColumn("found", none)))
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:

@@ -231,3 +231,41 @@ def test_preparer_fills_and_scales(blobs, scaler):
     assert table["a"].notna().all() and set(table["colour"]) == {0.0, 1.0}
     unseen = model.table(rows.withColumn("colour", F.lit("green"))).toPandas()
     assert set(unseen["colour"]) == {-1.0}
+
+
+def counted_reads(df, column):
+    """The table with a column that adds up the rows evaluated."""
+    total = df.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        total.add(1)
+        return v
+
+    return df.withColumn(column, seen.asNondeterministic()(column)), total
+
+
+@pytest.mark.parametrize("kind", ["kmeans", "enn"])
+def test_synthetic_rows_read_their_input_once(blobs, kind):
+    rows, total = counted_reads(blobs.dropna(), FEATURES[0])
+    count = blobs.dropna().count()
+    balancing.smote(rows, "label", "key", FEATURES, k=3, kind=kind, clusters=2).collect()
+    assert total.value == count
+
+
+def test_cells_far_from_the_bound_are_not_searched(spark, monkeypatch):
+    """Points on a line: a query looks at few cells, and there are as many as the points need."""
+    monkeypatch.setattr(neighbours, "PER_PIVOT", 4)
+    asked = []
+    whole = neighbours._in_cells
+
+    def in_cells(points, asked_rows, k):
+        asked.append(asked_rows.count())
+        return whole(points, asked_rows, k)
+
+    monkeypatch.setattr(neighbours, "_in_cells", in_cells)
+    line = spark.range(1600).selectExpr("CAST(id AS string) AS id", "array(CAST(id AS double), 0D) AS vector", "'a' AS label")
+    found = {int(r["id"]): [int(n["id"]) for n in r["found"]] for r in neighbours.nearest(line, line, 2).collect()}
+    assert all(set(found[i]) == {i - 1, i + 1} for i in range(1, 1599))
+    assert asked[0] == 1600 and asked[1] < 4 * 1600
+    assert neighbours.MOST_PIVOTS >= 400
