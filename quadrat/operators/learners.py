@@ -120,6 +120,10 @@ LEARNERS = (
 )
 
 
+#: Classes that one-against-rest learners fit at a time; the models do not depend on it.
+CLASSES_AT_ONCE = 2
+
+
 def base_learners(label: str = "label", seed: int = 42) -> dict[str, Estimator]:
     """The learners by name, with their usual settings."""
     return {
@@ -128,14 +132,16 @@ def base_learners(label: str = "label", seed: int = 42) -> dict[str, Estimator]:
         ),
         "gradient_boosting": OneVsRest(
             classifier=GBTClassifier(maxDepth=4, stepSize=0.05, maxIter=100, seed=seed),
-            labelCol=label,
+            labelCol=label, parallelism=CLASSES_AT_ONCE,
         ),
         "naive_bayes": NaiveBayes(labelCol=label, modelType="gaussian"),
         "linear_discriminant": LinearDiscriminant(labelCol=label),
         "decision_tree": DecisionTreeClassifier(
             labelCol=label, maxDepth=3, minInstancesPerNode=20, impurity="gini", seed=seed
         ),
-        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=100), labelCol=label),
+        "linear_svm": OneVsRest(
+            classifier=LinearSVC(maxIter=100), labelCol=label, parallelism=CLASSES_AT_ONCE
+        ),
         "logistic_regression": LogisticRegression(labelCol=label, maxIter=100),
     }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import keyword_only
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.columns import categorical_names, is_missing, number, numeric_names
 from quadrat.operators import balancing, features
-from quadrat.operators.calibration import CalibratedClassifier
+from quadrat.operators.calibration import PARALLEL, CalibratedClassifier
 from quadrat.operators.durable import durable
 from quadrat.operators.learners import base_learners
 from quadrat.operators.multivariate import Components, pca_fit, pca_scores
@@ -440,7 +441,9 @@ class VotingClassifier(Estimator, Nested):
         members = self.members
         if self.voting == "soft":
             members = [with_probabilities(m, self.key, self.method) for m in members]
-        fitted = [numbered(m, i).fit(dataset) for i, m in enumerate(members)]
+        dataset = durable(dataset)  # each member goes over the rows many times
+        with ThreadPool(min(len(members), PARALLEL)) as pool:
+            fitted = pool.map(lambda at: numbered(at[1], at[0]).fit(dataset), list(enumerate(members)))
         return PipelineModel([*fitted, VoteCombiner(members=len(fitted), voting=self.voting)])
 
 

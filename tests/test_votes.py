@@ -212,3 +212,14 @@ def test_search_over_parts_equals_single_fits(three):
         "random_forest": 2 * distinct("scaler", "resampler", "trees", "depth", "leaf"),
         "naive_bayes": 2 * distinct("scaler", "resampler"),
     }
+
+
+def test_members_fit_on_rows_read_once(three):
+    from tests.test_models import counted_reads
+
+    rows, total = counted_reads(three, "a")
+    count = three.count()
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    every = learners.base_learners()
+    stages.VotingClassifier([every[n] for n in ("naive_bayes", "linear_discriminant", "decision_tree")], "soft", "key").fit(ready)
+    assert total.value == count
