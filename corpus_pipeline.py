@@ -34,7 +34,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id (null ids last), of each group of near-duplicates.
 
-    Texts whose five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+    Texts whose five-word shingles have a Jaccard similarity of 0.8 or more are
+    linked: pairs near by SimHash first, then those that it leaves apart.
     """
     rows = numbered(docs)
     groups = near_copies.near_copy_groups(rows, ROW).select(ROW, F.col("component_id").alias("group"))

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm import simhash
 from quadrat.llm.graph import components
-from quadrat.llm.shared import keep_freed_memory, words_of, written
+from quadrat.llm.shared import free_shuffles, keep_freed_memory, words_of, written
 
 SHINGLE, SEED = 5, 42
 #: Least similarity of a link, as a fraction; whole numbers keep the comparison exact.
@@ -236,28 +237,49 @@ def verified(rows: DataFrame, key: str, text: str, nodes: DataFrame, pairs: Data
     return written(common.join(pairs, ["a", "b"]).where(fine).select("a", "b"))
 
 
+def fingerprint_pairs(rows: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes that SimHash links: each with the least node of its fingerprint, and these along the spanning stars."""
+    prints = simhash.fingerprints(rows, key, text).withColumnRenamed("key", "node")
+    named = written(nodes.select("node").join(prints, "node"))
+    heads = written(named.groupBy("fp").agg(F.min("node").alias("head")))
+    same = named.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    ends = {c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"}
+    stars = simhash.near_links(heads.select("fp")).join(ends["a"], "a").join(ends["b"], "b")
+    both = same.unionByName(stars.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
+    return written(both.distinct())
+
+
 def near_copy_groups(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, component_id`` (smallest key) of every text; texts of Jaccard similarity 0.8 or more are linked.
 
     Similarity is that of the sets of 64-bit hashes of all five-word shingles
-    (A-Z lower-cased). Equal sets are one node. No link is lost: prefixes of two
-    similar sets meet in some shingle, and the filters on sizes, places and
-    sketches only rule out pairs that cannot be similar; what is left is
-    checked on the whole sets. Long runs are first linked through a few pivots,
-    so that pairs already connected are not compared. Texts without words are
-    one node. Keys are distinct whole numbers, not null.
+    (A-Z lower-cased). Equal sets are one node. SimHash comes first: pairs whose
+    fingerprints differ in at most 4 bits are checked on the whole sets and
+    linked. It finds most close copies, but a similarity of 0.8 means about ten
+    differing bits, so the rest, only of nodes not yet connected, is found by
+    prefixes. No link is lost: prefixes of two similar sets meet in some
+    shingle, and the filters on sizes, places and sketches only rule out pairs
+    that cannot be similar; what is left is checked on the whole sets. Long runs
+    are first linked through a few pivots, so that pairs already connected are
+    not compared. Texts without words are one node. Keys are distinct whole
+    numbers, not null.
     """
     marked = written(marks(rows, key, text, frequent_shingles(rows, key, text)))
     nodes = marked.groupBy("digest").agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "wide")])
     nodes = written(nodes)
-    placed = nodes.select("node", "n", "sketch", F.posexplode("prefix").alias("place", "hash"))
-    found = written(candidates(placed.withColumn("component", F.col("node")), False).distinct())
-    links = verified(rows, key, text, nodes, found.where("b >= 0"))
+    links = verified(rows, key, text, nodes, fingerprint_pairs(rows, key, text, nodes))
+    plain = nodes.select("node", "n", "sketch", F.posexplode("prefix").alias("place", "hash"))
+
+    def placed() -> DataFrame:
+        label = written(components(links))
+        free_shuffles(rows.sparkSession)
+        return plain.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    found = written(candidates(placed(), False).distinct())
+    links = links.unionByName(verified(rows, key, text, nodes, found.where("b >= 0")))
     long_runs = written(found.where("b < 0").select(F.col("a").alias("hash")))
     if not long_runs.isEmpty():
-        label = components(links)
-        rest = placed.join(long_runs, "hash", "left_semi").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = written(candidates(rest, True).distinct())
+        more = written(candidates(placed().join(long_runs, "hash", "left_semi"), True).distinct())
         links = links.unionByName(verified(rows, key, text, nodes, more))
     named = nodes.select("digest", "node").join(components(links), "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("component_id"))

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quadrat.llm import graph, near_copies
+from quadrat.llm import graph, near_copies, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -49,3 +49,22 @@ def test_stage_goes_by_similarity(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     assert brute_groups(dict(rows)) == {1: 1, 2: 1, 3: 3}
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]
+
+
+def test_stage_links_by_simhash_first(spark, monkeypatch):
+    """Close copies are linked by their fingerprints, so the prefixes have no pair left to check."""
+    base = [f"w{i}" for i in range(600)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:300], "new", *base[301:]]), 3: " ".join(f"v{i}" for i in range(300))}
+    apart = (simhash.fingerprint(texts[1]) ^ simhash.fingerprint(texts[2])) & (1 << 64) - 1
+    assert 0 < apart.bit_count() <= simhash.THRESHOLD
+    checked = []
+    whole = near_copies.verified
+
+    def verified(rows, key, text, nodes, pairs):
+        checked.append(pairs.count())
+        return whole(rows, key, text, nodes, pairs)
+
+    monkeypatch.setattr(near_copies, "verified", verified)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]
+    assert checked == [1, 0]
