@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,15 @@ def keep_freed_memory() -> None:
             libc.mallopt(-3, 32 << 20)
 
 
+def give_back_memory() -> None:
+    """Hand this process's freed memory back to the system; glibc otherwise keeps most of it. Elsewhere nothing happens."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 _recorded: list[str] = []  # tables of the pipeline's stages that are still there
 _recording: list[bool] = []  # not empty inside a stage whose result is written before the next one begins
 

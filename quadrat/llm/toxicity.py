@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.shared import words_of
+from quadrat.llm.shared import give_back_memory, words_of
 
 BUCKETS, DIMENSIONS = 1 << 20, 8
 GRAMS = (3, 4, 5, 6)
@@ -102,8 +102,9 @@ def fit(texts: list[str | None], labels: list[int]) -> SubwordModel:
         every = np.concatenate([np.zeros(0, np.int64), *parts])
         times = np.repeat(list(words.values()), sizes).astype(float)
         at, place = np.unique(every, return_inverse=True)
-        share = np.bincount(place, times, len(at)) / (times.sum() + BLANK)
-        bags.append((at, share))
+        found = np.bincount(place, times, len(at)).astype(np.int64)
+        # Whole counts in the narrowest type: all bags are held at a time, on the driver.
+        bags.append((at.astype(np.int32), found.astype(np.min_scalar_type(found.max(initial=0))), times.sum() + BLANK))
         having[label, at] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()])[:, None]
     rate = having.sum(0) / n.sum()
@@ -112,9 +113,10 @@ def fit(texts: list[str | None], labels: list[int]) -> SubwordModel:
     column = np.full(BUCKETS, -1)
     column[kept] = np.arange(len(kept))
     x = np.zeros((len(y), len(kept)))
-    for row, (at, share) in enumerate(bags):
+    for row, (at, found, size) in enumerate(bags):
         hit = column[at] >= 0
-        x[row, column[at[hit]]] = share[hit]
+        x[row, column[at[hit]]] = found[hit].astype(float) / size
+    del bags, known, having
     scale = 1 / np.maximum(np.sqrt((x * x).mean(0)), 1e-12)
     x *= scale
 
@@ -153,7 +155,10 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str
         F.broadcast(chosen[0].unionByName(chosen[1])), "key"
     )
     got = picked.dropDuplicates(["key"]).orderBy("key").toPandas()  # bounded by 2 * rows documents
-    return fit(got["text"].tolist(), [int(x) for x in got["label"]])
+    model = fit(got["text"].tolist(), [int(x) for x in got["label"]])
+    del got
+    give_back_memory()
+    return model
 
 
 def score_toxicity(

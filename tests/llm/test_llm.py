@@ -244,6 +244,23 @@ def test_toxicity_learns(spark, none):
     assert toxicity.score_toxicity(df, toxicity.fit_rows(df, labels)).count() == 3
     assert toxicity.score_toxicity(none, toxicity.fit_rows(none, labels)).count() == 0
 
+def test_fit_keeps_narrow_bags_only():
+    """What fitting holds at a time for each bucket of a bag is its number and a small count."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(20_000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(300)]
+    tracemalloc.start()
+    tracemalloc.reset_peak()
+    toxicity.fit(texts[:1], [1])
+    base = tracemalloc.get_traced_memory()[0]
+    toxicity.fit(texts, [i % 2 for i in range(300)])
+    peak = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    buckets = 300 * 400 * 22
+    assert peak < buckets * 16 + 40e6  # 100 MB with numbers and shares of 8 bytes each, 71 MB now
+
 
 # 6 simhash
 
