@@ -141,7 +141,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, seed: int = 42) -> Da
             home = gap.argmin(axis=1)
             # A cell lies beyond the plane half-way between its pivot and the own one.
             beyond = gap**2 - gap.min(axis=1)[:, None] ** 2 - 1e-9 * gap**2
-            go = (gap <= bound + radius) & (beyond <= 2 * bound * apart[home]) & np.isfinite(radius)
+            with np.errstate(invalid="ignore"):  # the own cell, unbounded: no distance times infinity
+                go = (gap <= bound + radius) & (beyond <= 2 * bound * apart[home]) & np.isfinite(radius)
             go[np.arange(len(part)), home] = False
             row, cell = np.nonzero(go)
             out = part.iloc[row][columns].copy()

@@ -244,6 +244,7 @@ def test_toxicity_learns(spark, none):
     assert toxicity.score_toxicity(df, toxicity.fit_rows(df, labels)).count() == 3
     assert toxicity.score_toxicity(none, toxicity.fit_rows(none, labels)).count() == 0
 
+
 def test_fit_keeps_narrow_bags_only():
     """What fitting holds at a time for each bucket of a bag is its number and a small count."""
     import tracemalloc
