@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.llm import simhash
@@ -20,8 +22,12 @@ NUMERATOR, DENOMINATOR = 4, 5
 SAMPLE_ROWS, MOST_FREQUENT = 5000, 200_000
 #: Members of a run that are all compared at once; of a larger run, each meets this many pivots first.
 SMALL_RUN, PIVOTS = 16, 4
+#: Times that the shingles of long runs are moved to the end of the order.
+ROUNDS = 2
 SKETCH, SLICE = 256, 512
-PAIRS = 500_000
+PAIRS = 200_000
+#: Smallest shingles of a node that its rows carry, to name a pair at one of its common shingles only.
+LEAST, NONE = 16, (1 << 63) - 1
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -66,6 +72,17 @@ def frequent_shingles(rows: DataFrame, key: str, text: str) -> tuple[np.ndarray,
     return h[order], top["count"].to_numpy(np.int64)[order]
 
 
+def first_shingles(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The prefix of a set: its first n - ceil(0.8 n) + 1 members, the frequent ones last in the order, else by value."""
+    names, weights = frequent
+    n = len(h)
+    weight = np.zeros(n, np.int64)
+    if len(names) and n:
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        weight = np.where(names[at] == h, weights[at], 0)
+    return h[np.argsort(weight, kind="stable")[: n + NUMERATOR * -n // DENOMINATOR + 1 if n else 0]].view(np.int64)
+
+
 def marks(rows: DataFrame, key: str, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``key, digest, n, prefix, sketch, wide`` of every text.
 
@@ -77,23 +94,14 @@ def marks(rows: DataFrame, key: str, text: str, frequent: tuple[np.ndarray, np.n
     """
     from hashlib import blake2b
 
-    names, counts = frequent
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
         for batch in batches:
             out = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t)
-                n = len(h)
-                weight = np.zeros(n, np.int64)
-                if len(names) and n:
-                    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                    weight = np.where(names[at] == h, counts[at], 0)
-                order = np.argsort(weight, kind="stable")
-                first = n + NUMERATOR * -n // DENOMINATOR + 1 if n else 0
                 parity = (np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
-                for column, value in zip(out, (blake2b(h.tobytes(), digest_size=16).digest(), n, h[order[:first]].view(np.int64), np.packbits(parity).tobytes(), wide_sketch(h))):
+                for column, value in zip(out, (blake2b(h.tobytes(), digest_size=16).digest(), len(h), first_shingles(h, frequent), np.packbits(parity).tobytes(), wide_sketch(h))):
                     column.append(value)
             arrays = [batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "n", "prefix", "sketch", "wide"])
@@ -102,6 +110,64 @@ def marks(rows: DataFrame, key: str, text: str, frequent: tuple[np.ndarray, np.n
     return plain.mapInArrow(run, "key long, digest binary, n int, prefix array<long>, sketch binary, wide binary")
 
 
+def settled_prefixes(rows: DataFrame, key: str, text: str, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``node, prefix`` in an order that puts the shingles of long runs last, by their counts in the prefixes of all nodes.
+
+    A sample only shows shingles of a fixed share of the texts, whose runs grow
+    with the input. Shingles only ever move towards the end of the order, so a
+    prefix without a moved one stays as it is; the others are taken anew.
+    """
+    prefixes = nodes.select("node", "prefix")
+    moved = np.zeros(0, np.int64)
+    for _ in range(ROUNDS):
+        counts = prefixes.select(F.explode("prefix").alias("hash")).groupBy("hash").count().where(F.col("count") > SMALL_RUN)
+        top = counts.orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT + len(moved)).toPandas()  # bounded
+        h, count = top["hash"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+        new = ~np.isin(h, moved)
+        if not new.any():
+            break
+        late, moved = np.sort(h[new]), np.concatenate([moved, h[new]])
+        names, weights = np.concatenate([h[new].view(np.uint64), frequent[0]]), np.concatenate([count[new] + (1 << 40), frequent[1]])
+        names, at = np.unique(names, return_index=True)  # the first of equal names: the moved one
+        frequent = names, weights[at]
+        old = prefixes
+
+        def parted(has_late: bool, late: np.ndarray = late, old: DataFrame = old) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    lists = batch.column(1)
+                    flat = lists.flatten().to_numpy()
+                    hit = np.zeros(batch.num_rows, bool)
+                    at = np.minimum(np.searchsorted(late, flat), len(late) - 1)
+                    hit[pc.list_parent_indices(lists).to_numpy()[late[at] == flat]] = True
+                    yield batch.filter(pa.array(hit == has_late))
+
+            return old.mapInArrow(run, "node long, prefix array<long>")
+
+        def again(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.ndarray] = frequent) -> Iterator[pa.RecordBatch]:
+            keep_freed_memory()
+            for batch in batches:
+                first = [first_shingles(shingles(t), frequent) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int64()))], ["node", "prefix"])
+
+        wanted = written(parted(True).select(F.col("node").alias(key)))
+        plain = rows.join(wanted, key, "left_semi").select(F.col(key).alias("node"), F.col(text).cast("string").alias("text"))
+        prefixes = written(parted(False).unionByName(plain.mapInArrow(again, "node long, prefix array<long>")))
+    return prefixes
+
+
+def distinct_runs(runs: DataFrame) -> DataFrame:
+    """The runs (``hash, node, place, size``) without those that have the same nodes as another one.
+
+    One run of several with the same nodes is enough: the filter on places holds
+    for every common shingle, so a pair that fails it anywhere is not similar.
+    Nodes are compared by 128 bits of their hashes.
+    """
+    nodes = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    kept = runs.groupBy("hash", "size").agg(*nodes).groupBy("x", "y", "size").agg(F.min("hash").alias("hash"))
+    return written(runs.join(kept.select("hash"), "hash", "left_semi"))
+
+
 def wide_sketch(h: np.ndarray) -> bytes:
     """Parities of a set in four to eight places a member, a power of two of at least 64; halves fold into one another."""
     bits = max(64, 1 << (4 * len(h)).bit_length())
@@ -121,21 +187,29 @@ def candidates(placed: DataFrame, all_pairs: bool) -> DataFrame:
 
     With ``all_pairs`` every pair of different components is compared, else
     those of runs of at most 16; members of a larger run meet the run's four
-    smallest nodes, and the run is named by a row ``a`` = shingle, ``b`` = -1.
+    smallest nodes. A pair is left to the smallest common one of the shingles in
+    both nodes' ``least``, whose runs must be compared whole: if it does not pass
+    there, it is not similar.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
 
         def near(run: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-            _, node, n, place, component, sketch = run
+            hash_, node, n, place, component, sketch, least = run
             small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             common = np.minimum(n[x] - place[x], n[y] - place[y]) + np.minimum(place[x], place[y])
             fine = (node[x] != node[y]) & (component[x] != component[y]) & (DENOMINATOR * small >= NUMERATOR * large) & similar(common, n[x], n[y])
             x, y = x[fine], y[fine]
             apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1)
             fine = similar((n[x] + n[y] - apart) // 2, n[x], n[y])
-            a, b = node[x[fine]], node[y[fine]]
+            x, y = x[fine], y[fine]
+            first = np.ones(len(x), bool)
+            for low in range(0, len(x), PAIRS // 16):
+                u, v = x[low : low + PAIRS // 16], y[low : low + PAIRS // 16]
+                shared = least[u][:, :, None] == least[v][:, None, :]
+                first[low : low + PAIRS // 16] = ~(shared.any(2) & (least[u] < hash_[u][:, None])).any(1)
+            a, b = node[x[first]], node[y[first]]
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -157,17 +231,21 @@ def candidates(placed: DataFrame, all_pairs: bool) -> DataFrame:
                 if not all_pairs:
                     for pivot in rows[np.argsort(run[1][rows])[:PIVOTS]].tolist():
                         yield from near(run, rows, np.full(len(rows), pivot))
-                    yield pa.RecordBatch.from_arrays([pa.array(run[0][low : low + 1]), pa.array(np.array([-1]))], ["a", "b"])
                     continue
+                # Only rows outside the run's largest component, each with all rows that are near in size.
+                names, of = np.unique(run[4][low:high], return_inverse=True)
+                main = of == np.argmax(np.bincount(of))
+                n = run[2][low:high]  # ascending
+                left, after = (low + np.searchsorted(n, -(NUMERATOR * -n // DENOMINATOR)), low + np.searchsorted(n, DENOMINATOR * n // NUMERATOR, "right"))
+                others = np.flatnonzero(~main)
                 step = max(1, PAIRS // len(rows))
-                # Rows are in the order of size: no later one is near once it is too large.
-                last = np.searchsorted(run[2][low:high], DENOMINATOR * run[2][low:high] // NUMERATOR, "right") + low
-                for at in range(low, high, step):
-                    x = np.arange(at, min(at + step, high))
-                    count = last[x - low] - x - 1
-                    left = np.repeat(x, count)
-                    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-                    yield from near(run, left, right)
+                for at in range(0, len(others), step):
+                    mine = others[at : at + step]
+                    count = after[mine] - left[mine]
+                    x = np.repeat(mine + low, count)
+                    y = np.repeat(left[mine] - (np.cumsum(count) - count), count) + np.arange(len(x))
+                    once = main[y - low] | (y > x)
+                    yield from near(run, x[once], y[once])
 
         held = None
         for batch in batches:
@@ -175,6 +253,7 @@ def candidates(placed: DataFrame, all_pairs: bool) -> DataFrame:
                 continue
             now = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
             now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
+            now.append(batch.column(6).flatten().to_numpy().reshape(-1, LEAST))
             if held is not None:
                 now = [np.concatenate(c) for c in zip(held, now)]
             cut = int(np.searchsorted(now[0], now[0][-1], "left"))
@@ -184,7 +263,7 @@ def candidates(placed: DataFrame, all_pairs: bool) -> DataFrame:
         if held is not None:
             yield from paired(held)
 
-    rows = placed.select("hash", "node", "n", "place", "component", "sketch").repartition("hash").sortWithinPartitions("hash", "n", "node")
+    rows = placed.select("hash", "node", "n", "place", "component", "sketch", "least").repartition("hash").sortWithinPartitions("hash", "n", "node")
     return rows.mapInArrow(compare, "a long, b long")
 
 
@@ -264,23 +343,28 @@ def near_copy_groups(rows: DataFrame, key: str, text: str = "text") -> DataFrame
     not compared. Texts without words are one node. Keys are distinct whole
     numbers, not null.
     """
-    marked = written(marks(rows, key, text, frequent_shingles(rows, key, text)))
+    frequent = frequent_shingles(rows, key, text)
+    marked = written(marks(rows, key, text, frequent))
     nodes = marked.groupBy("digest").agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "wide")])
     nodes = written(nodes)
+    runs = settled_prefixes(rows, key, text, nodes, frequent).select("node", F.posexplode("prefix").alias("place", "hash"))
+    runs = distinct_runs(written(runs.withColumn("size", F.count("*").over(W.partitionBy("hash"))).where("size > 1")))
     links = verified(rows, key, text, nodes, fingerprint_pairs(rows, key, text, nodes))
-    plain = nodes.select("node", "n", "sketch", F.posexplode("prefix").alias("place", "hash"))
 
-    def placed() -> DataFrame:
+    def placed(runs: DataFrame, whole: DataFrame) -> DataFrame:
+        """The runs with what is known of their nodes; ``whole`` are those of them that are compared whole."""
         label = written(components(links))
         free_shuffles(rows.sparkSession)
-        return plain.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    found = written(candidates(placed(), False).distinct())
-    links = links.unionByName(verified(rows, key, text, nodes, found.where("b >= 0")))
-    long_runs = written(found.where("b < 0").select(F.col("a").alias("hash")))
+        least = whole.groupBy("node").agg(F.array_sort(F.collect_list("hash")).alias("least"))
+        named = nodes.select("node", "n", "sketch").join(label, "node", "left").join(least, "node", "left")
+        padded = F.concat(F.coalesce("least", F.array().cast("array<long>")), F.array_repeat(F.lit(NONE), LEAST))
+        named = named.withColumn("component", F.coalesce("component", "node")).withColumn("least", F.slice(padded, 1, LEAST))
+        return runs.join(named, "node")
+
+    short, long_runs = runs.where(F.col("size") <= SMALL_RUN), runs.where(F.col("size") > SMALL_RUN)
+    links = links.unionByName(verified(rows, key, text, nodes, written(candidates(placed(runs, short), False).distinct())))
     if not long_runs.isEmpty():
-        more = written(candidates(placed().join(long_runs, "hash", "left_semi"), True).distinct())
-        links = links.unionByName(verified(rows, key, text, nodes, more))
+        links = links.unionByName(verified(rows, key, text, nodes, written(candidates(placed(long_runs, long_runs), True).distinct())))
     named = nodes.select("digest", "node").join(components(links), "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("component_id"))
     return marked.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), "component_id")

@@ -18,7 +18,7 @@ SHINGLE, SEED, THRESHOLD = 4, 42, 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Homes of one anchor that a task compares at a time; more are dealt over splits.
 MOST_HOMES = 4096
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 def fingerprint(text: str | None) -> int:

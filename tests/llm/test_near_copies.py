@@ -68,3 +68,37 @@ def test_stage_links_by_simhash_first(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]
     assert checked == [1, 0]
+
+
+def with_passage(spark, count, shared, own):
+    """Texts that have one passage in common, each with words of its own."""
+    passage = [f"p{i}" for i in range(shared)]
+    rows = [(k, " ".join([*passage, *[f"o{k}w{i}" for i in range(own)]])) for k in range(count)]
+    return spark.createDataFrame(rows, "k bigint, text string")
+
+
+def test_pairs_of_a_long_passage_are_named_once(spark, monkeypatch):
+    """Texts too unlike to be linked meet in dozens of shingles of a passage, yet each pair leaves about once."""
+    df = with_passage(spark, 20, 600, 100)
+    made = []
+    whole = near_copies.candidates
+
+    def candidates(*args):
+        made.append(whole(*args).count())
+        return whole(*args)
+
+    monkeypatch.setattr(near_copies, "candidates", candidates)
+    assert all(r.k == r.component_id for r in near_copies.near_copy_groups(df, "k").collect())
+    assert 0 < sum(made) <= 2 * 190
+
+
+def test_passages_that_the_sample_misses_move_last(spark):
+    """A passage that no sampled text shows is found by the counts of the prefixes and leaves them."""
+    df = with_passage(spark, 20, 60, 200)
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    nodes = near_copies.marks(df, "k", "text", nothing).withColumnRenamed("key", "node")
+    first = {r.node: r.prefix for r in nodes.collect()}
+    settled = {r.node: r.prefix for r in near_copies.settled_prefixes(df, "k", "text", nodes, nothing).collect()}
+    assert {k: len(p) for k, p in settled.items()} == {k: len(p) for k, p in first.items()}
+    before, after = (len(set.intersection(*map(set, each.values()))) for each in (first, settled))
+    assert before >= 5 and 2 * after <= before
