@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadrat.llm.word_ids import word_ids
+from quadrat.llm.word_ids import text_parts, word_ids
 
 BLOCK = 4096  # ids of a block
 CHUNK = 1 << 23  # ids coded side by side, a few bytes of working memory each
 SLOTS1, SLOTS2 = 1024, 2048  # of a block's order-1 and order-2 tables
 ONE = 12  # bits of the mixing weights
-FINE = 30  # bits of the order-0 subdivision
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 47)
-WORD, LAST = np.uint64(16), np.uint64(48)
+FINE = 20  # bits of the order-0 weights
+LEAST, WORD = 2.0**32, 2.0**16  # a coder's width stays in 2**32 to 2**48; all its numbers are whole and below 2**53
 
 CHUNK_SCHEMA = (
     "slot int, chunk int, doc_ids array<{kind}>, lengths array<long>, n_tokens long, "
@@ -27,211 +26,247 @@ CHUNK_SCHEMA = (
 )
 
 
-def groups() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order-0 groups of neighbouring ids: first id and log2 size of each, and the group of each id.
+def shares(counts: np.ndarray, whole: int) -> np.ndarray:
+    """Whole weights in proportion to the counts (rows), at least 1 where a count is above 0; a row adds up to ``whole``."""
+    counts = counts.astype(np.int64)
+    kinds = np.count_nonzero(counts, axis=1)[:, None]
+    weights = np.where(counts > 0, counts * (whole - kinds) // np.maximum(counts.sum(1, keepdims=True), 1) + 1, 0)
+    rows = np.arange(len(counts))
+    weights[rows, counts.argmax(1)] += np.where(kinds[:, 0] > 0, whole - weights.sum(1), 0)
+    return weights
 
-    Low ids are the frequent ones of a byte-pair vocabulary, so groups widen upwards.
-    """
-    first, log = [], []
-    at = 0
-    for bound, size in ((512, 6), (1024, 8), (4096, 10), (1 << 16, 14)):
-        while at < bound:
-            first.append(at)
-            log.append(size)
-            at += 1 << size
-    of = np.repeat(np.arange(len(first)), 1 << np.array(log))[: 1 << 16]
-    return np.array(first, np.int32), np.array(log, np.int32), of.astype(np.int32)
-
-
-def mixing_table() -> tuple[np.ndarray, np.ndarray]:
-    """Weight of order 2, and of orders 2 and 1 together, out of 2**ONE.
-
-    By the confidences (0 to 3) of both predictions and whether they agree:
-    order 2 gets its own share, order 1 its share of the rest; where they agree
-    both shares go to the one id.
-    """
-    own2, own1 = [1 / 64, 0.25, 0.5, 0.8], [1 / 64, 1 / 8, 0.25, 0.4]
-    second, both = np.zeros(32, np.int32), np.zeros(32, np.int32)
-    for c2 in range(4):
-        for c1 in range(4):
-            share2, share1 = own2[c2], own1[c1] * (1 - own2[c2])
-            at = c2 << 3 | c1 << 1
-            second[at], both[at] = share2 * (1 << ONE), (share2 + share1) * (1 << ONE)
-            second[at + 1] = both[at + 1] = both[at]
-    return second, both
+
+def counted(values: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each of 0 to ``kinds - 1`` occurs; by parts, as they are widened."""
+    flat = values.reshape(-1)
+    return sum((np.bincount(flat[low : low + 65536], minlength=kinds) for low in range(0, len(flat), 65536)), np.zeros(kinds, np.int64))
 
 
 class Mixer:
     """Adaptive model of many blocks side by side, one lane each, all starting afresh.
 
     Orders 2 and 1 each predict one id from a hashed table with a confidence of
-    0 to 3 (an entry is 4 * id + confidence); their weights are mixed by
-    confidence and agreement, and order 0, which counts groups of ids, gets the
-    rest. Integers only, so reader and writer stay in step.
+    0 to 3 (an entry is 4 * id + confidence). Their case, 0 to 31, is both
+    confidences and whether they agree; it decides how order 2, order 1 and
+    order 0, which covers all other ids, share the range. Integers only, so
+    reader and writer stay in step.
     """
 
-    FIRST, LOG, OF = groups()
-    SECOND, BOTH = mixing_table()
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes, dtype=np.int64)
+        self.off = np.stack([lane * SLOTS2, lane * SLOTS1 + lanes * SLOTS2])  # order 2, then order 1, here and below
+        self.at, self.table = self.off, np.zeros(lanes * (SLOTS1 + SLOTS2), np.int32)
+        self.last = np.zeros(lanes, np.int64)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids predicted by orders 2 and 1 (rows), and their case."""
+        self.was = self.table.take(self.at, mode="clip")
+        self.sure, self.guess = self.was & 3, self.was >> 2
+        return self.guess, self.sure[0] << 3 | self.sure[1] << 1 | (self.guess[0] == self.guess[1])
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """Move both tables towards the ids that came."""
+        miss = np.where(self.sure > 0, self.was - 1, ids << 2)
+        self.table[self.at] = np.where(hit, np.minimum(self.was + 1, self.was | 3), miss)
+        wide = ids.astype(np.int64)
+        hashed, self.at = wide * 40503, np.empty_like(self.off)
+        np.add(hashed + self.last >> 3 & (SLOTS2 - 1), self.off[0], out=self.at[0])
+        np.add(hashed >> 4 & (SLOTS1 - 1), self.off[1], out=self.at[1])
+        self.last = wide * 30011
+
+
+class Writer:
+    """Range coders side by side; carries into words already out are settled at the end."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int32)
-        self.at1, self.at2 = self.lane * SLOTS1, self.lane * SLOTS2
-        self.off1, self.off2, self.off0 = self.at1, self.at2, self.lane * len(self.FIRST)
-        self.table1, self.table2 = np.zeros(lanes * SLOTS1, np.int32), np.zeros(lanes * SLOTS2, np.int32)
-        self.count = np.tile((1 << self.LOG) // 16 + 1, lanes).astype(np.int32)
-        self.last = np.zeros(lanes, np.int32)
-        self.steps = 0
-        self.scale()
-
-    def scale(self) -> None:
-        """Cumulative group weights of each lane, out of 2**16."""
-        n = len(self.FIRST)
-        total = self.count.reshape(-1, n).cumsum(1, dtype=np.int64)
-        self.bound = np.zeros((len(self.lane), n + 1), np.int32)
-        self.bound[:, 1:] = total * ((1 << 16) - n) // total[:, -1:] + np.arange(1, n + 1)
-        self.flat = self.bound.ravel()
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids predicted by orders 2 and 1, the weight of order 2 and of both."""
-        self.was1, self.was2 = self.table1[self.at1], self.table2[self.at2]
-        self.sure1, self.sure2 = self.was1 & 3, self.was2 & 3
-        guess1, guess2 = self.was1 >> 2, self.was2 >> 2
-        mix = self.sure2 << 3 | self.sure1 << 1 | (guess1 == guess2)
-        return guess2, guess1, self.SECOND[mix], self.BOTH[mix]
-
-    def learn(self, ids: np.ndarray, group: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Move all tables towards the ids that came."""
-        fresh = ids << 2
-        miss = np.where(self.sure1 > 0, self.was1 - 1, fresh)
-        self.table1[self.at1] = np.where(hit1, self.was1 + (self.sure1 < 3), miss)
-        miss = np.where(self.sure2 > 0, self.was2 - 1, fresh)
-        self.table2[self.at2] = np.where(hit2, self.was2 + (self.sure2 < 3), miss)
-        self.count[self.off0 + group] += 24
-        self.steps += 1
-        if self.steps & (self.steps - 1) == 0 or self.steps % 128 == 0:
-            self.scale()
-        hashed = ids * 40503
-        self.at1 = self.off1 + (hashed >> 4 & (SLOTS1 - 1))
-        self.at2 = self.off2 + (hashed + self.last * 30011 >> 3 & (SLOTS2 - 1))
-        self.last = ids
-
-
-def emit(low: np.ndarray, width: np.ndarray, lane: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Shift settled 16-bit words out of the coders; yields the lanes and words, a few times at most.
-
-    Where too little width is left and no word is settled, the width is cut
-    short of the next word border, so no carry is ever needed.
+        self.low, self.width = np.zeros(lanes), np.full(lanes, LEAST * WORD)
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def put(self, start: np.ndarray, part: np.ndarray, bits: int) -> None:
+        """Code a share of the range, out of ``2**bits``, in each of the first lanes."""
+        n = len(start)
+        low, width = self.low[:n], self.width[:n]
+        unit = np.floor(width * 0.5**bits)
+        low += unit * start
+        np.multiply(unit, part, out=width)
+        go = (width < LEAST).nonzero()[0]
+        while len(go):
+            self.out(go)
+            width[go] *= WORD
+            go = go[width[go] < LEAST]
+
+    def out(self, lanes: np.ndarray) -> None:
+        """Shift one word out; with a carry it has a 17th bit."""
+        low = self.low[lanes]
+        word = np.floor(low / LEAST)
+        self.low[lanes] = (low - word * LEAST) * WORD
+        self.words.append((lanes.astype(np.uint16 if len(self.low) <= 1 << 16 else np.int32), word.astype(np.int32)))
+
+    def end(self) -> list[bytes]:
+        """The words of each lane."""
+        lanes = len(self.low)
+        for _ in range(3):
+            self.out(np.arange(lanes))
+        lane = np.concatenate([a for a, _ in self.words])
+        order = np.argsort(lane, kind="stable")
+        word, ends = np.concatenate([b for _, b in self.words])[order], np.cumsum(np.bincount(lane, minlength=lanes))
+        firsts = np.append(0, ends[:-1])
+        while len(over := np.flatnonzero(word >= 1 << 16)):  # a lane's first word has no carry
+            word[over] -= 1 << 16
+            np.add.at(word, over - 1, 1)
+        data = word.astype("<u2").tobytes()
+        return [data[a:b] for a, b in zip((2 * firsts).tolist(), (2 * ends).tolist())]
+
+
+class Reader:
+    """Range decoders side by side, in step with ``Writer``."""
+
+    def __init__(self, streams: list[np.ndarray]):
+        self.data = np.concatenate([*streams, np.zeros(3, "<u2")])
+        self.at = np.cumsum([0, *map(len, streams[:-1])])
+        self.code, self.width = np.zeros(len(streams)), np.full(len(streams), LEAST * WORD)
+        for _ in range(3):
+            self.code = self.code * WORD + self.data.take(self.at, mode="clip")
+            self.at += 1
+
+    def value(self, n: int, bits: int) -> np.ndarray:
+        """The place in the range, out of ``2**bits``, of each of the first lanes."""
+        self.unit = np.floor(self.width[:n] * 0.5**bits)
+        return np.minimum(self.code[:n] / self.unit, 2.0**bits - 1).astype(np.int64)
+
+    def take(self, start: np.ndarray, part: np.ndarray) -> None:
+        """Leave the share of the range that the value lay in."""
+        n = len(start)
+        code, width = self.code[:n], self.width[:n]
+        code -= self.unit * start
+        np.multiply(self.unit, part, out=width)
+        go = (width < LEAST).nonzero()[0]
+        while len(go):
+            at = self.at[go]
+            code[go] = code[go] * WORD + self.data.take(at, mode="clip")
+            self.at[go] = at + 1
+            width[go] *= WORD
+            go = go[width[go] < LEAST]
+
+
+class Weights:
+    """Shares of a chunk: of orders 2, 1 and 0 for each case, and of each id that orders 2 and 1 missed.
+
+    Both are learned from the chunk and stand before its blocks.
     """
-    moving = lane
-    while True:
-        lo, wi = low[moving], width[moving]
-        settled = (lo ^ (lo + wi)) < TOP
-        go = np.flatnonzero(settled | (wi < BOTTOM))
-        if not len(go):
-            return
-        moving, lo = moving[go], lo[go]
-        wi = np.where(settled[go], wi[go], (~lo + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-        low[moving], width[moving] = lo << WORD, wi << WORD
-        yield moving, lo >> LAST
+
+    def __init__(self, mixing: np.ndarray, order0: np.ndarray):
+        self.mixing, self.order0 = mixing, order0
+        self.part = mixing.T.ravel().astype(np.float64)  # by 32 * order + case
+        self.start = (np.cumsum(mixing, 1) - mixing).T.ravel().astype(np.float64)
+        self.part0 = order0.astype(np.float64)
+        self.start0 = np.cumsum(self.part0) - self.part0
+
+    def of_event(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of events start, and their sizes."""
+        event = event.astype(np.int64)
+        return self.start.take(event, mode="clip"), self.part.take(event, mode="clip")
+
+    def of_id(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for ids that orders 2 and 1 missed."""
+        ids = ids.astype(np.int64)
+        return self.start0.take(ids, mode="clip"), self.part0.take(ids, mode="clip")
+
+    @classmethod
+    def learned(cls, events: np.ndarray, missed: np.ndarray) -> Weights:
+        """From the counts of events (32 * order + case) and of ids missed."""
+        return cls(shares(events.reshape(3, 32).T + 1, 1 << ONE), shares(missed[None], 1 << FINE)[0])
+
+    def stored(self) -> bytes:
+        return zlib.compress(self.mixing.astype("<u2").tobytes() + self.order0.astype("<u4").tobytes())
+
+    @classmethod
+    def read(cls, data: bytes) -> Weights:
+        data = zlib.decompress(data)
+        return cls(np.frombuffer(data[:192], "<u2").reshape(32, 3).astype(np.int64), np.frombuffer(data[192:], "<u4").astype(np.int64))
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Range-code ids (lanes x size), each row on its own."""
+    """The weights, then the range-coded ids (lanes x size), each row on its own.
+
+    A block is two streams: which order named each id, and the ids that only
+    order 0 names. Before them stand the words of the first and the ids of the second.
+    """
     lanes, size = ids.shape
-    model = Mixer(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 63), np.uint64)
-    out_lane, out_word = [], []
-    steps = np.ascontiguousarray(ids.T).astype(np.int32)
-    whole = np.int64(1 << ONE)
-    for now in steps:
-        group = model.OF[now]
-        guess2, guess1, second, both = model.predict()
-        hit2, hit1 = guess2 == now, guess1 == now
-        miss = np.flatnonzero(~(hit2 | hit1))
-        start = np.where(hit2, 0, second)
-        part = np.where(hit2, second, both - second)
-        start[miss], part[miss] = both[miss], whole - both[miss]
-        unit = width >> np.uint64(ONE)
-        low += unit * start.astype(np.uint64)
-        width = unit * part.astype(np.uint64)
-        in_group = group[miss]
-        at = model.lane[miss] * (len(model.FIRST) + 1) + in_group
-        from_ = model.flat[at].astype(np.int64)
-        each = (model.flat[at + 1] - from_ << 14) >> model.LOG[in_group]
-        place = (from_ << 14) + (now[miss] - model.FIRST[in_group]) * each
-        unit = width[miss] >> np.uint64(FINE)
-        low[miss] += unit * place.astype(np.uint64)
-        width[miss] = unit * each.astype(np.uint64)
-        for lane, word in emit(low, width, model.lane):
-            out_lane.append(lane)
-            out_word.append(word.astype("<u2"))
-        model.learn(now, group, hit2, hit1)
-    for _ in range(4):
-        out_lane.append(model.lane)
-        out_word.append((low >> LAST).astype("<u2"))
-        low <<= WORD
-    lane, word = np.concatenate(out_lane), np.concatenate(out_word)
-    word, ends = word[np.argsort(lane, kind="stable")], np.cumsum(np.bincount(lane, minlength=lanes))
-    return [word[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    model, steps = Mixer(lanes), np.ascontiguousarray(ids.T)
+    events, (named2, named1, named0) = np.empty((size, lanes), np.uint8), np.array([0, 32, 64], np.uint8)
+    for t in range(size):
+        now = steps[t].astype(np.int32)
+        guess, case = model.predict()
+        hit = guess == now
+        events[t] = case + np.where(hit[0], named2, np.where(hit[1], named1, named0))
+        model.learn(now, hit)
+    missed = np.ascontiguousarray((events >= 64).T)  # lanes x size
+    rest, many = ids[missed], np.count_nonzero(missed, axis=1)
+    weights = Weights.learned(counted(events, 96), counted(rest, 1 << 16))
+    named = Writer(lanes)
+    for now in events:
+        named.put(*weights.of_event(now), ONE)
+    order = np.argsort(-many, kind="stable")  # blocks with most ids left first, so those still at work are the first lanes
+    first, left = (np.cumsum(many) - many)[order], -many[order]
+    spelt = Writer(lanes)
+    for t in range(int(many.max())):
+        now = rest[first[: np.searchsorted(left, -t)] + t]
+        spelt.put(*weights.of_id(now), FINE)
+    second = dict(zip(order.tolist(), spelt.end()))
+    blocks = [np.array([len(a) // 2, n], "<u2").tobytes() + a + second[k] for k, (a, n) in enumerate(zip(named.end(), many.tolist()))]
+    return [weights.stored(), *blocks]
 
 
 def decode_blocks(payloads: list[bytes], size: int) -> np.ndarray:
     """The ids (lanes x size) that ``encode_blocks`` was given."""
-    lanes = len(payloads)
-    data = np.frombuffer(b"".join(payloads) + b"\0" * 8, "<u2").astype(np.uint64)
-    at = np.cumsum([0, *[len(p) // 2 for p in payloads[:-1]]])
-    model = Mixer(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 63), np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << WORD) | data[at]
-        at = at + 1
-    ids = np.empty((size, lanes), np.uint16)
-    whole = np.int64(1 << ONE)
+    weights, lanes = Weights.read(payloads[0]), len(payloads) - 1
+    blocks = [np.frombuffer(p, "<u2") for p in payloads[1:]]
+    named = Reader([b[2 : 2 + int(b[0])] for b in blocks])
+    many = np.minimum([int(b[1]) for b in blocks], size)  # more only in a damaged block
+    order = np.argsort(-many, kind="stable")
+    spelt = Reader([blocks[k][2 + int(blocks[k][0]) :] for k in order.tolist()])
+    at = np.cumsum(many) - many
+    rest, first, left = np.zeros(int(many.sum()) + 1, np.int32), at[order], -many[order]
+    by_place = np.repeat(np.arange(1 << 16, dtype=np.uint16), weights.order0)
+    for t in range(int(many.max())):
+        n = int(np.searchsorted(left, -t))
+        now = by_place.take(spelt.value(n, FINE), mode="clip")
+        spelt.take(*weights.of_id(now))
+        rest[first[:n] + t] = now
+    by_case = np.repeat(np.tile(np.arange(0, 96, 32, dtype=np.uint8), 32) + np.repeat(np.arange(32, dtype=np.uint8), 3), weights.mixing.ravel())
+    model, ids = Mixer(lanes), np.empty((size, lanes), np.uint16)
     for t in range(size):
-        guess2, guess1, second, both = model.predict()
-        unit = width >> np.uint64(ONE)
-        value = np.minimum((code - low) // unit, np.uint64(whole - 1)).astype(np.int32)
-        hit2 = value < second
-        miss = np.flatnonzero(value >= both)
-        now = np.where(hit2, guess2, guess1)
-        start = np.where(hit2, 0, second)
-        part = np.where(hit2, second, both - second)
-        start[miss], part[miss] = both[miss], whole - both[miss]
-        low += unit * start.astype(np.uint64)
-        width = unit * part.astype(np.uint64)
-        unit = width[miss] >> np.uint64(FINE)
-        value = np.minimum((code[miss] - low[miss]) // unit, np.uint64((1 << FINE) - 1)).astype(np.int64)
-        in_group = (model.bound[miss, 1:-1] <= (value >> 14).astype(np.int32)[:, None]).sum(1, dtype=np.int32)
-        at_group = model.lane[miss] * (len(model.FIRST) + 1) + in_group
-        from_ = model.flat[at_group].astype(np.int64)
-        each = (model.flat[at_group + 1] - from_ << 14) >> model.LOG[in_group]
-        inside = (value - (from_ << 14)) // each
-        now[miss] = np.minimum(model.FIRST[in_group] + inside, (1 << 16) - 1)  # more only in a damaged block
-        low[miss] += unit * ((from_ << 14) + inside * each).astype(np.uint64)
-        width[miss] = unit * each.astype(np.uint64)
-        for lane, _ in emit(low, width, model.lane):
-            code[lane] = (code[lane] << WORD) | data[np.minimum(at[lane], len(data) - 1)]
-            at[lane] += 1
+        guess, case = model.predict()
+        event = by_case.take((case << ONE) + named.value(lanes, ONE), mode="clip")
+        named.take(*weights.of_event(event))
+        now = np.where(event < 32, guess[0], guess[1])
+        miss = (event >= 64).nonzero()[0]
+        place = at[miss]
+        now[miss] = rest.take(place, mode="clip")
+        at[miss] = place + 1
         ids[t] = now
-        model.learn(now, model.OF[now], guess2 == now, guess1 == now)
+        model.learn(now, guess == now)
     return np.ascontiguousarray(ids.T)
 
 
 def encode_chunk(ids: np.ndarray) -> tuple[int, list[bytes], list[int]]:
-    """Block size, payloads and checksums (crc32 of a block's 16-bit ids) of a run of ids."""
+    """Block size, payloads (the weights first) and checksums (crc32 of the weights, then of a block's 16-bit ids) of a run of ids."""
     size = min(BLOCK, len(ids))
     lanes = -(-len(ids) // size)
     full = np.zeros(lanes * size, np.uint16)
     full[: len(ids)] = ids
     blocks = full.reshape(lanes, size)
-    return size, encode_blocks(blocks), [zlib.crc32(b.tobytes()) for b in blocks]
+    payloads = encode_blocks(blocks)
+    return size, payloads, [zlib.crc32(payloads[0]), *(zlib.crc32(b.tobytes()) for b in blocks)]
 
 
 def decode_chunk(size: int, n: int, payloads: list[bytes], checksums: list[int]) -> np.ndarray:
-    """The run of ids of a chunk; raises if a block's checksum differs."""
+    """The run of ids of a chunk; raises if the weights' or a block's checksum differs."""
+    if zlib.crc32(payloads[0]) != checksums[0]:
+        raise ValueError("the weights of a token file are damaged")
     blocks = decode_blocks(payloads, size)
-    for k, (block, checksum) in enumerate(zip(blocks, checksums)):
+    for k, (block, checksum) in enumerate(zip(blocks, checksums[1:])):
         if zlib.crc32(block.tobytes()) != checksum:
             raise ValueError(f"block {k} of a token file is damaged")
     return blocks.reshape(-1)[:n]
@@ -243,9 +278,9 @@ def write_token_files(
     """Write the ids of all texts, each followed by ``end_id``, in ascending ``key`` order to ``path``.
 
     The texts are range-sorted once by key and encoded where they land. A row
-    of the files is a chunk: whole documents (ids and lengths) and their ids in
-    blocks of 4,096, each with its own model, coder and checksum. ``slot`` and
-    ``chunk`` give the order. A null text is its end id alone; null keys come
+    of the files is a chunk: whole documents (ids and lengths), the weights
+    learned from it, and their ids in blocks of 4,096, each with its own
+    order-1 and order-2 tables, coder and checksum. ``slot`` and ``chunk`` give the order. A null text is its end id alone; null keys come
     first; rows with equal keys stay apart, ordered by a hash of their text; an
     empty table writes no chunk.
     """
@@ -257,19 +292,21 @@ def write_token_files(
         names, parts, held = [], [], 0
 
         def close() -> pa.RecordBatch:
-            size, payloads, checksums = encode_chunk(np.frombuffer(b"".join(parts), "<u2"))
-            columns = [slot], [chunk], [names], [[len(p) // 2 for p in parts]], [held], [size], [payloads], [checksums]
+            size, payloads, checksums = encode_chunk(np.concatenate(parts))
+            columns = [slot], [chunk], [names], [[len(p) for p in parts]], [held], [size], [payloads], [checksums]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], fields)
 
         for batch in batches:
             types = [pa.int32(), pa.int32(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            for name, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names.append(name)
-                parts.append(of.ids(one, end_id))
-                held += len(parts[-1]) // 2
-                if held >= CHUNK:
-                    yield close()
-                    names, parts, held, chunk = [], [], 0, chunk + 1
+            for part in text_parts(batch, 1):
+                ids, ends = of.all_ids(part.column(1), end_id)
+                for name, low, high in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
+                    names.append(name)
+                    parts.append(ids[low:high])
+                    held += high - low
+                    if held >= CHUNK:
+                        yield close()
+                        names, parts, held, chunk = [], [], 0, chunk + 1
         if parts:
             yield close()
 
