@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.shared import running_start, written
-from quadrat.llm.word_ids import word_ids
+from quadrat.llm.word_ids import text_parts, word_ids
 
 BUCKETS, DIMENSIONS, BITS = 1024, 3, 10
 
@@ -84,11 +84,13 @@ def pack(
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = word_ids(tokenizer_file)
-        for part in sliced(batches):
-            ids = [of.ids(t, end_id) for t in part.column(1).to_pylist()]
-            n = pa.array([len(i) // 2 for i in ids], pa.int64())
-            columns = [part.column(0), pa.array(ids, pa.binary()), n, pa.array(curve_keys(ids))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "n", "curve"])
+        for batch in batches:
+            for part in text_parts(batch, 1):
+                flat, ends = of.all_ids(part.column(1), end_id)
+                data, at = flat.tobytes(), (2 * ends).tolist()
+                ids = [data[a:b] for a, b in zip(at, at[1:])]
+                columns = [part.column(0), pa.array(ids, pa.binary()), pa.array(np.diff(ends), pa.int64()), pa.array(curve_keys(ids))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "n", "curve"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
