@@ -298,7 +298,7 @@ def write_token_files(
 
         for batch in batches:
             types = [pa.int32(), pa.int32(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            for part in text_parts(batch, 1):
+            for part in text_parts(batch, 1, 4096, 1 << 23):
                 ids, ends = of.all_ids(part.column(1), end_id)
                 for name, low, high in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
                     names.append(name)

@@ -17,7 +17,6 @@ from quadrat.llm.shared import words_of
 
 CACHED = 500_000
 CALL = 512  # pieces of one call of the library
-PART_ROWS, PART_BYTES = 1024, 1 << 22  # of the texts that are cut side by side
 #: Printable ASCII and the accented letters of Latin-1: composed, and lower-cased letter by letter.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The tokenizer's own split pattern, for such text in lower case.
@@ -53,14 +52,14 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def text_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most 1,024 rows and about 4 MB of text, so that what a task holds beside them stays small."""
+def text_parts(batch: pa.RecordBatch, column: int, rows: int = 1024, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` and ``size`` bytes of text (or one row), so that what a task holds beside them stays small."""
     ends = text_bytes(batch.column(column))[1][1:]
     low = 0
     while low < batch.num_rows:
         before = int(ends[low - 1]) if low else 0
-        high = int(np.searchsorted(ends, before + PART_BYTES, "right"))
-        high = min(max(high, low + 1), low + PART_ROWS, batch.num_rows)
+        high = int(np.searchsorted(ends, before + size, "right"))
+        high = min(max(high, low + 1), low + rows, batch.num_rows)
         yield batch.slice(low, high - low)
         low = high
 
@@ -207,18 +206,20 @@ class WordIds(dict):
         """Ids of different pieces; ``odd`` has the places of those that are odd words."""
         got = list(map(self.get, keys))
         missing = [k for k, g in enumerate(got) if g is None]
-        plain = [k for k in missing if k not in odd] if odd else missing
         for k in odd.intersection(missing):
             got[k] = self[keys[k]]
-        for low in range(0, len(plain), CALL):
-            part = plain[low : low + CALL]
-            for k, ids in zip(part, self.pieces([keys[k] for k in part])):
-                got[k] = ids
+        plain = [k for k in missing if k not in odd] if odd else missing
+        new, ids = [keys[k] for k in plain], []
+        for low in range(0, len(new), CALL):
+            ids += self.pieces(new[low : low + CALL])
+        for k, one in zip(plain, ids):
+            got[k] = one
         if len(self) + len(missing) > CACHED:  # frequent pieces came early
             early = list(islice(self.items(), CACHED // 2))
             self.clear()
             self.update(early)
-        self.update([(keys[k], got[k]) for k in missing if len(keys[k]) <= 48])
+        self.update(zip(new, ids) if max(map(len, new), default=0) <= 48 else [(a, b) for a, b in zip(new, ids) if len(a) <= 48])
+        self.update((keys[k], got[k]) for k in odd if len(keys[k]) <= 48)
         return got
 
     def all_ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

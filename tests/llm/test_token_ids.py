@@ -32,14 +32,13 @@ def split(found):
 
 def test_ids_of_many_texts_equal_the_library(monkeypatch):
     """Every kind of byte and border, parts of a few texts, a cache that overflows, sliced batches, long offsets."""
-    monkeypatch.setattr(word_ids, "PART_BYTES", 3000)
     monkeypatch.setattr(word_ids, "CACHED", 500)
     texts = odd_texts(4000)
     of = word_ids.WordIds(WORDS)
     want = [of.library.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
     for kind in (pa.string(), pa.large_string()):
         batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"]).slice(3)
-        got = [one for part in word_ids.text_parts(batch, 0) for one in split(of.all_ids(part.column(0), 7))]
+        got = [one for part in word_ids.text_parts(batch, 0, size=3000) for one in split(of.all_ids(part.column(0), 7))]
         assert got == want[3:]
     assert len(of) <= 500 + 3000
     assert split(of.all_ids(pa.array([None, ""], pa.string()), 7)) == [[7], [7]]
