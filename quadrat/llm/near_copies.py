@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrat.llm import simhash
 from quadrat.llm.graph import components
-from quadrat.llm.shared import free_shuffles, keep_freed_memory, words_of, written
+from quadrat.llm.shared import discard, free_shuffles, keep_freed_memory, words_of, written
 
 SHINGLE, SEED = 5, 42
 #: Least similarity of a link, as a fraction; whole numbers keep the comparison exact.
@@ -24,7 +24,9 @@ SAMPLE_ROWS, MOST_FREQUENT = 5000, 200_000
 SMALL_RUN, PIVOTS = 16, 4
 #: Times that the shingles of long runs are moved to the end of the order.
 ROUNDS = 2
-SKETCH, SLICE = 256, 512
+#: Places of the sketches that pairs are compared by; the broad one is for sets of over ``SKETCH`` members.
+SKETCH, BROAD = 1024, 8192
+SLICE = 512
 PAIRS = 200_000
 #: Smallest shingles of a node that its rows carry, to name a pair at one of its common shingles only.
 LEAST, NONE = 16, (1 << 63) - 1
@@ -84,30 +86,33 @@ def first_shingles(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np
 
 
 def marks(rows: DataFrame, key: str, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``key, digest, n, prefix, sketch, wide`` of every text.
+    """``key, digest, n, prefix, sketch, broad, wide`` of every text.
 
     ``prefix`` holds the first n - ceil(0.8 n) + 1 shingles in one order for all
     texts (frequent ones last, else by value): two sets of similarity 0.8 share
     at least ceil(0.8 n) of the larger one's n shingles, so their prefixes meet.
-    ``sketch`` has the parity of the shingles in each of 256 places; it differs
-    in at most as many places as the sets differ in shingles.
+    ``sketch`` has the parity of the shingles in each of 1,024 places; it differs
+    in at most as many places as the sets differ in shingles. ``broad`` is the
+    same in 8,192 places, empty for sets of at most 1,024 shingles: in a sketch
+    of few places all large sets look alike.
     """
     from hashlib import blake2b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
         for batch in batches:
-            out = [], [], [], [], []
+            out = [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t)
-                parity = (np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
-                for column, value in zip(out, (blake2b(h.tobytes(), digest_size=16).digest(), len(h), first_shingles(h, frequent), np.packbits(parity).tobytes(), wide_sketch(h))):
+                broad = parities(h, BROAD) if len(h) > SKETCH else b""
+                for column, value in zip(out, (blake2b(h.tobytes(), digest_size=16).digest(), len(h), first_shingles(h, frequent), parities(h, SKETCH), broad, wide_sketch(h))):
                     column.append(value)
-            arrays = [batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "n", "prefix", "sketch", "wide"])
+            kinds = pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()
+            arrays = [batch.column(0), *(pa.array(column, kind) for column, kind in zip(out, kinds))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "n", "prefix", "sketch", "broad", "wide"])
 
     plain = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(run, "key long, digest binary, n int, prefix array<long>, sketch binary, wide binary")
+    return plain.mapInArrow(run, "key long, digest binary, n int, prefix array<long>, sketch binary, broad binary, wide binary")
 
 
 def settled_prefixes(rows: DataFrame, key: str, text: str, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -119,7 +124,8 @@ def settled_prefixes(rows: DataFrame, key: str, text: str, nodes: DataFrame, fre
     """
     prefixes = nodes.select("node", "prefix")
     moved = np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
+        free_shuffles(rows.sparkSession)
         counts = prefixes.select(F.explode("prefix").alias("hash")).groupBy("hash").count().where(F.col("count") > SMALL_RUN)
         top = counts.orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT + len(moved)).toPandas()  # bounded
         h, count = top["hash"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
@@ -153,6 +159,7 @@ def settled_prefixes(rows: DataFrame, key: str, text: str, nodes: DataFrame, fre
         wanted = written(parted(True).select(F.col("node").alias(key)))
         plain = rows.join(wanted, key, "left_semi").select(F.col(key).alias("node"), F.col(text).cast("string").alias("text"))
         prefixes = written(parted(False).unionByName(plain.mapInArrow(again, "node long, prefix array<long>")))
+        discard(wanted, *[old] * (k > 0))
     return prefixes
 
 
@@ -168,10 +175,14 @@ def distinct_runs(runs: DataFrame) -> DataFrame:
     return written(runs.join(kept.select("hash"), "hash", "left_semi"))
 
 
+def parities(h: np.ndarray, bits: int) -> bytes:
+    """Parity of a set's members in each of so many places, a power of two of at least 64."""
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def wide_sketch(h: np.ndarray) -> bytes:
     """Parities of a set in four to eight places a member, a power of two of at least 64; halves fold into one another."""
-    bits = max(64, 1 << (4 * len(h)).bit_length())
-    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return parities(h, max(64, 1 << (4 * len(h)).bit_length()))
 
 
 def places_apart(x: bytes, y: bytes) -> int:
@@ -189,27 +200,38 @@ def candidates(placed: DataFrame, all_pairs: bool) -> DataFrame:
     those of runs of at most 16; members of a larger run meet the run's four
     smallest nodes. A pair is left to the smallest common one of the shingles in
     both nodes' ``least``, whose runs must be compared whole: if it does not pass
-    there, it is not similar.
+    there, it is not similar. Sketches of the length that the texts need rule
+    out those that only have a passage in common, so that the pairs that leave
+    grow with the similar texts, not with the square of a passage's texts.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
 
         def near(run: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-            hash_, node, n, place, component, sketch, least = run
+            hash_, node, n, place, component, sketch, least, broad = run
             small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             common = np.minimum(n[x] - place[x], n[y] - place[y]) + np.minimum(place[x], place[y])
             fine = (node[x] != node[y]) & (component[x] != component[y]) & (DENOMINATOR * small >= NUMERATOR * large) & similar(common, n[x], n[y])
             x, y = x[fine], y[fine]
-            apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1)
-            fine = similar((n[x] + n[y] - apart) // 2, n[x], n[y])
-            x, y = x[fine], y[fine]
-            first = np.ones(len(x), bool)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for low in range(0, len(x), PAIRS // 16):
                 u, v = x[low : low + PAIRS // 16], y[low : low + PAIRS // 16]
+                apart = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64)
+                fine = similar((n[u] + n[v] - apart) // 2, n[u], n[v])
+                u, v = u[fine], v[fine]
+                large = np.flatnonzero((n[u] > SKETCH) & (n[v] > SKETCH))
+                i, j = u[large], v[large]
+                wide = [np.frombuffer(b"".join(broad[at]), np.uint64).reshape(-1, BROAD // 64) for at in (i, j)]
+                apart = np.bitwise_count(wide[0] ^ wide[1]).sum(1, dtype=np.int64)
+                fine = np.ones(len(u), bool)
+                fine[large] = similar((n[i] + n[j] - apart) // 2, n[i], n[j])
+                u, v = u[fine], v[fine]
                 shared = least[u][:, :, None] == least[v][:, None, :]
-                first[low : low + PAIRS // 16] = ~(shared.any(2) & (least[u] < hash_[u][:, None])).any(1)
-            a, b = node[x[first]], node[y[first]]
+                first = ~(shared.any(2) & (least[u] < hash_[u][:, None])).any(1)
+                a.append(node[u[first]])
+                b.append(node[v[first]])
+            a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -254,6 +276,7 @@ def candidates(placed: DataFrame, all_pairs: bool) -> DataFrame:
             now = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
             now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
             now.append(batch.column(6).flatten().to_numpy().reshape(-1, LEAST))
+            now.append(np.array(batch.column(7).to_pylist(), object))
             if held is not None:
                 now = [np.concatenate(c) for c in zip(held, now)]
             cut = int(np.searchsorted(now[0], now[0][-1], "left"))
@@ -263,7 +286,7 @@ def candidates(placed: DataFrame, all_pairs: bool) -> DataFrame:
         if held is not None:
             yield from paired(held)
 
-    rows = placed.select("hash", "node", "n", "place", "component", "sketch", "least").repartition("hash").sortWithinPartitions("hash", "n", "node")
+    rows = placed.select("hash", "node", "n", "place", "component", "sketch", "least", "broad").repartition("hash").sortWithinPartitions("hash", "n", "node")
     return rows.mapInArrow(compare, "a long, b long")
 
 
@@ -298,6 +321,7 @@ def verified(rows: DataFrame, key: str, text: str, nodes: DataFrame, pairs: Data
             common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "common"])
 
+    free_shuffles(rows.sparkSession)
     side = {c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab"}
     open_ = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
     pairs = written(open_.mapInArrow(sift, "a long, b long, n_a int, n_b int"))
@@ -313,11 +337,14 @@ def verified(rows: DataFrame, key: str, text: str, nodes: DataFrame, pairs: Data
     both = both.join(found.select(F.col("node").alias("b"), "slices", "slice", F.col("set").alias("y")), ["b", "slices", "slice"])
     common = both.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     fine = (DENOMINATOR + NUMERATOR) * F.col("common") >= NUMERATOR * (F.col("n_a") + F.col("n_b"))
-    return written(common.join(pairs, ["a", "b"]).where(fine).select("a", "b"))
+    links = written(common.join(pairs, ["a", "b"]).where(fine).select("a", "b"))
+    discard(pairs, found)
+    return links
 
 
 def fingerprint_pairs(rows: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of nodes that SimHash links: each with the least node of its fingerprint, and these along the spanning stars."""
+    free_shuffles(rows.sparkSession)
     prints = simhash.fingerprints(rows, key, text).withColumnRenamed("key", "node")
     named = written(nodes.select("node").join(prints, "node"))
     heads = written(named.groupBy("fp").agg(F.min("node").alias("head")))
@@ -345,10 +372,26 @@ def near_copy_groups(rows: DataFrame, key: str, text: str = "text") -> DataFrame
     """
     frequent = frequent_shingles(rows, key, text)
     marked = written(marks(rows, key, text, frequent))
-    nodes = marked.groupBy("digest").agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "wide")])
-    nodes = written(nodes)
-    runs = settled_prefixes(rows, key, text, nodes, frequent).select("node", F.posexplode("prefix").alias("place", "hash"))
-    runs = distinct_runs(written(runs.withColumn("size", F.count("*").over(W.partitionBy("hash"))).where("size > 1")))
+    digests = written(marked.select("key", "digest"))
+    heads = written(digests.groupBy("digest").agg(F.min("key").alias("node")))
+
+    def of_heads(*columns: str) -> DataFrame:
+        return written(marked.select(F.col("key").alias("node"), *columns).join(heads, "node", "left_semi"))
+
+    # Each table goes as soon as nothing reads it: all of them with the shuffles are several times the input.
+    free_shuffles(rows.sparkSession)
+    nodes = of_heads("n", "sketch", "broad", "wide")
+    free_shuffles(rows.sparkSession)
+    first = of_heads("prefix")
+    discard(marked)
+    settled = settled_prefixes(rows, key, text, first, frequent)
+    free_shuffles(rows.sparkSession)
+    runs = settled.select("node", F.posexplode("prefix").alias("place", "hash"))
+    shared = written(runs.withColumn("size", F.count("*").over(W.partitionBy("hash"))).where("size > 1"))
+    discard(first, settled)
+    free_shuffles(rows.sparkSession)
+    runs = distinct_runs(shared)
+    discard(shared)
     links = verified(rows, key, text, nodes, fingerprint_pairs(rows, key, text, nodes))
 
     def placed(runs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -356,7 +399,7 @@ def near_copy_groups(rows: DataFrame, key: str, text: str = "text") -> DataFrame
         label = written(components(links))
         free_shuffles(rows.sparkSession)
         least = whole.groupBy("node").agg(F.array_sort(F.collect_list("hash")).alias("least"))
-        named = nodes.select("node", "n", "sketch").join(label, "node", "left").join(least, "node", "left")
+        named = nodes.select("node", "n", "sketch", "broad").join(label, "node", "left").join(least, "node", "left")
         padded = F.concat(F.coalesce("least", F.array().cast("array<long>")), F.array_repeat(F.lit(NONE), LEAST))
         named = named.withColumn("component", F.coalesce("component", "node")).withColumn("least", F.slice(padded, 1, LEAST))
         return runs.join(named, "node")
@@ -365,6 +408,7 @@ def near_copy_groups(rows: DataFrame, key: str, text: str = "text") -> DataFrame
     links = links.unionByName(verified(rows, key, text, nodes, written(candidates(placed(runs, short), False).distinct())))
     if not long_runs.isEmpty():
         links = links.unionByName(verified(rows, key, text, nodes, written(candidates(placed(long_runs, long_runs), True).distinct())))
-    named = nodes.select("digest", "node").join(components(links), "node", "left")
+    free_shuffles(rows.sparkSession)
+    named = heads.join(components(links), "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("component_id"))
-    return marked.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), "component_id")
+    return digests.join(named, "digest").select(F.col("key").alias(key), "component_id")

@@ -94,6 +94,16 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more, so that they don't take disk until the session ends."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for file in table.inputFiles()[:1]:
+            place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+            _recorded[:] = [path for path in _recorded if not path.endswith(place.getName())]
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of queries that are over and no longer referred to.
 

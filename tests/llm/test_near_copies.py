@@ -102,3 +102,45 @@ def test_passages_that_the_sample_misses_move_last(spark):
     assert {k: len(p) for k, p in settled.items()} == {k: len(p) for k, p in first.items()}
     before, after = (len(set.intersection(*map(set, each.values()))) for each in (first, settled))
     assert before >= 5 and 2 * after <= before
+
+
+def test_long_texts_with_a_passage_in_common_are_not_paired(spark, monkeypatch):
+    """Sketches as long as the texts need rule out pairs that only share a passage, so none is made of them."""
+    made = []
+    whole = near_copies.candidates
+
+    def candidates(*args):
+        made.append(whole(*args).count())
+        return whole(*args)
+
+    monkeypatch.setattr(near_copies, "candidates", candidates)
+    for shared, own in ((300, 900), (600, 5000)):
+        df = with_passage(spark, 12, shared, own)
+        assert all(r.k == r.component_id for r in near_copies.near_copy_groups(df, "k").collect())
+    assert made and not any(made)
+
+
+def test_tables_go_when_nothing_reads_them(spark, monkeypatch):
+    """When pairs are looked for, the tables with prefixes are gone, and none with texts or sets stays at the end."""
+    tables = []
+    whole, pairs = near_copies.written, near_copies.fingerprint_pairs
+
+    def written(df, *more):
+        tables.append(whole(df, *more))
+        return tables[-1]
+
+    def left():
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        places = [(t, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(t.inputFiles()[0]))) for t in tables]
+        return {c for t, place in places if place.getFileSystem(conf).exists(place) for c in t.columns}
+
+    def fingerprint_pairs(*args):
+        assert "sketch" in left() and "prefix" not in left() and "place" in left()
+        return pairs(*args)
+
+    monkeypatch.setattr(near_copies, "written", written)
+    monkeypatch.setattr(near_copies, "fingerprint_pairs", fingerprint_pairs)
+    df = spark.createDataFrame(list(enumerate(changed_copies(4, 30, 200))), "k bigint, text string")
+    got = {r.k: r.component_id for r in near_copies.near_copy_groups(df, "k").collect()}
+    assert got == brute_groups({r.k: r.text for r in df.collect()})
+    assert "set" not in left() and "digest" in left()
