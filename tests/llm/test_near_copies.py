@@ -114,7 +114,7 @@ def test_long_texts_with_a_passage_in_common_are_not_paired(spark, monkeypatch):
         return whole(*args)
 
     monkeypatch.setattr(near_copies, "candidates", candidates)
-    for shared, own in ((300, 900), (600, 5000)):
+    for shared, own in ((760, 180), (4500, 900)):
         df = with_passage(spark, 12, shared, own)
         assert all(r.k == r.component_id for r in near_copies.near_copy_groups(df, "k").collect())
     assert made and not any(made)
