@@ -253,6 +253,30 @@ def test_synthetic_rows_read_their_input_once(blobs, kind):
     assert total.value == count
 
 
+def counted_scans(df):
+    """The same rows, and the number of rows read whatever is made of them."""
+    total = df.sparkSession.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            total.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(through, df.schema), total
+
+
+def test_a_run_reads_its_input_once(blobs):
+    plain = blobs.dropna()
+    rows, total = counted_scans(plain)
+    marked = F.col("colour").alias("colour", metadata={"role": "category"})
+    rows = rows.select("key", "label", *FEATURES, marked, F.col("key").cast("string").alias("name"))
+    tree = learners.base_learners()["decision_tree"]
+    model = stages.build_pipeline(tree, "label", "key", [*FEATURES, "colour", "name"], resample="over").fit(rows)
+    assert total.value == plain.count()
+    prepared = next(s for s in model.stages if isinstance(s, stages.PreparedColumns))
+    assert prepared.names == ["a", "colour_blue", "colour_red"]
+
+
 def test_cells_grow_in_number_not_in_size(spark, monkeypatch):
     """Points on a line: as many cells as the points need, beyond the 256 of before."""
     monkeypatch.setattr(neighbours, "PER_PIVOT", 4)
