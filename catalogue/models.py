@@ -11,7 +11,7 @@ from catalogue.profiles import LINE, corr_sql
 from catalogue.registry import query
 from catalogue.samples import md5_of
 from quadrat.operators import balancing, calibration, charts, evaluation, learners, stages, tuning
-from quadrat.operators.durable import checkpoint_folder
+from quadrat.operators.durable import checkpoint_folder, durable
 from quadrat.plans import reports
 
 JUDGED = "(SELECT doc_id, quality AS truth, toxic AS prediction FROM labels)"
@@ -256,7 +256,7 @@ def tree_rules(t):
 
 @query()
 def importance_by_permutation(t):
-    rows = measured(t).select("doc_id", "label", *MEASURES)
+    rows = durable(measured(t).select("doc_id", "label", *MEASURES))  # both fits and the scores go over them
     prepared = stages.ColumnPreparer(keep=["doc_id", "label"]).fit(rows)
     bayes = learners.base_learners()["naive_bayes"].fit(prepared.transform(rows))
     model = stages.PipelineModel([prepared, bayes])

@@ -29,6 +29,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.operators.durable import durable
 from quadrat.operators.evaluation import class_scores, overall_scores
 from quadrat.operators.sampling import hashed_rank
 
@@ -208,8 +209,10 @@ def importance_by_permutation(
     """``(feature, drop)``: loss of accuracy when one column is shuffled.
 
     Two hash orders pair every row with another one; the pairing is an equi-join
-    on the position, so any size can be shuffled.
+    on the position, so any size can be shuffled. Rows and pairs are written
+    once for all columns.
     """
+    df = durable(df)
     base = overall_scores(model.transform(df), label, "prediction").select(
         F.lit(None).cast("string").alias("feature"), "accuracy"
     )
@@ -217,12 +220,13 @@ def importance_by_permutation(
     there = hashed_rank(df, [key], seed + 1, name="__at").select(
         "__at", *[F.col(c).alias(f"__{c}") for c in columns]
     )
-    paired = here.join(there, "__at")
+    paired = durable(here.join(there, "__at"))
     table = base
     for c in columns:
         mixed = paired.withColumn(c, F.col(f"__{c}")).select(*df.columns)
         scored = overall_scores(model.transform(mixed), label, "prediction")
         table = table.unionAll(scored.select(F.lit(c).alias("feature"), "accuracy"))
+    table = durable(table)  # a row per column, read twice
     plain = table.agg(F.max(F.when(F.col("feature").isNull(), F.col("accuracy")))).scalar()
     return table.filter(F.col("feature").isNotNull()).select(
         "feature", (plain - F.col("accuracy")).alias("drop")

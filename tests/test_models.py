@@ -277,6 +277,16 @@ def test_a_run_reads_its_input_once(blobs):
     assert prepared.names == ["a", "colour_blue", "colour_red"]
 
 
+def test_permutation_reads_its_input_once(blobs):
+    plain = blobs.dropna().select("key", "label", *FEATURES)
+    prepare = stages.ColumnPreparer(keep=["key", "label"]).fit(plain)
+    tree = learners.base_learners()["decision_tree"].fit(prepare.transform(plain))
+    rows, total = counted_scans(plain)
+    found = learners.importance_by_permutation(PipelineModel([prepare, tree]), rows, FEATURES, "label", "key")
+    assert len(found.collect()) == 2
+    assert total.value == plain.count()
+
+
 def test_cells_grow_in_number_not_in_size(spark, monkeypatch):
     """Points on a line: as many cells as the points need, beyond the 256 of before."""
     monkeypatch.setattr(neighbours, "PER_PIVOT", 4)
